@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, mixing, quality, shard_tree, simhash, token_shards
+from . import block_dedup, decontam, html_text, line_dedup, mixing, quality, shard_tree, simhash, suffix_dedup, token_shards
 from .common import table
 
 
@@ -21,12 +21,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*first, "quality_probability", *[f"v_{k}" for k in quality.RULES])
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -45,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op5_token_output, op7_html_extraction, op8_simhash, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_suffix_dedup, op4_substring_dedup, op5_token_output, op6_line_dedup, op7_html_extraction, op8_simhash, op9_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
