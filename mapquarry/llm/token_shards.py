@@ -41,9 +41,9 @@ HEAD = "<8sIIQQ"
 MAGIC = b"MQTOK1\0\0"
 NULL_ID = -(2**63)
 
-#: Words with the white space before them. The byte-level pattern never joins a non-space to the
-#: space after it, so such chunks encode alone as in their text.
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
+#: Words with the white space before them, cut before the punctuation that ends a word. The
+#: byte-level pattern never joins what such a cut parts, so chunks encode alone as in their text.
+_CHUNK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.;:!?%$&*#|])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
 #: With other white space, or a special token's brackets, the text is encoded whole.
 _WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|<[|]")
 
@@ -51,32 +51,53 @@ _WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|
 class Encoder:
     """Encodes as tokenizers does, remembering up to max_words chunks."""
 
-    def __init__(self, path: str, end_id: int, max_words: int = 600_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.end = struct.pack("<I", end_id)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _learn(self, chunks: list[str], together: int = 512) -> None:
+        """Encode chunks that begin with one space in rows, as they don't touch, and tell them apart by their bytes."""
+        alone = [c for c in chunks if c[0] != " " or c[1:2] in ("", " ", "\t", "\n", "\r")]
+        self.known.update(zip(alone, self._encode(alone), strict=True))
+        row = [c for c in chunks if c[0] == " " and c[1:2] not in ("", " ", "\t", "\n", "\r")]
+        rows = [row[k : k + together] for k in range(0, len(row), together)]
+        for part, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum([len(c.encode()) for c in part])
+            stops = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+            data = ids.tobytes()
+            a = 0
+            for c, b in zip(part, stops.tolist(), strict=True):
+                self.known[c] = data[a:b]
+                a = b
+
+    def __call__(self, texts: list[str | None], together: int = 256) -> Iterator[bytes]:
         """Little-endian u32 ids of each text with the end id."""
-        for text in texts:
-            text = text or ""
-            if _WHOLE.search(text):
-                yield self._encode([text])[0] + self.end
-                continue
-            chunks = _CHUNK.findall(text)
-            new = list({c for c in chunks if c not in self.known})
-            if len(self.known) + len(new) > self.max_words:
-                self.known.clear()
-                new = list(set(chunks))
-            self.known.update(zip(new, self._encode(new), strict=True))
-            known = self.known
-            yield b"".join([known[c] for c in chunks]) + self.end
+        known = self.known
+        for k in range(0, len(texts), together):
+            some = [t or "" for t in texts[k : k + together]]
+            chunks = [None if _WHOLE.search(t) else _CHUNK.findall(t) for t in some]
+            new: set[str] = set()
+            for c in chunks:
+                if c:
+                    new.update(set(c).difference(known))
+            if len(known) + len(new) > self.max_words:
+                known.clear()
+                new = {x for c in chunks if c for x in c}
+            self._learn(list(new))
+            for t, c in zip(some, chunks, strict=True):
+                yield (self._encode([t])[0] if c is None else b"".join(map(known.__getitem__, c))) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -144,7 +165,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
         with store.open_output_stream(temp) as body:
             for b in batches:
                 ids += b.doc_id.tolist()
-                for raw in encode(b.text):
+                for raw in encode(b.text.tolist()):
                     frame = comp.compress(raw)
                     body.write(frame)
                     lengths.append(len(frame))
