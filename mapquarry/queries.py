@@ -2,14 +2,369 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import presets
+from .model import member_rows, ref_rows
+from .operators import features, history, network, selection, simplify, tag_filter, tags
+from .plans import adapter
+from .plans.adapter import VIEWS
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+BOX = (24.92, 60.105, 24.96, 60.13)
+MOMENT = 1_705_276_800  # 2024-01-15
+_IN_BOX = "lon BETWEEN 24.92 AND 24.96 AND lat BETWEEN 60.105 AND 60.13"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = f"WITH {VIEWS} {sql}" if sql.lstrip().upper().startswith(("SELECT", ",")) else sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+_T = F.col("tags")
+
+
+# -- tag filters ---------------------------------------------------------------------------------
+
+
+@query("SELECT id FROM node WHERE shop IN ('economy', 'small') OR name IS NOT NULL AND brand = 'Brand#1'")
+def node_tag_filter_keep(spark, d):
+    n = adapter.nodes(spark, d)
+    return n.where(tag_filter.element_filter(_T, {"shop": ["economy", "small"], "brand": ["Brand#1"]})).select("id")
+
+
+@query("SELECT id FROM node WHERE shop IS NOT NULL AND NOT (shop IN ('economy', 'small') OR brand = 'Brand#1')")
+def node_tag_filter_exclude(spark, d):
+    n = adapter.nodes(spark, d)
+    return n.where(tag_filter.element_filter(_T, {"shop": ["economy", "small"], "brand": ["Brand#1"]}, filter_type="exclude")).select("id")
+
+
+@query("SELECT id FROM way WHERE highway IN ('primary', 'footway') OR building IS NOT NULL")
+def way_filter_or_semantics(spark, d):
+    w = adapter.ways(spark, d)
+    return w.where(tag_filter.way_filter(_T, tag_filter.compiled({"highway": ["primary", "footway"], "building": True}))).select("id")
+
+
+@query("SELECT id FROM way WHERE highway IS NOT NULL AND NOT (highway IN ('motorway', 'cycleway') OR coalesce(oneway = '-1', false))")
+def way_filter_exclude(spark, d):
+    w = adapter.ways(spark, d)
+    return w.where(tag_filter.way_filter(_T, {"highway": ["motorway", "cycleway"], "oneway": ["-1"]}, ["highway"], "exclude")).select("id")
+
+
+@query("SELECT id FROM way WHERE highway = 'primary' AND oneway = 'yes' OR building IS NOT NULL AND oneway IS NULL")
+def filter_bracket_and_or(spark, d):
+    f = tag_filter.parse_brackets(['["highway"="primary"]["oneway"="yes"]', '["building"][!"oneway"]'])
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+
+
+@query("SELECT id FROM way WHERE regexp_matches(highway, '(?i)WAY$')")
+def filter_regex_ci(spark, d):
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, tag_filter.compiled('["highway"~"WAY$",i]'))).select("id")
+
+
+@query("SELECT id FROM way WHERE regexp_matches(highway, '^(p|r)') OR building IS NOT NULL")
+def filter_regex_dict(spark, d):
+    f = tag_filter.compiled({"highway": [re.compile("^(p|r)")], "building": True})
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+
+
+@query("SELECT id FROM way WHERE highway IS NOT NULL AND (oneway IS NULL OR oneway <> 'yes') AND NOT regexp_matches(highway, 'foot|cycle')")
+def filter_negative_absent_key(spark, d):
+    f = tag_filter.parse_brackets('["highway"]["oneway"!="yes"]["highway"!~"foot|cycle"]')
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+
+
+@query("SELECT id FROM way WHERE oneway = 'yes' OR building IS NOT NULL")
+def filter_injected_layer_key(spark, d):
+    f = tag_filter.with_key(tag_filter.compiled({"oneway": ["yes"]}), "building")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+
+
+@query("SELECT id FROM way WHERE highway IS NOT NULL OR building IS NOT NULL OR oneway IS NOT NULL")
+def keep_all_tagged_ways(spark, d):
+    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, None)).select("id")
+
+
+# -- networks ------------------------------------------------------------------------------------
+
+_LENGTHS = """, step AS (SELECT way_id, seq, node_id, lon, lat, lead(node_id) OVER w AS next_id, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM ref JOIN node ON node.id = node_id WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
+piece AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY seq) - 1 AS seq, node_id AS u, next_id AS v, CAST(round(2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon)) / 2), 2))) * 1000) AS BIGINT) AS mm FROM step WHERE next_id IS NOT NULL)
+"""
+
+
+def _network_ways(spark, d, kind: str) -> DataFrame:
+    return network.select_ways(adapter.ways(spark, d), presets.preset(kind), ["highway"], "exclude")
+
+
+def _excluded(kind: str) -> str:
+    p = presets.preset(kind)
+    values = ", ".join(f"'{v}'" for v in p["highway"]) if p else "''"
+    return f"highway IS NOT NULL AND highway NOT IN ({values})"
+
+
+def _network(kind: str):
+    def run(spark, d):
+        n = network.network(_network_ways(spark, d, kind), adapter.nodes(spark, d), kind, ["highway", "oneway"])
+        return n.edges.select("id", "highway", "oneway", "length_mm")
+
+    return run
+
+
+for _kind in ("driving", "walking", "cycling", "all"):
+    _f = _network(_kind)
+    _f.__name__ = f"network_{_kind}"
+    query(f"{_LENGTHS} SELECT way.id, highway, oneway, CAST(sum(mm) AS BIGINT) AS length_mm FROM way JOIN piece ON way.id = way_id WHERE {_excluded(_kind)} GROUP BY ALL")(_f)
+
+
+@query(f"{_LENGTHS} SELECT way_id AS id, CAST(sum(mm) AS BIGINT) AS length_mm, count(*) AS n_pieces FROM piece GROUP BY way_id")
+def network_edges_length(spark, d):
+    e = network.way_edges(adapter.ways(spark, d), adapter.nodes(spark, d))
+    return e.select("id", "length_mm", F.size("geometry.rings").cast("long").alias("n_pieces"))
+
+
+@query(f"{_LENGTHS} SELECT way.id, seq, u, v, mm AS length_mm FROM way JOIN piece ON way.id = way_id WHERE {_excluded('driving')}")
+def network_segments(spark, d):
+    return network.segments(_network_ways(spark, d, "driving"), adapter.nodes(spark, d)).select("id", F.col("seq").cast("long").alias("seq"), "u", "v", "length_mm")
+
+
+@query(f"{_LENGTHS}, e AS (SELECT u, v FROM way JOIN piece ON way.id = way_id WHERE {_excluded('driving')}) SELECT id, lon, lat FROM node WHERE id IN (SELECT u FROM e UNION SELECT v FROM e)")
+def network_nodes(spark, d):
+    n = network.network(_network_ways(spark, d, "driving"), adapter.nodes(spark, d), "driving", ["highway"], with_nodes=True)
+    return n.nodes.select("id", "lon", "lat")
+
+
+def _directed(spark, d, kind: str) -> DataFrame:
+    n = network.network(_network_ways(spark, d, kind), adapter.nodes(spark, d), kind, ["highway", "oneway"], with_nodes=True)
+    return network.directed_edges(n)
+
+
+_DIRECTED = f"""{_LENGTHS}, dir AS (SELECT way.id, seq, u, v, mm, oneway FROM way JOIN piece ON way.id = way_id WHERE %s),
+arc AS (SELECT id, seq, u, v, mm FROM dir WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT id, seq, v, u, mm FROM dir WHERE oneway IS DISTINCT FROM 'yes') """
+
+
+@query(_DIRECTED % _excluded("driving") + "SELECT id, seq, u, v, mm AS length_mm FROM arc")
+def directed_edges_driving(spark, d):
+    return _directed(spark, d, "driving").select("id", F.col("seq").cast("long").alias("seq"), "u", "v", "length_mm")
+
+
+@query(f"{_LENGTHS}, e AS (SELECT way.id, seq, u, v FROM way JOIN piece ON way.id = way_id WHERE {_excluded('walking')}) SELECT id, seq, u, v FROM e UNION ALL SELECT id, seq, v, u FROM e")
+def directed_edges_walking(spark, d):
+    return _directed(spark, d, "walking").select("id", F.col("seq").cast("long").alias("seq"), "u", "v")
+
+
+@query(f"{_LENGTHS}, e AS (SELECT u, v FROM way JOIN piece ON way.id = way_id WHERE {_excluded('driving')}) SELECT id, count(*) AS street_count FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id")
+def street_count(spark, d):
+    return network.street_counts(_directed(spark, d, "driving"))
+
+
+@query(
+    _DIRECTED % _excluded("cycling")
+    + """, side AS (SELECT u AS id, v AS other, 1 AS o, 0 AS i FROM arc UNION ALL SELECT v, u, 0, 1 FROM arc)
+SELECT id, NOT (count(DISTINCT other) = 2 AND count(*) IN (2, 4) AND sum(o) > 0 AND sum(i) > 0 AND NOT bool_or(id = other)) AS is_endpoint FROM side GROUP BY id"""
+)
+def endpoint_detection(spark, d):
+    return network.endpoints(_directed(spark, d, "cycling"))
+
+
+@query()
+def largest_scc(spark, d):
+    n = network.network(_network_ways(spark, d, "cycling"), adapter.nodes(spark, d), "cycling", ["highway", "oneway"], with_nodes=True)
+    nodes, _ = network.largest_strong_part(network.directed_edges(n), n.nodes)
+    return nodes.select("id")
+
+
+@query()
+def simplified_edges(spark, d):
+    n = network.network(_network_ways(spark, d, "cycling"), adapter.nodes(spark, d), "cycling", ["highway", "oneway"], with_nodes=True)
+    arcs = network.directed_edges(n)
+    # a number that doesn't depend on the plan: way, place, direction
+    arcs = arcs.withColumn("row_id", F.col("id") * 65536 + F.col("seq") * 2 + F.col("reversed").cast("long"))
+    simple, _ = simplify.simplify(arcs.select("row_id", "u", "v", "id", "length_mm", "highway", "reversed", "geometry"), lengths=("length_mm",))
+    return simple.select("row_id", "u", "v", "length_mm", F.size(F.get("geometry.rings", F.lit(0))).alias("n_points"))
+
+
+# -- selection -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, lon, lat FROM node WHERE {_IN_BOX}")
+def bbox_nodes(spark, d):
+    return adapter.nodes(spark, d).where(selection.in_box(BOX)).select("id", "lon", "lat")
+
+
+@query(f"SELECT DISTINCT way_id AS id FROM ref JOIN node ON node_id = node.id WHERE {_IN_BOX}")
+def bbox_complete_ways(spark, d):
+    m = adapter.data(spark, d)
+    return selection.ways_touching(m.ways, m.nodes.where(selection.in_box(BOX))).select("id")
+
+
+_CROP = f""", inside AS (SELECT id FROM node WHERE {_IN_BOX}), cw AS (SELECT DISTINCT way_id AS id FROM ref WHERE node_id IN (SELECT id FROM inside)),
+cn AS (SELECT id FROM node WHERE id IN (SELECT id FROM inside UNION SELECT node_id FROM ref WHERE way_id IN (SELECT id FROM cw))) """
+
+
+@query(_CROP + "SELECT id FROM cn")
+def crop_selection_nodes(spark, d):
+    return selection.crop(adapter.data(spark, d), BOX).nodes.select("id")
+
+
+@query(_CROP + "SELECT id FROM cw")
+def crop_selection_ways(spark, d):
+    return selection.crop(adapter.data(spark, d), BOX).ways.select("id")
+
+
+@query(_CROP + "SELECT DISTINCT relation_id AS id FROM member WHERE member_type = 'way' AND member_id IN (SELECT id FROM cw) OR member_type = 'node' AND member_id IN (SELECT id FROM cn)")
+def crop_selection_relations(spark, d):
+    return selection.crop(adapter.data(spark, d), BOX).relations.select("id")
+
+
+@query("SELECT id, highway, building FROM way WHERE id IN (SELECT member_id FROM member JOIN rel ON relation_id = rel.id WHERE member_type = 'way' AND landuse = 'building')")
+def relation_member_ways(spark, d):
+    m = adapter.data(spark, d)
+    r = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["building"]}))
+    return tags.project(selection.member_ways(m.ways, r).select("id", "tags"), ["highway", "building"], other_tags=False)
+
+
+@query("SELECT id FROM way WHERE id NOT IN (SELECT member_id FROM member JOIN rel ON relation_id = rel.id WHERE member_type = 'way' AND landuse = 'building')")
+def standalone_ways_antijoin(spark, d):
+    m = adapter.data(spark, d)
+    r = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["building"]}))
+    return selection.standalone_ways(m.ways, r).select("id")
+
+
+_PRESENT = _CROP + """, there AS (SELECT relation_id, count(*) AS n_total, count(cw.id) AS n_present FROM (SELECT DISTINCT relation_id, member_id FROM member WHERE member_type = 'way') LEFT JOIN cw ON cw.id = member_id GROUP BY relation_id),
+cut AS (SELECT * FROM there WHERE n_present > 0 AND n_present < n_total) """
+
+
+@query(_PRESENT + "SELECT * FROM cut")
+def straddling_relations(spark, d):
+    m = adapter.data(spark, d)
+    return selection.straddling(m.relations, selection.crop(m, BOX).ways)
+
+
+@query(_PRESENT + "SELECT DISTINCT member_id AS id FROM member WHERE member_type = 'way' AND relation_id IN (SELECT relation_id FROM cut) AND member_id NOT IN (SELECT id FROM cw)")
+def missing_member_completion(spark, d):
+    m = adapter.data(spark, d)
+    return selection.missing_members(m.relations, selection.crop(m, BOX).ways, m.ways).select("id")
+
+
+@query("SELECT way_id, seq, node_id FROM ref WHERE node_id NOT IN (SELECT id FROM node WHERE id % 3 <> 0)")
+def orphan_refs(spark, d):
+    m = adapter.data(spark, d)
+    return selection.orphan_refs(m.ways, m.nodes.where("id % 3 <> 0")).select("way_id", F.col("seq").cast("long").alias("seq"), "node_id")
+
+
+@query("SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM node")
+def node_bounds(spark, d):
+    return selection.bounds(adapter.nodes(spark, d))
+
+
+@query(
+    """, seed AS (SELECT id FROM rel WHERE landuse = 'machinery'), w AS (SELECT DISTINCT member_id AS id FROM member WHERE member_type = 'way' AND relation_id IN (SELECT id FROM seed)),
+n AS (SELECT member_id AS id FROM member WHERE member_type = 'node' AND relation_id IN (SELECT id FROM seed) UNION SELECT node_id FROM ref WHERE way_id IN (SELECT id FROM w))
+SELECT 'relation' AS kind, id FROM seed UNION ALL SELECT 'way', id FROM w UNION ALL SELECT 'node', id FROM n WHERE id IN (SELECT id FROM node)"""
+)
+def subset_closure(spark, d):
+    m = adapter.data(spark, d)
+    seed = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["machinery"]})).select("id")
+    none = seed.where(F.lit(False))
+    got = selection.closure(m, seed, none, none)
+    kinds = [(k, getattr(got, k + "s")) for k in ("relation", "way", "node")]
+    out = None
+    for k, f in kinds:
+        part = f.select(F.lit(k).alias("kind"), "id")
+        out = part if out is None else out.union(part)
+    return out
+
+
+# -- tags and features ---------------------------------------------------------------------------
+
+
+@query("""SELECT id, shop, '{"brand":"' || brand || '","name":"' || name || '"}' AS tags FROM node WHERE shop IS NOT NULL""")
+def tag_projection_leftover_json(spark, d):
+    n = adapter.nodes(spark, d).where(tag_filter.has(_T, "shop")).select("id", "tags")
+    return tags.project(n, ["shop"])
+
+
+@query("SELECT k AS key, count(*) AS n FROM (SELECT unnest(['highway', 'building', 'oneway']) AS k, unnest([highway, building, oneway]) AS v FROM way) WHERE v IS NOT NULL GROUP BY k")
+def tag_key_usage(spark, d):
+    return adapter.ways(spark, d).select(F.explode(F.map_keys("tags")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, own AS (SELECT id FROM way WHERE building IS NOT NULL), len AS (SELECT way_id, count(*) AS n FROM ref JOIN node ON node.id = node_id GROUP BY way_id)
+SELECT 'node' AS osm_type, id, 'Point' AS kind, shop AS value FROM node WHERE shop IS NOT NULL
+UNION ALL SELECT 'way', own.id, CASE WHEN n > 3 OR n > 2 AND a.node_id <> b.node_id THEN 'Polygon' END, 'yes' FROM own JOIN len ON own.id = len.way_id JOIN ref a ON a.way_id = own.id AND a.seq = 0 JOIN ref b ON b.way_id = own.id AND b.seq = n - 1 WHERE n > 3"""
+)
+def features_union(spark, d):
+    m = adapter.data(spark, d)
+    layer = features.Layer(tag_filter.compiled({"shop": True, "building": True}), ["shop", "building"], relations=False)
+    f = features.features(m, layer)
+    return f.select("osm_type", "id", F.col("geometry.type").alias("kind"), F.coalesce("shop", "building").alias("value"))
+
+
+@query(
+    """, p AS (SELECT way_id, seq, lon, lat, first_value(lon) OVER w AS x0, first_value(lat) OVER w AS y0, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY way_id) AS n
+  FROM ref JOIN node ON node.id = node_id WHERE way_id % 7 = 0 WINDOW w AS (PARTITION BY way_id ORDER BY seq))
+SELECT way_id AS id, CAST(abs(sum(CAST(round((lon - x0) * 500) AS BIGINT) * CAST(round((lat2 - y0) * 500) AS BIGINT) - CAST(round((lon2 - x0) * 500) AS BIGINT) * CAST(round((lat - y0) * 500) AS BIGINT))) AS BIGINT) AS cells2
+FROM p WHERE lon2 IS NOT NULL AND n > 3 GROUP BY way_id"""
+)
+def closed_way_polygons(spark, d):
+    """Twice the shoelace area in cells of the grid, counter-clockwise."""
+    m = adapter.data(spark, d)
+    layer = features.Layer({"building": [True]}, ["building"], nodes=False, relations=False)
+    f = features.features(m, layer).where("geometry.type = 'Polygon'")
+    return f.select("id", F.round(G.signed_area2(F.get("geometry.rings", F.lit(0))) * 250_000).cast("long").alias("cells2"))
+
+
+@query(f"SELECT id FROM way WHERE building IS NOT NULL AND id IN (SELECT way_id FROM ref JOIN node ON node_id = node.id WHERE {_IN_BOX}) AND id IN (SELECT way_id FROM ref GROUP BY way_id HAVING count(*) > 3)")
+def buildings_in_box(spark, d):
+    layer = features.Layer({"building": [True]}, ["building"], nodes=False, relations=False)
+    return features.features(adapter.data(spark, d), layer, BOX).select("id")
+
+
+@query()
+def relation_areas(spark, d):
+    layer = features.Layer({"landuse": [True]}, ["landuse", "type"], nodes=False, ways=False)
+    f = features.features(adapter.data(spark, d), layer)
+    return f.select("id", F.col("geometry.type").alias("kind"), F.size("geometry.rings").alias("n_rings"), "landuse")
+
+
+@query("SELECT rel.id, type = 'route' AS linear FROM rel")
+def relation_line_or_area(spark, d):
+    r = adapter.relations(spark, d)
+    with_route = F.when(_T["type"] == "route", F.map_concat(_T, F.create_map(F.lit("route"), F.lit("bus")))).otherwise(_T)
+    return r.select("id", features.relation_is_linear(with_route).alias("linear"))
+
+
+# -- history -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, arg_max(version, version) AS version, arg_max(kind, version) AS kind, arg_max(k, version) FILTER (WHERE k IS NOT NULL) AS k FROM hist WHERE ts <= {MOMENT} AND visible GROUP BY id")
+def history_latest_version(spark, d):
+    h = history.as_of(adapter.history(spark, d), MOMENT, fold_tags=True)
+    return tags.project(h.select("id", F.col("version").cast("long").alias("ver"), "tags"), ["kind", "k"], other_tags=False).withColumnRenamed("ver", "version")
+
+
+@query(f"SELECT id, version, kind, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS r FROM hist WHERE ts <= {MOMENT}) WHERE r = 1 AND visible")
+def history_strict(spark, d):
+    h = history.as_of(adapter.history(spark, d), MOMENT, strict=True)
+    return tags.project(h.select("id", F.col("version").cast("long").alias("ver"), "tags"), ["kind", "k"], other_tags=False).withColumnRenamed("ver", "version")
