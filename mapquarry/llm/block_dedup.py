@@ -108,10 +108,10 @@ def _cut(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFr
         yield df if with_text else df.drop(columns="kept_text")
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with_text kept_text, of every row."""
     rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc")
     keyed = rows.select("doc", "text", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("id"))
     found = keyed.mapInPandas(_anchor_rows, "doc long, id long, at long, h long, ctx long, ref boolean")
-    spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint32, ordered=True)
+    spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint32, ordered=True, hot=hot)
     return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInPandas(lambda b: _cut(b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

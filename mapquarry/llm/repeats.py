@@ -16,7 +16,6 @@ h and ctx are 64-bit hashes each, compared together, so equality in step 1 is of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -162,33 +161,72 @@ def equal_windows(right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np
             yield o, found
 
 
-def spans_of(window: int, dtype: type, ordered: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Contexts of whole partitions (equal anchors together) to spans doc, s, e."""
+def _spans(df: pd.DataFrame, window: int, dtype: type, ordered: bool) -> Iterator[pd.DataFrame]:
+    low, high = df["low"].to_numpy(np.int64), df["high"].to_numpy(np.int64)
+    right, left = sides(df["context"].tolist(), high, dtype)
+    args = (df["id"].to_numpy(np.int64), df["ref"].to_numpy(bool)) if ordered else ()
+    pos, doc = df["pos"].to_numpy(np.int64), df["doc"].to_numpy(np.int64)
+    # offsets come in order: a row's span goes on while its offsets follow one another
+    first, last = np.full(len(pos), -1), np.full(len(pos), -2)
+
+    def closed(rows: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"doc": doc[rows], "s": pos[rows] - last[rows], "e": pos[rows] - first[rows] + window})
+
+    for o, found in equal_windows(right, left, low, high, window, *args):
+        fresh = found[last[found] != o - 1]
+        ended = fresh[last[fresh] >= 0]
+        if len(ended):
+            yield closed(ended)
+        first[fresh] = o
+        last[found] = o
+    yield closed(np.flatnonzero(last >= 0))
+
+
+def spans_of(window: int, dtype: type, ordered: bool, rows: int = 20_000) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Contexts sorted by h to spans doc, s, e; some rows at a time, groups of equal h never parted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        df = pd.concat(parts, ignore_index=True)
-        low, high = df["low"].to_numpy(np.int64), df["high"].to_numpy(np.int64)
-        right, left = sides(df["context"].tolist(), high, dtype)
-        args = (df["id"].to_numpy(np.int64), df["ref"].to_numpy(bool)) if ordered else ()
-        pos, doc = df["pos"].to_numpy(np.int64), df["doc"].to_numpy(np.int64)
-        del df, parts
-        # offsets come in order: a row's span goes on while its offsets follow one another
-        first, last = np.full(len(pos), -1), np.full(len(pos), -2)
-
-        def closed(rows: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"doc": doc[rows], "s": pos[rows] - last[rows], "e": pos[rows] - first[rows] + window})
-
-        for o, found in equal_windows(right, left, low, high, window, *args):
-            fresh = found[last[found] != o - 1]
-            ended = fresh[last[fresh] >= 0]
-            if len(ended):
-                yield closed(ended)
-            first[fresh] = o
-            last[found] = o
-        yield closed(np.flatnonzero(last >= 0))
+        held: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            if not len(b):
+                continue
+            if size >= rows:
+                cut = int((b["h"] != held[-1]["h"].iloc[-1]).to_numpy().argmax()) if b["h"].iloc[-1] != held[-1]["h"].iloc[-1] else len(b)
+                held.append(b.iloc[:cut])
+                b = b.iloc[cut:]
+                if len(b):
+                    yield from _spans(pd.concat(held, ignore_index=True), window, dtype, ordered)
+                    held, size = [], 0
+            if len(b):
+                held.append(b)
+                size += len(b)
+        if held:
+            yield from _spans(pd.concat(held, ignore_index=True), window, dtype, ordered)
+
+    return run
+
+
+def _window_rows(window: int, dtype: type, ordered: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Contexts to one row for each of their windows: a 128-bit key, doc, start (and id, ref)."""
+    from xxhash import xxh3_128_digest
+
+    size = np.dtype(dtype).itemsize
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 500):
+                part = b.iloc[k : k + 500]
+                n = (part["high"] - part["low"] + 1).to_numpy()
+                row = np.repeat(np.arange(len(part)), n)
+                offset = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(part["low"], part["high"], strict=True)])
+                start = (part["high"].to_numpy()[row] - offset) * size
+                contexts = part["context"].tolist()
+                keys = [xxh3_128_digest(contexts[r][s : s + window * size]) for r, s in zip(row.tolist(), start.tolist(), strict=True)]
+                out = {"key": keys, "doc": part["doc"].to_numpy()[row], "s": part["pos"].to_numpy()[row] - offset}
+                if ordered:
+                    out |= {"id": part["id"].to_numpy()[row], "ref": part["ref"].to_numpy(bool)[row]}
+                yield pd.DataFrame(out)
 
     return run
 
@@ -198,15 +236,20 @@ def packed(pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (pos.astype(np.int64) << 20) | (low.astype(np.int64) << 10) | high.astype(np.int64)
 
 
-def repeated_spans(docs: DataFrame, anchors: DataFrame, contexts: Callable, window: int, dtype: type, ordered: bool, range_key: int = 0) -> DataFrame:
+#: Groups of more contexts than this are compared window by window instead of in one task.
+HOT = 30_000
+
+
+def repeated_spans(docs: DataFrame, anchors: DataFrame, contexts: Callable, window: int, dtype: type, ordered: bool, splitters: Callable[[int], np.ndarray] | None = None, hot: int = HOT) -> DataFrame:
     """doc, spans (array of s, e) of repeated windows.
 
     docs: doc, text (and id if ordered). anchors: doc, at (packed), h, ctx, and if ordered id, ref.
     contexts(text, places, lows, highs): the context of each anchor, as bytes.
-    range_key: so many leading bytes of the context right of the anchor range-partition the contexts
-    by sampled splitters; 0: h hash-partitions them. Either way equal anchors are in one partition.
+    splitters(n): n - 1 ascending leading strings that range-partition the contexts by what stands
+    right of the anchor; without it h hash-partitions them. Either way equal anchors meet.
     """
     spark = docs.sparkSession
+    more = ["id", "ref"] if ordered else []
     stats = [F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")]
     if ordered:
         stats += [F.min(F.when(F.col("ref"), F.col("id"))).alias("least"), F.max("id").alias("most")]
@@ -215,35 +258,62 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame, contexts: Callable, wind
     hits = anchors.join(by_h, "h")
     if ordered:
         hits = hits.where("id > least or (ref and not same)")
-    hits = written(hits.select("doc", "at", "h", "same", *(["id", "ref"] if ordered else [])))
+    hits = written(hits.select("doc", "at", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in ("h", "ctx", *more)]))
     low, high = F.shiftright("at", 10).bitwiseAND(1023), F.col("at").bitwiseAND(1023)
     pos = F.shiftright("at", 20)
-    whole = hits.where("same").select("doc", (pos - high).alias("s"), (pos - low + window).alias("e"))
+    span = [F.col("doc"), (pos - high).alias("s"), (pos - low + window).alias("e")]
     mixed = hits.where("not same")
-    n_mixed = mixed.count()
-    extra = ", id long, ref boolean" if ordered else ""
-    one = F.struct("at", "h", *(["id", "ref"] if ordered else []))
-    per_doc = mixed.groupBy("doc").agg(F.collect_list(one).alias("found"))
-    texts = docs.select("doc", "text")
+
+    # anchors of one h and ctx: what repeats within such a class is settled, one row stands for it
+    if ordered:
+        classes = mixed.groupBy("h", "ctx").agg(F.min(F.when(F.col("ref"), F.col("id"))).alias("least"))
+        settled = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
+        left_over = ~settled
+    else:
+        classes = mixed.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
+        settled = F.col("n") > 1
+        left_over = (F.col("first.doc") == F.col("doc")) & (F.col("first.at") == F.col("at"))
+    judged = written(mixed.join(classes, ["h", "ctx"]).select("doc", "at", "h", *more, settled.alias("settled"), left_over.alias("open")))
+    whole = hits.where("same").select(*span).union(judged.where("settled").select(*span))
+
+    rest = judged.where("open")
+    groups = rest.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rest = rest.join(groups, "h").select("doc", "at", "h", *more, (F.col("n") > hot).alias("hot"))
+    lists = [F.collect_list(c).alias(c) for c in ("at", "h", "hot", *more)]
+    per_doc = rest.groupBy("doc").agg(*lists)
+    parts = n_partitions(spark)
+    bounds = splitters(8 * parts) if splitters else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, text, found in zip(b["doc"], b["text"], b["found"], strict=True):
-                at = np.array([f["at"] for f in found], dtype=np.int64)
-                p, lo, hi = at >> 20, (at >> 10) & 1023, at & 1023
-                out = {"doc": doc, "pos": p, "low": lo, "high": hi, "h": np.array([f["h"] for f in found], dtype=np.int64), "context": contexts(text, p, lo, hi)}
+            for k in range(0, len(b), 200):
+                part = b.iloc[k : k + 200]
+                at = [np.asarray(a, dtype=np.int64) for a in part["at"]]
+                found = [contexts(t, a >> 20, (a >> 10) & 1023, a & 1023) for t, a in zip(part["text"], at, strict=True)]
+                context = [c for f in found for c in f]
+                a = np.concatenate(at)
+                out = {"doc": np.repeat(part["doc"].to_numpy(), [len(x) for x in at]), "pos": a >> 20, "low": (a >> 10) & 1023, "high": a & 1023, "h": np.concatenate(part["h"].tolist()), "context": context, "hot": np.concatenate(part["hot"].tolist()).astype(bool)}
                 if ordered:
-                    out |= {"id": np.array([f["id"] for f in found], dtype=np.int64), "ref": [bool(f["ref"]) for f in found]}
+                    out |= {"id": np.concatenate(part["id"].tolist()).astype(np.int64), "ref": np.concatenate(part["ref"].tolist()).astype(bool)}
+                if bounds is not None:
+                    lead = [c[h : h + bounds.dtype.itemsize] for c, h in zip(context, out["high"].tolist(), strict=True)]
+                    out["bucket"] = np.searchsorted(bounds, np.array(lead, dtype=bounds.dtype), side="right")
                 yield pd.DataFrame(out)
 
-    surroundings = texts.join(per_doc, "doc").mapInPandas(cut, f"doc long, pos long, low long, high long, h long, context binary{extra}")
-    n = max(n_partitions(spark), math.ceil(n_mixed / 200_000))
-    if range_key:
-        surroundings = surroundings.repartitionByRange(n, F.expr(f"substring(context, cast(high as int) + 1, {range_key})"))
+    schema = "doc long, pos long, low long, high long, h long, context binary, hot boolean" + ", id long, ref boolean" * ordered + ", bucket long" * (bounds is not None)
+    around = docs.select("doc", "text").join(per_doc, "doc").mapInPandas(cut, schema)
+    if rest.where("hot").isEmpty():
+        windows, usual = None, around
     else:
-        surroundings = surroundings.repartition(n, "h")
-    partly = surroundings.mapInPandas(spans_of(window, dtype, ordered), "doc long, s long, e long")
-    return whole.union(partly).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        around = written(around)
+        usual = around.where("not hot")
+        rows = around.where("hot").mapInPandas(_window_rows(window, dtype, ordered), "key binary, doc long, s long" + ", id long, ref boolean" * ordered)
+        again = rows.groupBy("key").agg(F.min(F.when(F.col("ref"), F.col("id"))).alias("least") if ordered else F.count("*").alias("n"))
+        windows = rows.join(again, "key").where("id > least" if ordered else "n > 1").select("doc", "s", (F.col("s") + window).alias("e"))
+    key = "h" if bounds is None else "bucket"
+    partly = usual.repartition(parts, key).sortWithinPartitions(key, "h").mapInPandas(spans_of(window, dtype, ordered), "doc long, s long, e long")
+    found = whole.union(partly) if windows is None else whole.union(partly).union(windows)
+    return found.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def covered(spans, size: int) -> np.ndarray:

@@ -4,10 +4,12 @@ Every string of 200 bytes that starts at two places is removed at all of them. S
 would move each byte 200 times, so suffixes are taken at anchors only: in each window of 200 bytes
 the place of the least hash of 32 bytes, which equal windows share. Anchors whose 32 bytes stand
 nowhere else, or whose whole surroundings repeat, are settled by counts (see repeats.py). The
-suffixes of the rest are range-partitioned by their 32 leading bytes with sampled splitters; buckets
+suffixes of the rest are range-partitioned by their 32 leading bytes with splitters sampled from
+a bounded number of documents (they only even out the buckets); buckets
 sort them by multikey quicksort, and neighbours' common prefixes give the repeated windows. Equal
 keys never straddle a splitter: neighbours across a bucket's boundary differ in their 32 leading
-bytes, so no window reaches over it.
+bytes, so no window reaches over it. Where more suffixes share their 32 bytes than one task should
+hold, their windows are counted by 128-bit hashes instead, pre-aggregated.
 
 Defined cases: null and empty texts have no bytes; texts under 200 bytes lose none; repeated rows
 and ids are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -60,6 +62,17 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, repeats.packed(p - start[doc], low, high), h[p].view(np.int64), ctx.view(np.int64)
 
 
+def splitters(rows: DataFrame, n: int, sample_docs: int = 400) -> np.ndarray:
+    """n - 1 strings of 32 bytes that cut the anchors of a bounded sample of documents (lowest hash of their key) evenly."""
+    texts = [raw(r[1]) for r in rows.select(F.xxhash64("doc").alias("k"), "text").orderBy("k").limit(sample_docs).collect()]
+    lead = []
+    for t in texts:
+        _, at, _, _ = anchors([t])
+        lead += [t[p : p + GRAM] for p in (at >> 20).tolist()]
+    lead = np.sort(np.array(lead, dtype=f"S{GRAM}")) if lead else np.zeros(0, dtype=f"S{GRAM}")
+    return np.unique(lead[np.linspace(0, len(lead) - 1, n + 1).astype(int)[1:-1]]) if len(lead) else lead
+
+
 def _contexts(text: str, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
     data = raw(text)
     return [data[p - h : p - l + WINDOW] for p, l, h in zip(pos.tolist(), low.tolist(), high.tolist(), strict=True)]
@@ -86,9 +99,9 @@ def _cut(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFr
         yield df if with_text else df.drop(columns="kept_text")
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text kept_text (undecodable bytes at cuts replaced), of every row."""
     rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc")
     found = rows.select("doc", "text").mapInPandas(_anchor_rows, "doc long, at long, h long, ctx long")
-    spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint8, ordered=False, range_key=GRAM)
+    spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint8, ordered=False, splitters=lambda n: splitters(rows, n), hot=hot)
     return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInPandas(lambda b: _cut(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -128,11 +128,10 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = 400,
     """A dictionary from a bounded sample of whole documents; empty if there is too little to train on."""
     import zstandard
 
-    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"), F.length("text").alias("n"))
-    ids = rows.select("h", "n").orderBy("h", "n").limit(sample_docs).agg(F.max("h")).first()[0]
-    if ids is None:
+    rows = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    texts = [r[1] for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
+    if not texts:
         return b""
-    texts = [r[0] for r in itertools.islice(rows.where(F.col("h") <= ids).select("text").toLocalIterator(), sample_docs)]
     samples = list(encoder(tokenizer, end_id)(texts))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()

@@ -95,6 +95,12 @@ def test_words(spark, seed):
     assert order(got) == order(brute_words(rows))
 
 
+def test_hot_groups(spark):
+    rows = corpus(4)
+    assert order(suffix_dedup.dedup(frame(spark, rows), False, hot=2).collect()) == order(brute_bytes(rows))
+    assert order(block_dedup.dedup(frame(spark, rows), False, hot=2).collect()) == order(brute_words(rows))
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"w{k}" for k in range(90))
     rows = [(None, t), (7, t), (7, t), (3, "q " + t), (None, t), (9, None)]
