@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-_T = F.col("tags")
+
 
 
 # -- tag filters ---------------------------------------------------------------------------------
@@ -50,59 +50,59 @@ _T = F.col("tags")
 @query("SELECT id FROM node WHERE shop IN ('economy', 'small') OR name IS NOT NULL AND brand = 'Brand#1'")
 def node_tag_filter_keep(spark, d):
     n = adapter.nodes(spark, d)
-    return n.where(tag_filter.element_filter(_T, {"shop": ["economy", "small"], "brand": ["Brand#1"]})).select("id")
+    return n.where(tag_filter.element_filter(F.col("tags"), {"shop": ["economy", "small"], "brand": ["Brand#1"]})).select("id")
 
 
 @query("SELECT id FROM node WHERE shop IS NOT NULL AND NOT (shop IN ('economy', 'small') OR brand = 'Brand#1')")
 def node_tag_filter_exclude(spark, d):
     n = adapter.nodes(spark, d)
-    return n.where(tag_filter.element_filter(_T, {"shop": ["economy", "small"], "brand": ["Brand#1"]}, filter_type="exclude")).select("id")
+    return n.where(tag_filter.element_filter(F.col("tags"), {"shop": ["economy", "small"], "brand": ["Brand#1"]}, filter_type="exclude")).select("id")
 
 
 @query("SELECT id FROM way WHERE highway IN ('primary', 'footway') OR building IS NOT NULL")
 def way_filter_or_semantics(spark, d):
     w = adapter.ways(spark, d)
-    return w.where(tag_filter.way_filter(_T, tag_filter.compiled({"highway": ["primary", "footway"], "building": True}))).select("id")
+    return w.where(tag_filter.way_filter(F.col("tags"), tag_filter.compiled({"highway": ["primary", "footway"], "building": True}))).select("id")
 
 
 @query("SELECT id FROM way WHERE highway IS NOT NULL AND NOT (highway IN ('motorway', 'cycleway') OR coalesce(oneway = '-1', false))")
 def way_filter_exclude(spark, d):
     w = adapter.ways(spark, d)
-    return w.where(tag_filter.way_filter(_T, {"highway": ["motorway", "cycleway"], "oneway": ["-1"]}, ["highway"], "exclude")).select("id")
+    return w.where(tag_filter.way_filter(F.col("tags"), {"highway": ["motorway", "cycleway"], "oneway": ["-1"]}, ["highway"], "exclude")).select("id")
 
 
 @query("SELECT id FROM way WHERE highway = 'primary' AND oneway = 'yes' OR building IS NOT NULL AND oneway IS NULL")
 def filter_bracket_and_or(spark, d):
     f = tag_filter.parse_brackets(['["highway"="primary"]["oneway"="yes"]', '["building"][!"oneway"]'])
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), f)).select("id")
 
 
 @query("SELECT id FROM way WHERE regexp_matches(highway, '(?i)WAY$')")
 def filter_regex_ci(spark, d):
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, tag_filter.compiled('["highway"~"WAY$",i]'))).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), tag_filter.compiled('["highway"~"WAY$",i]'))).select("id")
 
 
 @query("SELECT id FROM way WHERE regexp_matches(highway, '^(p|r)') OR building IS NOT NULL")
 def filter_regex_dict(spark, d):
     f = tag_filter.compiled({"highway": [re.compile("^(p|r)")], "building": True})
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), f)).select("id")
 
 
 @query("SELECT id FROM way WHERE highway IS NOT NULL AND (oneway IS NULL OR oneway <> 'yes') AND NOT regexp_matches(highway, 'foot|cycle')")
 def filter_negative_absent_key(spark, d):
     f = tag_filter.parse_brackets('["highway"]["oneway"!="yes"]["highway"!~"foot|cycle"]')
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), f)).select("id")
 
 
 @query("SELECT id FROM way WHERE oneway = 'yes' OR building IS NOT NULL")
 def filter_injected_layer_key(spark, d):
     f = tag_filter.with_key(tag_filter.compiled({"oneway": ["yes"]}), "building")
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, f)).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), f)).select("id")
 
 
 @query("SELECT id FROM way WHERE highway IS NOT NULL OR building IS NOT NULL OR oneway IS NOT NULL")
 def keep_all_tagged_ways(spark, d):
-    return adapter.ways(spark, d).where(tag_filter.way_filter(_T, None)).select("id")
+    return adapter.ways(spark, d).where(tag_filter.way_filter(F.col("tags"), None)).select("id")
 
 
 # -- networks ------------------------------------------------------------------------------------
@@ -239,14 +239,14 @@ def crop_selection_relations(spark, d):
 @query("SELECT id, highway, building FROM way WHERE id IN (SELECT member_id FROM member JOIN rel ON relation_id = rel.id WHERE member_type = 'way' AND landuse = 'building')")
 def relation_member_ways(spark, d):
     m = adapter.data(spark, d)
-    r = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["building"]}))
+    r = m.relations.where(tag_filter.element_filter(F.col("tags"), {"landuse": ["building"]}))
     return tags.project(selection.member_ways(m.ways, r).select("id", "tags"), ["highway", "building"], other_tags=False)
 
 
 @query("SELECT id FROM way WHERE id NOT IN (SELECT member_id FROM member JOIN rel ON relation_id = rel.id WHERE member_type = 'way' AND landuse = 'building')")
 def standalone_ways_antijoin(spark, d):
     m = adapter.data(spark, d)
-    r = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["building"]}))
+    r = m.relations.where(tag_filter.element_filter(F.col("tags"), {"landuse": ["building"]}))
     return selection.standalone_ways(m.ways, r).select("id")
 
 
@@ -284,7 +284,7 @@ SELECT 'relation' AS kind, id FROM seed UNION ALL SELECT 'way', id FROM w UNION
 )
 def subset_closure(spark, d):
     m = adapter.data(spark, d)
-    seed = m.relations.where(tag_filter.element_filter(_T, {"landuse": ["machinery"]})).select("id")
+    seed = m.relations.where(tag_filter.element_filter(F.col("tags"), {"landuse": ["machinery"]})).select("id")
     none = seed.where(F.lit(False))
     got = selection.closure(m, seed, none, none)
     kinds = [(k, getattr(got, k + "s")) for k in ("relation", "way", "node")]
@@ -300,7 +300,7 @@ def subset_closure(spark, d):
 
 @query("""SELECT id, shop, '{"brand":"' || brand || '","name":"' || name || '"}' AS tags FROM node WHERE shop IS NOT NULL""")
 def tag_projection_leftover_json(spark, d):
-    n = adapter.nodes(spark, d).where(tag_filter.has(_T, "shop")).select("id", "tags")
+    n = adapter.nodes(spark, d).where(tag_filter.has(F.col("tags"), "shop")).select("id", "tags")
     return tags.project(n, ["shop"])
 
 
@@ -351,7 +351,7 @@ def relation_areas(spark, d):
 @query("SELECT rel.id, type = 'route' AS linear FROM rel")
 def relation_line_or_area(spark, d):
     r = adapter.relations(spark, d)
-    with_route = F.when(_T["type"] == "route", F.map_concat(_T, F.create_map(F.lit("route"), F.lit("bus")))).otherwise(_T)
+    with_route = F.when(F.col("tags")["type"] == "route", F.map_concat(F.col("tags"), F.create_map(F.lit("route"), F.lit("bus")))).otherwise(F.col("tags"))
     return r.select("id", features.relation_is_linear(with_route).alias("linear"))
 
 
