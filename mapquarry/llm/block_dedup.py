@@ -93,19 +93,22 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": docs[i:j][k], "id": ids[i:j][k], "at": at, "h": h, "ctx": ctx, "ref": ref.astype(bool)})
 
 
-def _cut(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator, with_text: bool) -> Iterator:
+    import pyarrow as pa
+
     for b in batches:
         rows = []
-        for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
+        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             words = split(raw(text))
             n = len(words)
             if spans is not None and len(spans):
                 gone = repeats.covered(spans, n).tolist()
                 words = [w for w, g in zip(words, gone, strict=True) if not g]
             kept = b" ".join(words)
-            rows.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-        df = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
-        yield df if with_text else df.drop(columns="kept_text")
+            rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+        names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: None if with_text else -1]
+        columns = [pa.array([r[k] for r in rows], pa.int64() if n.startswith("n_") else pa.string()) for k, n in enumerate(names)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *names])
 
 
 def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> DataFrame:
@@ -114,4 +117,4 @@ def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> Da
     keyed = rows.select("doc", "text", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("id"))
     found = keyed.mapInPandas(_anchor_rows, "doc long, id long, at long, h long, ctx long, ref boolean")
     spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint32, ordered=True, hot=hot)
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInPandas(lambda b: _cut(b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(lambda b: _cut(b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -51,6 +51,16 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def sample_texts(rows: DataFrame, key: str, n: int) -> list[str]:
+    """About n whole texts, evenly over all rows by the hash of a unique key; for fitting only.
+
+    The expected size is n (2 n where there are few rows) whatever the input, and only the sample
+    itself leaves the tasks."""
+    every = max(1, rows.count() // max(n, 1))
+    picked = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(every)) == 0)
+    return [r[1] for r in sorted(picked.select(key, F.coalesce("text", F.lit(""))).collect())]
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

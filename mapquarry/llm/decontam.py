@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,33 +120,42 @@ def blocks(benchmark: DataFrame, max_chars: int = 8_000_000) -> Iterator[list[tu
         yield block
 
 
+FOUND = "doc_id long, item_id long, distance int, budget int, end_char long"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40) -> DataFrame:
     """One row for each document and item found: doc_id, item_id, distance, budget, end_char."""
-    out = None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = docs.sparkSession.createDataFrame([], FOUND)
     for block in blocks(benchmark):
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_rows(block, rate, min_chars), "doc_id long, item_id long, distance int, budget int, end_char long")
-        out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, budget int, end_char long")
+        out = out.union(texts.mapInArrow(_rows(block, rate, min_chars), FOUND))
+    return out
 
 
 def _rows(items: list[tuple[int, str]], rate: float, min_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(items, rate, min_chars)
         for b in batches:
-            rows = [(b.doc_id.iloc[i], *hit) for i, t in enumerate(b.text) for hit in m.find(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "end_char"])
+            hits = [(i, *hit) for i, t in enumerate(b.column("text").to_pylist()) for hit in m.find(t)]
+            ids = b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
+            rest = [pa.array([h[k] for h in hits], kind) for k, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "distance", "budget", "end_char"])
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40) -> DataFrame:
     """The rows of docs in which no item is found, in one pass for each block of items and without a shuffle."""
+    import pyarrow as pa
+
     for block in blocks(benchmark):
 
-        def run(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]] = block) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
             m = Matcher(items, rate, min_chars)
             for b in batches:
-                yield pd.DataFrame({"found": [bool(m.find(t)) for t in b["_text"]]}).pipe(lambda f, b=b: b[~f["found"].to_numpy()].drop(columns="_text"))
+                yield b.filter(pa.array([not m.find(None if t is None else str(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -54,14 +54,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep and fp, the fingerprint as a signed long."""
+    import pyarrow as pa
+
     schema = docs.select(*keep).schema.add("fp", "long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.pop("_text")], dtype=np.uint64).view(np.int64)
-            yield b.assign(fp=fp)
+            fp = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import with_row_key
+from .common import sample_texts, with_row_key
 
 WINDOW, GRAM = 200, 32
 _rolls = (repeats.Roller(0x9E3779B97F4A7C15), repeats.Roller(0xD1B54A32D192ED03))
@@ -63,8 +63,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def splitters(rows: DataFrame, n: int, sample_docs: int = 400) -> np.ndarray:
-    """n - 1 strings of 32 bytes that cut the anchors of a bounded sample of documents (lowest hash of their key) evenly."""
-    texts = [raw(r[1]) for r in rows.select(F.xxhash64("doc").alias("k"), "text").orderBy("k").limit(sample_docs).collect()]
+    """n - 1 strings of 32 bytes that cut the anchors of a bounded sample of documents evenly."""
+    texts = [raw(t) for t in sample_texts(rows, "doc", sample_docs)]
     lead = []
     for t in texts:
         _, at, _, _ = anchors([t])
@@ -86,17 +86,20 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": docs[i:j][k], "at": at, "h": h, "ctx": ctx})
 
 
-def _cut(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator, with_text: bool) -> Iterator:
+    import pyarrow as pa
+
     for b in batches:
         rows = []
-        for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
+        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             data = raw(text)
             gone = repeats.covered(spans, len(data))
             runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(data) else 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if runs else data
-            rows.append((doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-        df = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
-        yield df if with_text else df.drop(columns="kept_text")
+            rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: None if with_text else -1]
+        columns = [pa.array([r[k] for r in rows], pa.int64() if n.startswith("n_") else pa.string()) for k, n in enumerate(names)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *names])
 
 
 def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> DataFrame:
@@ -104,4 +107,4 @@ def dedup(docs: DataFrame, with_text: bool = True, hot: int = repeats.HOT) -> Da
     rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc")
     found = rows.select("doc", "text").mapInPandas(_anchor_rows, "doc long, at long, h long, ctx long")
     spans = repeats.repeated_spans(rows, found, _contexts, WINDOW, np.uint8, ordered=False, splitters=lambda n: splitters(rows, n), hot=hot)
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInPandas(lambda b: _cut(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(lambda b: _cut(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -8,8 +8,8 @@ A shard file is
 
 with numbers in little-endian order, so one short document is read by one seek and one small frame.
 Shards hold ascending ranges of doc_id. The dictionary lies beside them; its hash in each header
-keeps a shard from being read with another one. It is trained on at most sample_docs documents,
-those with the lowest hash of their id: only its compression depends on the sample.
+keeps a shard from being read with another one. It is trained on about sample_docs documents picked
+by a hash: only compression depends on the sample.
 
 A task writes its shard under a name of its own and renames it, so a repeated task leaves the same
 file. Files go where pyarrow.fs resolves the folder's address, below spark.checkpoint.dir here.
@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, shared_dir
+from .common import n_partitions, sample_texts, shared_dir, with_row_key
 
 HEAD = "<8sIIQQ"
 MAGIC = b"MQTOK1\0\0"
@@ -128,10 +128,8 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = 400,
     """A dictionary from a bounded sample of whole documents; empty if there is too little to train on."""
     import zstandard
 
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
-    texts = [r[1] for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
-    if not texts:
-        return b""
+    rows = with_row_key(docs.select(F.col("text").cast("string").alias("text")), "row")
+    texts = sample_texts(rows, "row", sample_docs)
     samples = list(encoder(tokenizer, end_id)(texts))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
