@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import presets
 from .model import member_rows, ref_rows
-from .operators import features, history, network, selection, simplify, tag_filter, tags
+from .operators import edit, features, history, network, selection, simplify, tag_filter, tags
 from .plans import adapter
 from .plans.adapter import VIEWS
+from .sources import catalog
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         _queries[f.__name__] = f
         if sql:
-            _sql[f.__name__] = f"WITH {VIEWS} {sql}" if sql.lstrip().upper().startswith(("SELECT", ",")) else sql
+            _sql[f.__name__] = f"WITH RECURSIVE {VIEWS} {sql}" if sql.lstrip().upper().startswith(("SELECT", ",")) else sql
         return f
 
     return add
@@ -186,8 +187,14 @@ def endpoint_detection(spark, d):
     return network.endpoints(_directed(spark, d, "cycling"))
 
 
-@query()
+@query(
+    _DIRECTED % _excluded("cycling")
+    + """, hub AS (SELECT u AS id FROM arc GROUP BY u ORDER BY count(*) DESC, u LIMIT 1),
+forth AS (SELECT id FROM hub UNION SELECT v FROM forth JOIN arc ON u = forth.id), back AS (SELECT id FROM hub UNION SELECT u FROM back JOIN arc ON v = back.id)
+SELECT id FROM forth INTERSECT SELECT id FROM back"""
+)
 def largest_scc(spark, d):
+    """The SQL takes the component of the busiest node, the largest where it holds over half of them."""
     n = network.network(_network_ways(spark, d, "cycling"), adapter.nodes(spark, d), "cycling", ["highway", "oneway"], with_nodes=True)
     nodes, _ = network.largest_strong_part(network.directed_edges(n), n.nodes)
     return nodes.select("id")
@@ -355,6 +362,76 @@ def relation_line_or_area(spark, d):
     return r.select("id", features.relation_is_linear(with_route).alias("linear"))
 
 
+@query("SELECT id, lon, lat, shop, brand FROM node WHERE (shop IS NOT NULL OR brand = 'Brand#1') AND " + _IN_BOX)
+def point_features_in_box(spark, d):
+    layer = features.Layer(tag_filter.compiled({"shop": True, "brand": ["Brand#1"]}), ["shop", "brand"], ways=False, relations=False)
+    return features.features(adapter.data(spark, d), layer, BOX).select("id", "lon", "lat", "shop", "brand")
+
+
+@query(
+    """, chg AS (SELECT o_orderkey AS id, CAST(o_orderkey % 5 AS VARCHAR) AS levels, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS open FROM orders WHERE o_orderkey % 11 = 0)
+SELECT way.id, CASE WHEN chg.id IS NULL THEN highway END AS highway, CASE WHEN chg.id IS NULL THEN building END AS building, levels, open FROM way LEFT JOIN chg USING (id)"""
+)
+def edit_overlay(spark, d):
+    m = adapter.data(spark, d)
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 11 = 0")
+    change = rows.select(F.col("o_orderkey").alias("id"), F.lit("way").alias("osm_type"), (F.col("o_orderkey") % 5).cast("double").alias("levels"), (F.col("o_orderkey") % 2 == 0).alias("open"))
+    return tags.project(edit.apply(m, change).ways.select("id", "tags"), ["highway", "building", "levels", "open"], other_tags=False)
+
+
+@query("SELECT -row_number() OVER (ORDER BY x, y) AS id, x / 1e7 AS lon, y / 1e7 AS lat FROM (SELECT DISTINCT CAST(s_suppkey % 17 AS BIGINT) * 1000003 AS x, CAST(s_suppkey % 13 AS BIGINT) * 1000033 AS y FROM supplier)")
+def edit_new_nodes(spark, d):
+    at = [(F.col("s_suppkey") % 17).cast("double") * 1000003 / 1e7, (F.col("s_suppkey") % 13).cast("double") * 1000033 / 1e7]
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.create_map(F.lit("name"), F.col("s_name")).alias("tags"), G.point(*at).alias("geometry"))
+    return edit.new_elements(rows)[0].select("id", "lon", "lat")
+
+
+_CATALOG = ", box AS (SELECT n_nationkey, n_name AS id, -20 + 3 * (n_nationkey % 6) AS west, -10 + 2 * (n_nationkey % 5) AS south, 5 + 4 * (n_nationkey % 7) AS east, 3 + 5 * (n_nationkey % 4) AS north FROM nation)"
+
+
+@query(_CATALOG + " SELECT id FROM box WHERE west <= 1 AND south <= 1 AND east >= 2 AND north >= 2 ORDER BY (east - west) * (sin(radians(north)) - sin(radians(south))), id LIMIT 5")
+def catalog_topk_covering(spark, d):
+    k = F.col("n_nationkey").cast("double")
+    bounds = {"west": F.lit(-20) + 3 * (k % 6), "south": F.lit(-10) + 2 * (k % 5), "east": F.lit(5) + 4 * (k % 7), "north": F.lit(3) + 5 * (k % 4)}
+    c = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("id"), *[v.alias(n) for n, v in bounds.items()])
+    return catalog.covering(c, (1, 1, 2, 2), 5).select("id")
+
+
+@query("SELECT relation_id, count(*) FILTER (member_type = 'way') AS n_ways, count(*) FILTER (member_type = 'node') AS n_nodes FROM member GROUP BY relation_id")
+def relation_members_by_type(spark, d):
+    kind = F.col("member_type")
+    return member_rows(adapter.relations(spark, d)).groupBy("relation_id").agg(F.count(F.when(kind == "way", 1)).alias("n_ways"), F.count(F.when(kind == "node", 1)).alias("n_nodes"))
+
+
+@query(_CROP + "SELECT DISTINCT relation_id AS id FROM member WHERE member_type = 'way' AND member_id IN (SELECT id FROM cw)")
+def relations_in_box(spark, d):
+    m = adapter.data(spark, d)
+    return selection.relations_with_ways(m.relations, selection.crop(m, BOX).ways).select("id")
+
+
+@query(f"{_LENGTHS}, w AS (SELECT id FROM way WHERE highway = 'primary' AND oneway = 'yes' OR building IS NOT NULL AND oneway IS NULL) SELECT id, CAST(sum(mm) AS BIGINT) AS length_mm FROM w JOIN piece ON id = way_id GROUP BY id")
+def network_custom_filter(spark, d):
+    f = tag_filter.parse_brackets(['["highway"="primary"]["oneway"="yes"]', '["building"][!"oneway"]'])
+    ways = network.select_ways(adapter.ways(spark, d), f, f.gate(), "keep")
+    return network.network(ways, adapter.nodes(spark, d), "all", ["highway"]).edges.select("id", "length_mm")
+
+
+@query(_DIRECTED % _excluded("cycling") + "SELECT id, seq, u, v FROM arc")
+def directed_edges_cycling(spark, d):
+    return _directed(spark, d, "cycling").select("id", F.col("seq").cast("long").alias("seq"), "u", "v")
+
+
+@query("SELECT way_id AS id, count(*) AS n_refs, count(DISTINCT node_id) AS n_nodes FROM ref GROUP BY way_id")
+def way_reference_counts(spark, d):
+    return ref_rows(adapter.ways(spark, d)).groupBy(F.col("way_id").alias("id")).agg(F.count("*").alias("n_refs"), F.countDistinct("node_id").alias("n_nodes"))
+
+
+@query("SELECT id, shop, brand FROM node WHERE regexp_matches(name, '^(small|red).*l')")
+def name_pattern(spark, d):
+    n = adapter.nodes(spark, d).select("id", "tags")
+    return tags.project(n, ["shop", "brand", "name"], other_tags=False).where(F.col("name").rlike("^(small|red).*l")).select("id", "shop", "brand")
+
+
 # -- history -------------------------------------------------------------------------------------
 
 
@@ -368,3 +445,10 @@ def history_latest_version(spark, d):
 def history_strict(spark, d):
     h = history.as_of(adapter.history(spark, d), MOMENT, strict=True)
     return tags.project(h.select("id", F.col("version").cast("long").alias("ver"), "tags"), ["kind", "k"], other_tags=False).withColumnRenamed("ver", "version")
+
+
+@query(f"SELECT id, max(version) AS version, arg_max(kind, version) AS kind, arg_max(k, version) AS k FROM hist WHERE ts <= {MOMENT} AND visible GROUP BY id")
+def history_last_tags(spark, d):
+    """Tags as one object: those of the last version that has any."""
+    h = history.as_of(adapter.history(spark, d), MOMENT)
+    return tags.project(h.select("id", F.col("version").cast("long").alias("ver"), "tags"), ["kind", "k"], other_tags=False).withColumnRenamed("ver", "version")

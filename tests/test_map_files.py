@@ -194,3 +194,29 @@ def test_catalog(spark):
         with pytest.raises(catalog.NotFound):
             catalog.by_box(c, bad)
     assert catalog.crop_name((24.93, 60.16, 24.96, 60.18)) == "bbox_24.93_60.16_24.96_60.18.osm.pbf"
+
+
+def test_places(spark, path, tmp_path):
+    import shutil
+
+    from mapquarry.sources import places
+
+    c = spark.createDataFrame([("t", "testland", "", "http://example.com/t.osm.pbf", 20.0, 55.0, 30.0, 65.0)], catalog.COLUMNS)
+    fetched = []
+
+    def fetch(url, to):
+        fetched.append(url)
+        shutil.copy(path, to)
+
+    folder = str(tmp_path / "d")
+    for _ in range(2):
+        assert places.get_data(c, "Testland", folder, fetch).endswith("t.osm.pbf")
+    assert fetched == ["http://example.com/t.osm.pbf"] and places.downloads(folder) == ["t.osm.pbf"]
+    cut = places.get_data_by_geocoding(c, "Somewhere", folder, lambda q: {"bounds": [23.9, 59.9, 24.2, 60.2]}, fetch, spark=spark)
+    assert cut.endswith("bbox_23.9_59.9_24.2_60.2.osm.pbf") and pbf.load(spark, cut).ways.count() == 3
+    assert places.clear_downloads(folder, "t.osm.pbf") == ["t.osm.pbf"] and len(places.clear_downloads(folder)) == 1
+    with pytest.raises(NotImplementedError):
+        places.geocode("x")
+    with pytest.raises(NotImplementedError):
+        places.get_data(c, "testland", folder)
+    assert places.slug("Île, de-France!") == "le_de_france"
