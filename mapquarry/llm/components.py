@@ -1,43 +1,5 @@
-"""Connected components of an edge table: distributed union-find by alternating stars."""
+"""Connected components of an edge table: the library's distributed union-find."""
 
-from __future__ import annotations
+from mapquarry.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpoint
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    # the pairs (a, larger neighbour) are the edges themselves, as a < b in each
-    return edges.join(low, "a").select(F.col("m").alias("a"), "b").where("a < b")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node's smaller neighbours are linked to the smallest of them, and so is the node."""
-    low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(low, "b")
-    return moved.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").union(low.select(F.col("m").alias("a"), "b"))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root for every node of edges(a, b); root is the smallest node of the component.
-
-    Large-star and small-star rounds until every edge leads to a root, O(log^2 n) of them; each is
-    cut by a reliable checkpoint. Joins are on a node with one row on one side, so adaptive
-    execution can split a hot node. Self-links and nulls are ignored; no edges give no rows.
-    """
-    order = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = checkpoint(order)
-    for _ in range(max_rounds):
-        now = checkpoint(_small_star(_large_star(now).distinct()).distinct())
-        # done when no node is both a child and a parent, and no child has two parents
-        children = now.groupBy("b").agg(F.count("*").alias("n"))
-        if children.where("n > 1").isEmpty() and now.join(children.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+__all__ = ["components"]
