@@ -254,7 +254,8 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame, contexts: Callable, wind
     if ordered:
         stats += [F.min(F.when(F.col("ref"), F.col("id"))).alias("least"), F.max("id").alias("most")]
     by_h = anchors.groupBy("h").agg(*stats).where("least < most" if ordered else "n > 1")
-    by_h = by_h.select("h", (F.col("c0") == F.col("c1")).alias("same"), *(["least"] if ordered else []))
+    # written, so that both sides of the join come from exchanges and a hot h can be split
+    by_h = written(by_h.select("h", (F.col("c0") == F.col("c1")).alias("same"), *(["least"] if ordered else [])))
     hits = anchors.join(by_h, "h")
     if ordered:
         hits = hits.where("id > least or (ref and not same)")
@@ -273,11 +274,11 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame, contexts: Callable, wind
         classes = mixed.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
         settled = F.col("n") > 1
         left_over = (F.col("first.doc") == F.col("doc")) & (F.col("first.at") == F.col("at"))
-    judged = written(mixed.join(classes, ["h", "ctx"]).select("doc", "at", "h", *more, settled.alias("settled"), left_over.alias("open")))
+    judged = written(mixed.join(written(classes), ["h", "ctx"]).select("doc", "at", "h", *more, settled.alias("settled"), left_over.alias("open")))
     whole = hits.where("same").select(*span).union(judged.where("settled").select(*span))
 
     rest = judged.where("open")
-    groups = rest.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    groups = written(rest.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     rest = rest.join(groups, "h").select("doc", "at", "h", *more, (F.col("n") > hot).alias("hot"))
     lists = [F.collect_list(c).alias(c) for c in ("at", "h", "hot", *more)]
     per_doc = rest.groupBy("doc").agg(*lists)
