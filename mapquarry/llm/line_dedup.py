@@ -8,10 +8,11 @@ union-find, and of each component the first line stays: the one with the smalles
 then place.
 
 Equal lines are one from the start. A band with up to WINDOW + 1 different lines is compared in full;
-in a larger one each line is first compared with WINDOW neighbours. If that leaves several components
-in it, common shingles made the band: it is split by each further hash of its lines' signatures, twice
-at most, and the lines of different components that still share a band are compared in full. Lines of
-that similarity share two more of their eight least hashes in all but a few of 1000 cases.
+in a larger one each line is first compared with WINDOW neighbours in the order of its further hashes,
+then, exactly, with the lines of other components only. Such pairs are judged inside the join, each in
+the first band it shares, by how many of the eight hashes agree (at least four, as nearly all similar
+lines have) and by the exact similarity, so only links leave it. Where most lines of a large band stay
+apart, common shingles made it: it is first split by each third hash.
 
 Defined cases: lines without a word stay, and so do null and empty texts; null ids come last when the
 first line is chosen; repeated rows are documents of their own (the first keeps its lines); an empty
@@ -40,35 +41,46 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda x: F.hash(x)))
 
 
-def _bands(s: Column) -> Column:
-    """Arrays of hashes: each pair of the first four, or the only one."""
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    two = [F.when(F.size(s) > j, F.array(F.get(s, F.lit(i)), F.get(s, F.lit(j)))) for i, j in pairs]
-    return F.array_compact(F.array(*two, F.when(F.size(s) == 1, F.slice(s, 1, 1))))
+def _pair(a: Column, b: Column) -> Column:
+    """Two hashes as one long."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def _large(bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, id, root for the bands of more than WINDOW + 1 lines in several components."""
+def _bands(s: Column) -> Column:
+    """struct(band, next) for each pair of the first four hashes, or the only hash; next: the two hashes after those of the band."""
+    at = lambda k: F.get(s, F.lit(k))
+    out = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            k, m = [x for x in range(5) if x not in (i, j)][:2]
+            out.append(F.when(F.size(s) > j, F.struct(_pair(at(i), at(j)).alias("band"), F.coalesce(_pair(at(k), at(m)), at(k).cast("long"), F.lit(0)).alias("next"))))
+    one = F.struct(_pair(at(0), at(0)).alias("band"), F.lit(0).cast("long").alias("next"))
+    return F.array_compact(F.array(*out, F.when(F.size(s) == 1, one)))
+
+
+def _links_across(bands: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between lines of different components in bands too large for the window."""
     hot = bands.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("band")
-    rooted = bands.join(hot, "band").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    return _apart(rooted)
-
-
-def _apart(rooted: DataFrame) -> DataFrame:
-    split = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    return rooted.join(split, "band")
-
-
-def _split(large: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The bands cut by each further hash of their lines."""
-    more = large.join(signatures, "id").select("id", "root", "band", F.explode(F.array_except("least", "band")).alias("h"))
-    return _apart(more.select(F.array_sort(F.array_append("band", F.col("h"))).alias("band"), "id", "root").distinct())
-
-
-def _crossing(apart: DataFrame) -> DataFrame:
-    """Pairs a, b of lines of different components in one band."""
-    other = apart.select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return apart.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(other, "band").where("ra < rb").select("a", "b").distinct()
+    rooted = bands.select("band", "id").join(hot, "band").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    apart = rooted.join(parts.select("band", (F.col("parts") * 2 > F.col("n")).alias("common")), "band").join(signatures, "id").join(sets, "id")
+    apart = written(apart)
+    third = F.explode(F.array_except("least", F.array(F.shiftright("band", 32).cast("int"), F.col("band").cast("int")))).alias("third")
+    out = None
+    for rows, key in ((apart.where("not common").withColumn("third", F.lit(None).cast("int")), ["band"]), (apart.where("common").select("*", third), ["band", "third"])):
+        side = lambda x, rows=rows, key=key: rows.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "least", "set")])
+        first = F.array_sort(F.array_intersect(F.slice("least_a", 1, 4), F.slice("least_b", 1, 4)))
+        all8 = F.array_intersect("least_a", "least_b")
+        own = F.col("band") == _pair(F.get(first, F.lit(0)), F.get(first, F.lit(1)))
+        if "third" in key:
+            own = own & (F.col("third") == F.array_min(F.array_except(all8, F.slice(first, 1, 2))))
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = both >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - both)
+        enough = F.size(all8) >= F.least(F.lit(4), F.size("least_a"), F.size("least_b"))
+        a, b = side("a"), side("b")
+        found = a.join(b, key).where((F.col("root_a") < F.col("root_b")) & own & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -87,8 +99,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
     distinct = written(lines.where("id is not null").groupBy("id").agg(F.min(place).alias("at"), F.first("least").alias("least")))
 
-    bands = distinct.select("id", F.explode(_bands(F.col("least"))).alias("band"))
-    here = W.partitionBy("band").orderBy("id")
+    bands = distinct.select("id", F.explode(_bands(F.col("least"))).alias("x")).select("id", "x.band", "x.next")
+    here = W.partitionBy("band").orderBy("next", "id")
     near = bands.select("id", F.collect_list("id").over(here.rowsBetween(-WINDOW, -1)).alias("near")).where(F.size("near") > 0)
     pairs = written(near.select(F.explode("near").alias("a"), F.col("id").alias("b")).distinct())
 
@@ -100,11 +112,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     edges = written(_similar(pairs, sets, threshold))
     comp = components(edges)
-    # bands too large for the window: lines of different components still to be compared
-    apart = _large(bands, comp.select(F.col("node").alias("id"), "root"))
-    for _ in range(2):
-        apart = _split(apart, distinct.select("id", "least"))
-    more = written(_similar(_crossing(written(apart)), sets, threshold))
+    more = written(_links_across(bands, comp.select(F.col("node").alias("id"), "root"), distinct.select("id", "least"), sets, threshold))
     if not more.isEmpty():
         comp = components(edges.union(more))
 
