@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import validate
+from .functions import geometry as G
 from .functions import presets
 from .functions.tag_sets import BASIC, COLUMNS
 from .model import MapData
@@ -105,6 +106,11 @@ class OSM:
         columns = self._columns(default, tags_as_columns, extra_attributes)
         return self._layer(custom, columns, timestamp, gate=validate.keys("osm_keys_to_keep", osm_keys_to_keep), filter_type=validate.choice("filter_type", filter_type, ("keep", "exclude")), nodes=keep_nodes, ways=keep_ways, relations=keep_relations, other_tags=keep_other_tags)
 
+    def get_nodes(self, timestamp=None) -> DataFrame:
+        """All nodes as points."""
+        nodes = self.data(timestamp).nodes
+        return nodes.withColumn("geometry", G.point(F.col("lon"), F.col("lat")))
+
     def get_network(self, network_type: str = "walking", extra_attributes=None, nodes: bool = False, timestamp=None, custom_filter=None, filter_type: str | None = None, tags_to_keep=None) -> network.Network:
         """Edges by way, or with nodes by segment and with the nodes of their ends. Presets exclude; advanced filters keep by default."""
         kind = network_type.lower() if isinstance(network_type, str) else ""

@@ -21,8 +21,9 @@ def present_keys(frame: DataFrame, keys: list[str]) -> list[str]:
 
 
 def leftovers(tags: Column, keys: list[str]) -> Column:
-    """JSON of the tags that are no columns, null if there are none."""
+    """JSON of the tags that are no columns, null if there are none; a tag called id is id_tag there."""
     rest = F.map_filter(tags, lambda k, _: ~k.isin(keys)) if keys else tags
+    rest = F.transform_keys(rest, lambda k, _: F.when(k == "id", "id_tag").otherwise(k))
     return F.when(F.size(rest) > 0, F.to_json(rest))
 
 

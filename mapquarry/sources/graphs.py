@@ -18,6 +18,13 @@ def _need(kind: str):
         raise ImportError(f"{NEEDS[kind]} is not installed, which graph_type={kind!r} needs") from e
 
 
+def renamed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables with the column names that street-network tools expect: osmid, x, y; u, v, key."""
+    from pyspark.sql import functions as F
+
+    return nodes.withColumnsRenamed({"id": "osmid", "lon": "x", "lat": "y"}), edges.withColumnRenamed("id", "osmid").withColumn("key", F.lit(0))
+
+
 def export(kind: str, nodes: DataFrame, edges: DataFrame, network_type: str):
     library = _need(kind)
     plain = [c for c in edges.columns if c not in ("geometry",)]

@@ -298,6 +298,13 @@ def load(spark: SparkSession, path: str, **options) -> MapData:
     return MapData(**frames, header=found)
 
 
+def blocks(spark: SparkSession, path: str):
+    """seq, type, offset, size of the blobs of a file, from their headers only."""
+    with open_file(path) as f:
+        rows = [(k, *b) for k, b in enumerate(index_blobs(f))]
+    return spark.createDataFrame(rows, "seq long, type string, offset long, size long")
+
+
 def ingest(spark: SparkSession, path: str, folder: str) -> MapData:
     """Decode once into Parquet, nodes in spatial order so that boxes prune row groups, and read that."""
     from pyspark.sql import functions as F

@@ -220,3 +220,31 @@ def test_places(spark, path, tmp_path):
     with pytest.raises(NotImplementedError):
         places.get_data(c, "testland", folder)
     assert places.slug("Île, de-France!") == "le_de_france"
+
+
+def test_blocks_nodes_and_names(spark, path):
+    from mapquarry.sources import graphs
+
+    b = pbf.blocks(spark, path).orderBy("seq").collect()
+    assert [r.type for r in b][0] == "OSMHeader" and all(r.type == "OSMData" for r in b[1:]) and len(b) >= 4
+    osm = OSM(path, spark=spark)
+    assert osm.get_nodes().where("geometry.type = 'Point'").count() == 7
+    net = osm.get_network("driving", nodes=True)
+    n, e = graphs.renamed(net.nodes, net.edges)
+    assert {"osmid", "x", "y"} <= set(n.columns) and {"osmid", "key", "u", "v"} <= set(e.columns)
+
+
+def test_history_file(spark, tmp_path):
+    from mapquarry.model import MapData
+
+    t = 1_500_000_000
+    nodes = spark.createDataFrame([(1, 1.0, 1.0, {"a": "1"}, 1, 1, t, True), (2, 1.1, 1.0, {}, 1, 1, t, True), (3, 1.2, 1.0, {}, 1, 1, t + 500, True)], NODE)
+    ways = spark.createDataFrame([(5, [1, 2], {"highway": "path", "name": "old"}, 1, 1, t, True)], WAY)
+    none = spark.createDataFrame([], RELATION)
+    writer.write(MapData(nodes, ways, none), str(tmp_path / "x.osh.pbf"))
+    osm = OSM(str(tmp_path / "x.osh.pbf"), spark=spark)
+    assert osm.history
+    with pytest.raises(NotImplementedError):
+        osm.to_pbf(str(tmp_path / "y.osm.pbf"))
+    # this writer leaves out visibility, which counts as not visible in a history file
+    assert osm.get_network("all", timestamp="2019-01-01").edges.count() == 0
