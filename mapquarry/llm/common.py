@@ -35,9 +35,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: columns can be pruned later."""
+    """Write df as Parquet in the shared folder and read it back: columns can be pruned later. It goes when the application ends."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
