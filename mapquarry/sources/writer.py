@@ -58,12 +58,14 @@ def _number(value, default: int = 0) -> int:
     return default if value is None or value != value else int(value)
 
 
-def _info(row) -> bytes:
+def _info(row, history: bool) -> bytes:
     out = wire.field(1, _number(row.version, -1)) + wire.field(2, _number(row.timestamp)) + wire.field(3, _number(getattr(row, "changeset", 0)))
+    if history:
+        out += wire.field(6, int(bool(row.visible)))
     return wire.field(4, out)
 
 
-def node_block(rows: pd.DataFrame) -> bytes:
+def node_block(rows: pd.DataFrame, history: bool = False) -> bytes:
     strings = _Strings()
     ids = rows["id"].to_numpy(np.int64)
     place = {c: np.rint(rows[c].to_numpy(np.float64) * 1e7).astype(np.int64) for c in ("lat", "lon")}
@@ -74,6 +76,8 @@ def node_block(rows: pd.DataFrame) -> bytes:
         mixed.append(0)
     number = lambda c: rows[c].fillna(0).to_numpy(np.int64)
     info = wire.field(1, wire.pack(number("version"))) + wire.field(2, wire.pack_signed(wire.deltas(number("timestamp")))) + wire.field(3, wire.pack_signed(wire.deltas(number("changeset"))))
+    if history:
+        info += wire.field(6, wire.pack(rows["visible"].fillna(False).to_numpy(np.int64)))
     dense = wire.field(1, wire.pack_signed(wire.deltas(ids))) + wire.field(5, info)
     dense += wire.field(8, wire.pack_signed(wire.deltas(place["lat"]))) + wire.field(9, wire.pack_signed(wire.deltas(place["lon"])))
     if any(mixed):
@@ -81,21 +85,21 @@ def node_block(rows: pd.DataFrame) -> bytes:
     return strings.table() + wire.field(2, wire.field(2, dense))
 
 
-def _element(row, strings: _Strings) -> bytes:
+def _element(row, strings: _Strings, history: bool) -> bytes:
     pairs = _pairs(row.tags)
     out = wire.field(1, int(row.id))
     if pairs:
         out += wire.field(2, wire.pack(np.array([strings(k) for k, _ in pairs]))) + wire.field(3, wire.pack(np.array([strings(v) for _, v in pairs])))
-    return out + _info(row)
+    return out + _info(row, history)
 
 
-def way_block(rows: pd.DataFrame) -> bytes:
+def way_block(rows: pd.DataFrame, history: bool = False) -> bytes:
     strings = _Strings()
-    body = b"".join(wire.field(3, _element(r, strings) + wire.field(8, wire.pack_signed(wire.deltas(r.refs)))) for r in rows.itertuples())
+    body = b"".join(wire.field(3, _element(r, strings, history) + wire.field(8, wire.pack_signed(wire.deltas(r.refs)))) for r in rows.itertuples())
     return strings.table() + wire.field(2, body)
 
 
-def relation_block(rows: pd.DataFrame) -> bytes:
+def relation_block(rows: pd.DataFrame, history: bool = False) -> bytes:
     strings = _Strings()
     body = b""
     for r in rows.itertuples():
@@ -103,12 +107,12 @@ def relation_block(rows: pd.DataFrame) -> bytes:
         roles = np.array([strings(x["member_role"] or "") for x in m], dtype=np.int64)
         kinds = np.array([MEMBER_TYPES.index(x["member_type"]) for x in m], dtype=np.int64)
         refs = wire.deltas(np.array([x["member_id"] for x in m], dtype=np.int64)) if m else []
-        body += wire.field(4, _element(r, strings) + wire.field(8, wire.pack(roles)) + wire.field(9, wire.pack_signed(refs)) + wire.field(10, wire.pack(kinds)))
+        body += wire.field(4, _element(r, strings, history) + wire.field(8, wire.pack(roles)) + wire.field(9, wire.pack_signed(refs)) + wire.field(10, wire.pack(kinds)))
     return strings.table() + wire.field(2, body)
 
 
-def blobs(frame_: DataFrame, kind: str, partitions: int | None = None) -> DataFrame:
-    """part, seq, blob: framed blocks of BLOCK elements in id order."""
+def blobs(frame_: DataFrame, kind: str, partitions: int | None = None, history: bool = False) -> DataFrame:
+    """part, seq, blob: framed blocks of BLOCK elements in the order of id and version, with history each with its visibility."""
     make = {"node": node_block, "way": way_block, "relation": relation_block}[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,14 +126,14 @@ def blobs(frame_: DataFrame, kind: str, partitions: int | None = None) -> DataFr
                 rows = pd.concat(held, ignore_index=True)
                 full = size - size % BLOCK
                 for k in range(0, full, BLOCK):
-                    yield pd.DataFrame({"part": [part], "seq": [seq], "blob": [frame("OSMData", make(rows.iloc[k : k + BLOCK]))]})
+                    yield pd.DataFrame({"part": [part], "seq": [seq], "blob": [frame("OSMData", make(rows.iloc[k : k + BLOCK], history))]})
                     seq += 1
                 held, size = [rows.iloc[full:]], size - full
         if size:
-            yield pd.DataFrame({"part": [part], "seq": [seq], "blob": [frame("OSMData", make(pd.concat(held, ignore_index=True)))]})
+            yield pd.DataFrame({"part": [part], "seq": [seq], "blob": [frame("OSMData", make(pd.concat(held, ignore_index=True), history))]})
 
     ordered = frame_.repartitionByRange(partitions, "id") if partitions else frame_.repartitionByRange("id")
-    return ordered.sortWithinPartitions("id").mapInPandas(run, "part int, seq int, blob binary")
+    return ordered.sortWithinPartitions("id", "version").mapInPandas(run, "part int, seq int, blob binary")
 
 
 def write(data: MapData, path: str, partitions: int | None = None) -> str:
@@ -138,10 +142,11 @@ def write(data: MapData, path: str, partitions: int | None = None) -> str:
 
     system, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
     temp = f"{place}.part"
+    history = "HistoricalInformation" in data.header.required
     with system.open_output_stream(temp) as out:
         out.write(frame("OSMHeader", header_bytes(data.header)))
         for kind, rows in (("node", data.nodes), ("way", data.ways), ("relation", data.relations)):
-            for row in blobs(rows, kind, partitions).toLocalIterator():
+            for row in blobs(rows, kind, partitions, history).toLocalIterator():
                 out.write(bytes(row.blob))
     system.move(temp, place)
     return path

@@ -238,13 +238,17 @@ def test_history_file(spark, tmp_path):
     from mapquarry.model import MapData
 
     t = 1_500_000_000
-    nodes = spark.createDataFrame([(1, 1.0, 1.0, {"a": "1"}, 1, 1, t, True), (2, 1.1, 1.0, {}, 1, 1, t, True), (3, 1.2, 1.0, {}, 1, 1, t + 500, True)], NODE)
-    ways = spark.createDataFrame([(5, [1, 2], {"highway": "path", "name": "old"}, 1, 1, t, True)], WAY)
-    none = spark.createDataFrame([], RELATION)
-    writer.write(MapData(nodes, ways, none), str(tmp_path / "x.osh.pbf"))
-    osm = OSM(str(tmp_path / "x.osh.pbf"), spark=spark)
-    assert osm.history
+    nodes = spark.createDataFrame([(1, 1.0, 1.0, {"a": "1"}, 1, 1, t, True), (2, 1.1, 1.0, {}, 1, 1, t, True), (2, 1.15, 1.0, {}, 2, 1, t + 50, True), (3, 1.2, 1.0, {}, 1, 1, t + 500, True)], NODE)
+    ways = spark.createDataFrame([(5, [1, 2], {"highway": "path", "name": "old"}, 1, 1, t, True), (5, [1, 2, 3], {"highway": "track"}, 2, 1, t + 600, True), (6, [1, 2], {"highway": "path"}, 1, 1, t, True), (6, [1, 2], {"highway": "path"}, 2, 1, t + 10, False)], WAY)
+    header = Header(None, ("OsmSchema-V0.6", "DenseNodes", "HistoricalInformation"))
+    file = writer.write(MapData(nodes, ways, spark.createDataFrame([], RELATION), header), str(tmp_path / "x.osh.pbf"))
+    osm = OSM(file, spark=spark)
+    assert osm.history and rows(osm._whole.nodes) == rows(nodes)
     with pytest.raises(NotImplementedError):
         osm.to_pbf(str(tmp_path / "y.osm.pbf"))
-    # this writer leaves out visibility, which counts as not visible in a history file
-    assert osm.get_network("all", timestamp="2019-01-01").edges.count() == 0
+    then = {r.id: (r.highway, r.name, len(r.geometry.rings)) for r in osm.get_network("all", timestamp=t + 100).edges.collect()}
+    assert then == {5: ("path", "old", 1), 6: ("path", None, 1)}  # what was deleted shows its last state
+    later = {r.id: (r.highway, r.name, len(r.geometry.rings)) for r in osm.get_network("all", timestamp=t + 1000).edges.collect()}
+    assert later[5] == ("track", "old", 2)
+    strict = OSM(file, spark=spark, history_mode="strict")
+    assert {r.id for r in strict.get_network("all", timestamp=t + 100).edges.collect()} == {5}
