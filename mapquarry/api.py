@@ -12,7 +12,8 @@ from .functions import geometry as G
 from .functions import presets
 from .functions.tag_sets import BASIC, COLUMNS
 from .model import MapData
-from .operators import edit, features, history, network, selection, simplify, tag_filter
+from .operators import edit, features, history, network, selection, tag_filter
+from .operators import simplify as simplification
 from .plans import cache
 from .sources import geoparquet, pbf, writer
 
@@ -126,14 +127,14 @@ class OSM:
         ways = network.select_ways(data.ways, custom, gate, how)
         return network.network(ways, data.nodes, kind, columns, self.box, validate.flag("nodes", nodes), self.keep_metadata or self.history, self.compact)
 
-    def to_graph(self, net: network.Network, graph_type: str = "frames", direction: str = "oneway", retain_all: bool = False, force_bidirectional: bool = False, simplified: bool = False, simplify_kwargs: dict | None = None):
+    def to_graph(self, net: network.Network, graph_type: str = "frames", direction: str = "oneway", retain_all: bool = False, force_bidirectional: bool = False, simplify: bool = False, simplify_kwargs: dict | None = None):
         """Directed (nodes, edges) as tables, or an object of a graph library if that is installed."""
         if net.nodes is None:
             raise ValueError("a graph needs a network read with nodes=True")
         edges, points = network.directed_edges(net, direction, force_bidirectional), net.nodes
-        if simplified:
+        if simplify:
             numbered = edges.withColumn("row_id", F.col("id") * 65536 + F.col("seq") * 2 + F.col("reversed").cast("long"))
-            edges, points = simplify.simplify(numbered, points, **(simplify_kwargs or {}))
+            edges, points = simplification.simplify(numbered, points, **(simplify_kwargs or {}))
         if not retain_all:
             points, edges = network.largest_strong_part(edges, points)
         if graph_type == "frames":

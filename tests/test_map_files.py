@@ -107,6 +107,9 @@ def test_network_and_graph(spark, path):
     assert e.count() == 2 + 2 and {r.id for r in n.collect()} == {3, 5, 6}
     n, e = osm.to_graph(net)
     assert {r.id for r in n.collect()} == {5, 6}
+    n, e = osm.to_graph(net, retain_all=True, simplify=True)
+    # 5 has two neighbours and four edge ends, so the walk from 3 passes it, and the one from 6 ends there
+    assert sorted((r.u, r.v) for r in e.collect()) == [(3, 6), (6, 5)]
     with pytest.raises(ImportError):
         osm.to_graph(net, "igraph")
     assert osm.get_network("all").edges.count() == 2
