@@ -88,16 +88,23 @@ class Encoder:
         for k in range(0, len(texts), together):
             some = [t or "" for t in texts[k : k + together]]
             chunks = [None if _WHOLE.search(t) else _CHUNK.findall(t) for t in some]
-            new: set[str] = set()
-            for c in chunks:
-                if c:
-                    new.update(set(c).difference(known))
+            found = [c and list(map(known.get, c)) for c in chunks]
+            gaps: list[list[int]] = []
+            for f in found:
+                gaps.append([])
+                if f and None in f:
+                    at = -1
+                    for _ in range(f.count(None)):
+                        at = f.index(None, at + 1)
+                        gaps[-1].append(at)
+            new = {c[i] for c, g in zip(chunks, gaps, strict=True) for i in g}
             if len(known) + len(new) > self.max_words:
                 known.clear()
-                new = {x for c in chunks if c for x in c}
             self._learn(list(new))
-            for t, c in zip(some, chunks, strict=True):
-                yield (self._encode([t])[0] if c is None else b"".join(map(known.__getitem__, c))) + self.end
+            for t, c, f, g in zip(some, chunks, found, gaps, strict=True):
+                for i in g:
+                    f[i] = known[c[i]]
+                yield (self._encode([t])[0] if c is None else b"".join(f)) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
