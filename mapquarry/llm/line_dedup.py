@@ -65,7 +65,7 @@ def _links_across(bands: DataFrame, roots: DataFrame, signatures: DataFrame, set
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
     apart = rooted.join(parts.select("band", (F.col("parts") * 2 > F.col("n")).alias("common")), "band").join(signatures, "id").join(sets, "id")
     apart = written(apart)
-    third = F.explode(F.array_except("least", F.array(F.shiftright("band", 32).cast("int"), F.col("band").cast("int")))).alias("third")
+    third = F.explode(F.array_except("least", F.array(F.shiftright("band", 32).cast("int"), F.shiftright(F.shiftleft("band", 32), 32).cast("int")))).alias("third")
     out = None
     for rows, key in ((apart.where("not common").withColumn("third", F.lit(None).cast("int")), ["band"]), (apart.where("common").select("*", third), ["band", "third"])):
         side = lambda x, rows=rows, key=key: rows.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "least", "set")])

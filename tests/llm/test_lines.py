@@ -82,6 +82,24 @@ def test_large_band_is_compared_in_full(spark):
     assert sum(x.n_removed for x in got) == len(brute(rows)) == 59
 
 
+def test_common_shingles_make_no_links(spark):
+    """Two words with the least hashes stand in all lines, which are otherwise different, but for pairs of copies."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(12))
+    pool = spark.createDataFrame([(word(),) for _ in range(4000)], "w string").select("w", F.hash(F.substring("w", 1, 10)).alias("h")).orderBy("h").limit(2).collect()
+    common = [x.w for x in pool]
+    rows = []
+    for k in range(40):
+        w = [word() for _ in range(20)]
+        rows.append((2 * k, " ".join(common + w)))
+        w[r.randrange(20)] = word()
+        rows.append((2 * k + 1, " ".join(common + w)))
+    got = {x.doc_id: x.n_removed for x in line_dedup.removed_lines(docs(spark, rows)).collect()}
+    assert len(brute(rows)) == 40 and sum(got.values()) >= 39 and not any(got[2 * k] for k in range(40))
+
+
 def test_text_and_empty_table(spark):
     d = docs(spark, [(1, "first line of it\nother words here\nfirst line of it"), (2, "other words here\nnew one"), (3, None)])
     out = {r.doc_id: r.text for r in line_dedup.dedup(d).collect()}
