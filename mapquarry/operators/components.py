@@ -25,7 +25,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         now = checkpoint(_small(_large(now).distinct()).distinct())
-        parents = now.groupBy("b").agg(F.count("*").alias("n"))
-        if parents.where("n > 1").isEmpty() and now.join(parents.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        # done when each node has one parent, and no parent has one itself
+        ends = now.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("a", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if open_.isEmpty():
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
