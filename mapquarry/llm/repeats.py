@@ -69,9 +69,11 @@ def least_in_windows(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def least_places(h: np.ndarray, w: int) -> np.ndarray:
-    """For each w neighbouring hashes the place of the least (the first among equals)."""
-    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    """For each w neighbouring hashes the place of the least (by the upper 32 bits; the first among equals).
+
+    The number of bits is the same for every chunk, so equal windows choose alike wherever they stand.
+    """
+    low = np.uint64(0xFFFFFFFF)
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     return (least_in_windows(v, w) & low).astype(np.int64)
 

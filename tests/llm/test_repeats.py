@@ -95,6 +95,21 @@ def test_words(spark, seed):
     assert order(got) == order(brute_words(rows))
 
 
+def test_places_do_not_depend_on_the_chunk():
+    import numpy as np
+
+    from mapquarry.llm import repeats
+
+    r = np.random.default_rng(1)
+    # hashes whose upper halves agree often: the first of them counts, however long the chunk is
+    h = (r.integers(0, 9, 5000, dtype=np.uint64) << np.uint64(32)) | r.integers(0, 2**32, 5000, dtype=np.uint64)
+    whole = repeats.least_places(h, 20)
+    for a, b in ((0, 50), (100, 900), (17, 4999)):
+        assert np.array_equal(repeats.least_places(h[a:b], 20) + a, whole[a : b - 19])
+    upper = h >> np.uint64(32)
+    assert all(whole[k] == k + int(upper[k : k + 20].argmin()) for k in range(0, 4000, 7))
+
+
 def test_hot_groups(spark):
     rows = corpus(4)
     assert order(suffix_dedup.dedup(frame(spark, rows), False, hot=2).collect()) == order(brute_bytes(rows))
