@@ -8,8 +8,8 @@ union-find, and of each component the first line stays: the one with the smalles
 then place.
 
 Equal lines are one from the start. A band with up to WINDOW + 1 different lines is compared in full;
-in a larger one each line is first compared with WINDOW neighbours in the order of its further hashes,
-then, exactly, with the lines of other components only. Such pairs are judged inside the join, each in
+in a larger one each line is first compared with WINDOW neighbours in the order of its further hashes
+and with the PIVOTS lines that stand in most documents, from which others mostly descend, then, exactly, with the lines of other components only. Such pairs are judged inside the join, each in
 the first band it shares, by how many of the eight hashes agree (at least four, as nearly all similar
 lines have) and by the exact similarity, so only links leave it. Where most lines of a large band stay
 apart, common shingles made it: it is first split by each third hash.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import with_row_key, written
 from .components import components
 
-WINDOW = 8
+WINDOW, PIVOTS = 8, 8
 SHINGLE = r"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{0,9}))"
 
 
@@ -58,27 +58,46 @@ def _bands(s: Column) -> Column:
     return F.array_compact(F.array(*out, F.when(F.size(s) == 1, one)))
 
 
-def _links_across(bands: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b between lines of different components in bands too large for the window."""
-    hot = bands.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("band")
-    rooted = bands.select("band", "id").join(hot, "band").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    apart = rooted.join(parts.select("band", (F.col("parts") * 2 > F.col("n")).alias("common")), "band").join(signatures, "id").join(sets, "id")
-    apart = written(apart)
-    third = F.explode(F.array_except("least", F.array(F.shiftright("band", 32).cast("int"), F.shiftright(F.shiftleft("band", 32), 32).cast("int")))).alias("third")
+def _mask(least: Column, shift: int) -> Column:
+    """64 bits, one set for each hash of the signature (by six of its bits)."""
+    bits = [F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.get(least, F.lit(k)), shift).bitwiseAND(63)), F.lit(0)) for k in range(8)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+#: Bands of more lines than this, most of them apart, are split by a third hash.
+SPLIT = 4096
+
+
+def _links_across(hot: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between lines of different components in bands (rows band, id) too large for the window."""
+    rooted = hot.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("parts > 1")
+    split = (F.col("n") > SPLIT) & (F.col("parts") * 2 > F.col("n"))
+    apart = rooted.join(parts.select("band", "largest", split.alias("split")), "band").join(signatures, "id").join(sets, "id")
+    least = F.col("least")
+    apart = written(apart.select("band", "id", "root", "split", (F.col("root") == F.col("largest")).alias("major"), "set", "least", F.size("least").alias("m"), _mask(least, 0).alias("x"), _mask(least, 6).alias("y")))
+    pair = F.array(F.shiftright("band", 32).cast("int"), F.shiftright(F.shiftleft("band", 32), 32).cast("int"))
+    third = F.explode(F.array_except("least", pair)).alias("third")
     out = None
-    for rows, key in ((apart.where("not common").withColumn("third", F.lit(None).cast("int")), ["band"]), (apart.where("common").select("*", third), ["band", "third"])):
-        side = lambda x, rows=rows, key=key: rows.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "least", "set")])
+    for rows, key in ((apart.where("not split"), ["band"]), (apart.where("split").select("*", third), ["band", "third"])):
+
+        def side(name: str, rows: DataFrame = rows, key: list[str] = key) -> DataFrame:
+            return rows.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in ("id", "root", "major", "m", "x", "y", "least", "set")])
+
         first = F.array_sort(F.array_intersect(F.slice("least_a", 1, 4), F.slice("least_b", 1, 4)))
-        all8 = F.array_intersect("least_a", "least_b")
-        own = F.col("band") == _pair(F.get(first, F.lit(0)), F.get(first, F.lit(1)))
+        own = F.slice(first, 1, 2) == F.array_sort(pair)  # the first band that both share
         if "third" in key:
-            own = own & (F.col("third") == F.array_min(F.array_except(all8, F.slice(first, 1, 2))))
+            own = own & (F.col("third") == F.array_min(F.array_except(F.array_intersect("least_a", "least_b"), pair)))
+        agree = F.greatest(*[F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in "xy"]) >= F.least(F.lit(4), F.col("m_a"), F.col("m_b"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         alike = both >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - both)
-        enough = F.size(all8) >= F.least(F.lit(4), F.size("least_a"), F.size("least_b"))
-        a, b = side("a"), side("b")
-        found = a.join(b, key).where((F.col("root_a") < F.col("root_b")) & own & enough & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        # lines outside the band's largest component with all others: within it nothing is left to link
+        pairs = side("a").where("not major_a").join(side("b"), key)
+        open_ = (F.col("root_a") != F.col("root_b")) & (F.col("major_b") | (F.col("root_a") < F.col("root_b")))
+        found = pairs.where(open_ & agree & own & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         out = found if out is None else out.union(found)
     return out
 
@@ -97,12 +116,17 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sketched = each.withColumn("h", shingles(F.col("line"))).select("row", "doc_id", "pos", F.when(F.size("h") > 0, F.xxhash64("line")).alias("id"), F.slice(F.sort_array("h"), 1, 8).alias("least"))
     lines = written(sketched)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
-    distinct = written(lines.where("id is not null").groupBy("id").agg(F.min(place).alias("at"), F.first("least").alias("least")))
-
-    bands = distinct.select("id", F.explode(_bands(F.col("least"))).alias("x")).select("id", "x.band", "x.next")
-    here = W.partitionBy("band").orderBy("next", "id")
-    near = bands.select("id", F.collect_list("id").over(here.rowsBetween(-WINDOW, -1)).alias("near")).where(F.size("near") > 0)
-    pairs = written(near.select(F.explode("near").alias("a"), F.col("id").alias("b")).distinct())
+    distinct = written(lines.where("id is not null").groupBy("id").agg(F.min(place).alias("at"), F.first("least").alias("least"), F.count("*").alias("copies")))
+
+    bands = distinct.select("id", "copies", F.explode(_bands(F.col("least"))).alias("x")).select("id", "copies", "x.band", "x.next")
+    here, whole = W.partitionBy("band").orderBy("next", "id"), W.partitionBy("band").orderBy(F.desc("copies"), "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    pivots = F.array_compact(F.array(*[F.nth_value("id", k + 1).over(whole) for k in range(PIVOTS)]))
+    near = bands.select("band", "id", F.collect_list("id").over(here.rowsBetween(-WINDOW, -1)).alias("near"), F.count("*").over(whole).alias("n"), pivots.alias("pivots")).where("n > 1")
+    large = F.col("n") > WINDOW + 1
+    near = near.select(F.when(large, F.col("band")).alias("band"), "id", F.when(large, F.concat("near", "pivots")).otherwise(F.col("near")).alias("near"))
+    near = written(near.where("band is not null or size(near) > 0"))
+    pairs = near.select(F.explode("near").alias("x"), "id").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    pairs = written(pairs.distinct())
 
     # the shingles of lines in any pair, from the document in which they stand first
     members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -112,7 +136,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     edges = written(_similar(pairs, sets, threshold))
     comp = components(edges)
-    more = written(_links_across(bands, comp.select(F.col("node").alias("id"), "root"), distinct.select("id", "least"), sets, threshold))
+    more = written(_links_across(near.where("band is not null").select("band", "id"), comp.select(F.col("node").alias("id"), "root"), distinct.select("id", "least"), sets, threshold))
     if not more.isEmpty():
         comp = components(edges.union(more))
 
