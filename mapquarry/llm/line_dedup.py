@@ -58,13 +58,10 @@ def _bands(s: Column) -> Column:
     return F.array_compact(F.array(*out, F.when(F.size(s) == 1, one)))
 
 
-def _mask(least: Column, shift: int) -> Column:
-    """64 bits, one set for each hash of the signature (by six of its bits)."""
-    bits = [F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.get(least, F.lit(k)), shift).bitwiseAND(63)), F.lit(0)) for k in range(8)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def _odd(hashes: Column, half: int) -> Column:
+    """64 of 128 bits, each the parity of the hashes that fall on it: a hash in one of two sets only flips one bit."""
+    bit = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(1) == half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
 #: Bands of more lines than this, most of them apart, are split by a third hash.
@@ -72,34 +69,35 @@ SPLIT = 4096
 
 
 def _links_across(hot: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b between lines of different components in bands (rows band, id) too large for the window."""
+    """Links a, b between the roots of different components, in bands (rows band, id) too large for the window."""
     rooted = hot.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("parts > 1")
     split = (F.col("n") > SPLIT) & (F.col("parts") * 2 > F.col("n"))
     apart = rooted.join(parts.select("band", "largest", split.alias("split")), "band").join(signatures, "id").join(sets, "id")
-    least = F.col("least")
-    apart = written(apart.select("band", "id", "root", "split", (F.col("root") == F.col("largest")).alias("major"), "set", "least", F.size("least").alias("m"), _mask(least, 0).alias("x"), _mask(least, 6).alias("y")))
+    apart = written(apart.select("band", "id", "root", "split", (F.col("root") == F.col("largest")).alias("major"), "set", "least", F.size("set").alias("n"), _odd(F.col("set"), 0).alias("x"), _odd(F.col("set"), 1).alias("y")))
     pair = F.array(F.shiftright("band", 32).cast("int"), F.shiftright(F.shiftleft("band", 32), 32).cast("int"))
     third = F.explode(F.array_except("least", pair)).alias("third")
     out = None
     for rows, key in ((apart.where("not split"), ["band"]), (apart.where("split").select("*", third), ["band", "third"])):
 
         def side(name: str, rows: DataFrame = rows, key: list[str] = key) -> DataFrame:
-            return rows.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in ("id", "root", "major", "m", "x", "y", "least", "set")])
+            return rows.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in ("id", "root", "major", "n", "x", "y", "least", "set")])
 
         first = F.array_sort(F.array_intersect(F.slice("least_a", 1, 4), F.slice("least_b", 1, 4)))
         own = F.slice(first, 1, 2) == F.array_sort(pair)  # the first band that both share
         if "third" in key:
             own = own & (F.col("third") == F.array_min(F.array_except(F.array_intersect("least_a", "least_b"), pair)))
-        agree = F.greatest(*[F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in "xy"]) >= F.least(F.lit(4), F.col("m_a"), F.col("m_b"))
+        # similar sets differ in few hashes, and at least in as many as bits of their parities do
+        differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
+        near = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-6
         both = F.size(F.array_intersect("set_a", "set_b"))
         alike = both >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - both)
         # lines outside the band's largest component with all others: within it nothing is left to link
         pairs = side("a").where("not major_a").join(side("b"), key)
         open_ = (F.col("root_a") != F.col("root_b")) & (F.col("major_b") | (F.col("root_a") < F.col("root_b")))
-        found = pairs.where(open_ & agree & own & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        found = pairs.where(open_ & near & own & alike).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         out = found if out is None else out.union(found)
-    return out
+    return out.distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -136,11 +134,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     edges = written(_similar(pairs, sets, threshold))
     comp = components(edges)
-    more = written(_links_across(near.where("band is not null").select("band", "id"), comp.select(F.col("node").alias("id"), "root"), distinct.select("id", "least"), sets, threshold))
+    roots = comp.select(F.col("node").alias("id"), "root")
+    more = written(_links_across(near.where("band is not null").select("band", "id"), roots, distinct.select("id", "least"), sets, threshold))
+    named = distinct.select("id", "at").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     if not more.isEmpty():
-        comp = components(edges.union(more))
-
-    named = distinct.select("id", "at").join(comp.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = named.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     first = named.groupBy("root").agg(F.min("at").alias("first"))
     keep = named.join(first, "root").select("id", F.col("first.row").alias("keep_row"), F.col("first.pos").alias("keep_pos"))
     judged = lines.select("row", "doc_id", "pos", "id").join(keep, "id", "left")
