@@ -81,8 +81,8 @@ def split_ways(data: MapData, layer: Layer) -> tuple[DataFrame, DataFrame, DataF
 
 
 def way_features(ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
-    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2)
-    points = selection.plain_points()
+    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2).withColumn("plain", selection.plain_points())
+    points = F.col("plain")
     closed = F.element_at("refs", 1) == F.element_at("refs", -1)
     geom = F.when(closed & way_is_area(F.col("tags"), layer.columns), G.way_polygon(points)).otherwise(G.way_line(points))
     return placed.select("id", F.lit("way").alias("osm_type"), "tags", geom.alias("geometry"), "visible", *_metadata(layer, "version", "timestamp"))

@@ -34,10 +34,10 @@ def select_ways(ways: DataFrame, custom, gate: list[str], filter_type: str) -> D
 
 def way_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row for each way with a line of its pieces and its length: rounded pieces summed, then to whole metres (half to even)."""
-    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2)
-    parts = G.pieces(selection.plain_points())
-    mm = G.total_millimetres(parts)
-    return placed.select("id", "tags", "version", "timestamp", "visible", G.way_line(selection.plain_points()).alias("geometry"), mm.alias("length_mm"), F.bround(mm / 1000, 0).alias("length"))
+    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2).withColumn("parts", G.pieces(selection.plain_points()))
+    kind = F.when(F.size("parts") == 1, "LineString").otherwise("MultiLineString")
+    measured = placed.select("id", "tags", "version", "timestamp", "visible", G.geometry(kind, F.col("parts")).alias("geometry"), G.total_millimetres(F.col("parts")).alias("length_mm"))
+    return measured.withColumn("length", F.bround(F.col("length_mm") / 1000, 0))
 
 
 def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
