@@ -1,4 +1,4 @@
-"""Feature tables as GeoParquet: geometry in WKB, and the layout's metadata in each file's footer."""
+"""Feature tables as Parquet with geometry in WKB, and GeoParquet's metadata in a file beside them."""
 
 from __future__ import annotations
 
@@ -51,7 +51,7 @@ def metadata(kinds: list[str]) -> str:
 
 
 def write(frame: DataFrame, folder: str) -> str:
-    """Write the table below folder; the key geo stands in Spark's footers through the writer's extra metadata file."""
+    """Write the table below folder. Spark's writer sets no footer keys, so what the key geo would hold is in _geo_metadata."""
     kinds = sorted(r[0] for r in frame.select("geometry.type").where("type is not null").distinct().collect())
     with_wkb(frame).write.mode("overwrite").parquet(folder)
     spark = frame.sparkSession
