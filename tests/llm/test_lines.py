@@ -105,3 +105,41 @@ def test_text_and_empty_table(spark):
     out = {r.doc_id: r.text for r in line_dedup.dedup(d).collect()}
     assert out == {1: "first line of it\nother words here", 2: "new one", 3: None}
     assert line_dedup.removed_lines(docs(spark, [])).count() == 0
+
+
+def whole(rows):
+    """Documents' ids and places removed, with all pairs of lines compared by the 10 characters from every character on."""
+    at = [((i, pos), {x[k : k + 10] for k in range(max(1, len(x) - 9))}) for i, t in rows for pos, x in enumerate(t.split("\n")) if x.strip()]
+    first = list(range(len(at)))
+    for a in range(len(at)):
+        for b in range(a):
+            x, y = at[a][1], at[b][1]
+            if len(x & y) >= 0.8 * len(x | y):
+                first = [first[b] if f == first[a] else f for f in first]
+    return {place for k, (place, _) in enumerate(at) if k != first.index(first[k])}
+
+
+def test_lines_are_compared_to_their_ends(spark):
+    """Lines without spaces, and long words, that differ only after the first ten characters are kept."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    url = "https://example.com/" + word(60)
+    long = [word(40) for _ in range(5)]
+    texts = [
+        "https://example.com/a/one\nhttps://example.org/b/other",
+        "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427\n\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u53f8\u52a0\u73ed\u5199\u62a5\u544a",
+        " ".join(w[:10] + word(30) for w in long) + "\n" + " ".join(long),
+        "short\nshort x\n" + url + "\n" + url + "/\nshort\n   \n" + "\U0001f600" * 3 + url[:60],
+        " ".join(long[:4]) + " " + long[4][:-1],
+    ]
+    rows = list(enumerate(texts))
+    got = {(x.doc_id, p) for x in line_dedup.removed_lines(docs(spark, rows)).collect() for p in x.removed}
+    assert got == whole(rows) == {(3, 3), (3, 4), (4, 0)}
+
+
+def test_all_shingles_against_all_pairs(spark):
+    """No line is removed that all pairs of whole lines would keep, and nearly all others are."""
+    rows = [(k, t) for k, (_, t) in enumerate(make(7)) if t]
+    got = {(x.doc_id, p) for x in line_dedup.removed_lines(docs(spark, rows).coalesce(1)).collect() for p in x.removed}
+    want = whole(rows)
+    assert got <= want and len(want - got) <= 0.02 * len(want) and len(want) > 60
