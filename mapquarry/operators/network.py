@@ -203,6 +203,8 @@ def strong_components(edges: DataFrame, driver_edges: int = 2_000_000, max_round
             rest = kept
             if same:
                 break
+        else:
+            raise RuntimeError(f"edges not trimmed after {max_rounds} rounds")
         if rest.isEmpty():
             break
         label = checkpoint(rest.select(F.col("u").alias("node")).union(rest.select("v")).distinct().withColumn("label", F.col("node")))
@@ -213,6 +215,8 @@ def strong_components(edges: DataFrame, driver_edges: int = 2_000_000, max_round
             label = new
             if moved:
                 break
+        else:
+            raise RuntimeError(f"labels not settled after {max_rounds} rounds")
         lu, lv = label.select(F.col("node").alias("u"), F.col("label").alias("lu")), label.select(F.col("node").alias("v"), F.col("label").alias("lv"))
         within = checkpoint(rest.join(lu, "u").join(lv, "v").where("lu = lv").select("u", "v", F.col("lu").alias("label")))
         reached = label.where("node = label")
@@ -223,9 +227,13 @@ def strong_components(edges: DataFrame, driver_edges: int = 2_000_000, max_round
             if frontier.isEmpty():
                 break
             reached = checkpoint(reached.union(frontier))
+        else:
+            raise RuntimeError(f"components not reached backward after {max_rounds} rounds")
         found = reached.select("node", F.col("label").alias("component"))
         done = found if done is None else done.union(found)
         rest = checkpoint(rest.join(reached.select(F.col("node").alias("u")), "u", "left_anti").join(reached.select(F.col("node").alias("v")), "v", "left_anti"))
+    else:
+        raise RuntimeError(f"strong components not found after {max_rounds} rounds")
     if done is None:
         return alone.select("node", F.col("node").alias("component"))
     return alone.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -90,3 +90,9 @@ def test_loop_to_an_endpoint(spark):
     got = chain(spark, [(4, 1, 1.0, "a"), (1, 2, 1.0, "a"), (2, 3, 1.0, "a"), (3, 1, 1.0, "a")], track_merged=True)
     rows = {(r.u, r.v): [tuple(x) for x in r.merged_edges] for r in got.collect()}
     assert rows == {(4, 1): [(4, 1)], (1, 1): [(1, 2), (2, 3), (3, 1)]}
+
+
+def test_strong_components_raise_when_rounds_run_out(spark):
+    e = spark.createDataFrame([(k, (k + 1) % 6) for k in range(6)], "u long, v long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        network.strong_components(e, driver_edges=0, max_rounds=2).collect()
