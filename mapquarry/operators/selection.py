@@ -86,12 +86,12 @@ def crop(data: MapData, box: Box, keep_relations: bool = True) -> MapData:
     return data.at(nodes=nodes, ways=ways, relations=relations)
 
 
-def closure(data: MapData, relation_ids: DataFrame, way_ids: DataFrame, node_ids: DataFrame, max_depth: int = 100) -> MapData:
+def closure(data: MapData, relation_ids: DataFrame, way_ids: DataFrame, node_ids: DataFrame) -> MapData:
     """All that the given elements (columns id) refer to: sub-relations to a fixpoint, ways, nodes."""
     known = checkpoint(relation_ids.select("id").distinct())
     members = member_rows(data.relations)
     fresh = known
-    for _ in range(max_depth):
+    while True:  # known only grows, so it ends
         below = members.join(fresh.select(F.col("id").alias("relation_id")), "relation_id", "left_semi").where("member_type = 'relation'")
         fresh = checkpoint(below.select(F.col("member_id").alias("id")).distinct().join(known, "id", "left_anti"))
         if fresh.isEmpty():

@@ -141,6 +141,15 @@ def test_closure_follows_relations(data):
     assert {r.id for r in got.ways.collect()} == {13} and {r.id for r in got.nodes.collect()} == {2, 3, 4}
 
 
+def test_closure_follows_deep_relations(spark, data):
+    """A chain of relations deeper than 100 levels."""
+    chain = spark.range(1000, 1103).selectExpr("id", "array(named_struct('member_id', id + 1, 'member_type', 'relation', 'member_role', '')) AS members")
+    ids = spark.createDataFrame([(1000,)], "id long")
+    none = ids.where("false")
+    got = selection.closure(data.at(relations=chain), ids, none, none)
+    assert got.relations.count() == 103
+
+
 def test_edit(spark, path, tmp_path):
     osm = OSM(path, spark=spark)
     point = lambda *p: {"type": "Point", "rings": [[{"x": x, "y": y} for x, y in p]], "part_of": [0]}
