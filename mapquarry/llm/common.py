@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import storage
+
 #: White space that ends a word: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -18,13 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new folder name below spark.checkpoint.dir; a temporary folder where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="mapquarry-"))
-        base = sc.getCheckpointDir()
+        base = storage.checkpoint_dir(spark)
     return f"{base.rstrip('/')}/mapquarry-{uuid.uuid4().hex}"
 
 
@@ -44,14 +42,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes whose rows stand in the same partition and order whenever they are computed again.
+_STEADY = frozenset("Project Filter LogicalRelation LogicalRDD LocalRelation Range SubqueryAlias".split())
+
+
+def _steady(df: DataFrame) -> bool:
+    open_ = [df._jdf.queryExecution().optimizedPlan()]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() not in _STEADY:
+            return False
+        below = node.children()
+        open_ += [below.apply(k) for k in range(below.size())]
+    return True
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """Number the rows, so that repeated and null ids stay separate rows.
 
     The number is fixed by file split and place in it, hence the same when a lost task or a second
-    branch of the plan reads the Parquet input again. Inputs that come from a shuffle should be
-    checkpointed before.
+    branch of the plan reads the input again. An input that comes from more than a scan with
+    projections and filters is written to the shared folder first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return (df if _steady(df) else written(df)).withColumn(name, F.monotonically_increasing_id())
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """All columns in one struct doc, so that no name of the user's clashes with an operator's own."""
+    return docs.select(F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("doc"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of doc again, those named in new replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in columns])
 
 
 def sample_texts(rows: DataFrame, key: str, n: int) -> list[str]:

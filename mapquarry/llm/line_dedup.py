@@ -1,161 +1,350 @@
-"""Fuzzy line dedup by MinHash, in DataFrame expressions only.
-
-A line's character shingles are the 10 characters from each of its characters on (a shorter line is
-one shingle). Its signature holds the eight least shingle hashes; the ten pairs of the first five are its
-bands, so where one line is the other and a quarter more (a Jaccard similarity of 0.8), two of the first five
-agree in 99.3 of 100 cases (1 - 0.2^5 - 5*0.8*0.2^4). Lines that share a band are
-verified by the exact Jaccard similarity of all their shingles, links are joined by distributed
-union-find, and of each component the first line stays: the one with the smallest doc_id, then row,
-then place.
-
-Equal lines are one from the start. A band with up to WINDOW + 1 different lines is compared in full;
-in a larger one each line is first compared with WINDOW neighbours in the order of its further hashes
-and with the PIVOTS lines that stand in most documents, from which others mostly descend, then, exactly, with the lines of other components only. Such pairs are judged inside the join, each in
-the first band it shares, by how many of the eight hashes agree (at least four, as nearly all similar
-lines have) and by the exact similarity, so only links leave it. Where most lines of a large band stay
-apart, common shingles made it: it is first split by each third hash.
+"""Fuzzy line dedup by MinHash over character shingles.
+
+A line's shingles are the SHINGLE characters from each of its characters on (a shorter line is one
+shingle). Its signature is a one-permutation MinHash: shingle hashes fall into BANDS * ROWS bins, each
+bin gives its least hash, and an empty bin borrows the next one's. ROWS bins make a band, so lines of
+Jaccard similarity s share one of six bands with probability 1 - (1 - s^3)^6: 0.986 at 0.8. Lines
+that share a band are verified by the exact Jaccard similarity of all their shingles, links are joined
+by distributed union-find, and of each component the first line stays: the one with the smallest
+doc_id, then row, then place.
+
+Equal lines are one from the start. A band's lines are streamed in the order of a further band and each
+is compared with the WINDOW before it and the band's first PIVOTS; with up to WINDOW + 1 lines these are
+all pairs. In a larger band lines outside its largest component are then compared with all lines of
+other components, so no link inside a band is lost, and nothing is compared within what is linked
+already. Where a band has more than `split` lines and most stay apart, common shingles made it: there
+two lines must share a second band as well.
+
+Cutting shingles with built-in functions alone took more CPU time than the whole job may (see
+README), so signatures and similarities are computed by numpy in Arrow batches; the joins, aggregates and
+union-find are DataFrame operations.
 
 Defined cases: lines without a word stay, and so do null and empty texts; null ids come last when the
 first line is chosen; repeated rows are documents of their own (the first keeps its lines); an empty
-table gives an empty result; other columns are ignored. Lines are told apart by 64-bit hashes.
+table gives an empty result; very long lines are hashed piece by piece; other columns, whatever their
+names, are kept by dedup() and ignored by removed_lines(). Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import with_row_key, written
+from .common import n_partitions, packed_rows, unpacked, with_row_key, written
 from .components import components
+from .repeats import Roller, mix
 
-WINDOW, PIVOTS, FIRST = 8, 8, 5
-WORD, SHINGLE = r"[^\x20\x09-\x0D]", r"(?s)(?=(.{10}))."
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def shingles(line: Column) -> Column:
-    """Distinct hashes of the line's shingles; none without a word."""
-    pieces = F.when(F.length(line) < 10, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
-    return F.when(line.rlike(WORD), F.array_distinct(F.transform(pieces, lambda x: F.hash(x)))).otherwise(F.array().cast("array<int>"))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    """Two hashes as one long."""
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _bands(s: Column) -> Column:
-    """struct(band, next) for each pair of the first five hashes, or the only hash; next: the two hashes after those of the band."""
-    at = lambda k: F.get(s, F.lit(k))
-    out = []
-    for i in range(FIRST):
-        for j in range(i + 1, FIRST):
-            k, m = [x for x in range(5) if x not in (i, j)][:2]
-            out.append(F.when(F.size(s) > j, F.struct(_pair(at(i), at(j)).alias("band"), F.coalesce(_pair(at(k), at(m)), at(k).cast("long"), F.lit(0)).alias("next"))))
-    one = F.struct(_pair(at(0), at(0)).alias("band"), F.lit(0).cast("long").alias("next"))
-    return F.array_compact(F.array(*out, F.when(F.size(s) == 1, one)))
-
-
-def _odd(hashes: Column, half: int) -> Column:
-    """64 of 128 bits, each the parity of the hashes that fall on it: a hash in one of two sets only flips one bit."""
-    bit = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(1) == half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-
-
-#: Bands of more lines than this, most of them apart, are split by a third hash.
+SHINGLE, BANDS, ROWS = 10, 6, 3
+WINDOW, PIVOTS = 8, 8
+#: Bands of more lines than this, most of them apart, need a second band in common.
 SPLIT = 4096
+#: Characters hashed at a time.
+PIECE = 1 << 18
+_WORD = re.compile(r"[^\x20\x09-\x0D]")
+_BINS = BANDS * ROWS
+_roll = Roller(0xA24BAED4963EE407)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of the lines, one line after another, and how many each line has (repeats included)."""
+    length = np.array([len(x) for x in lines], dtype=np.int64)
+    count = np.where(length > SHINGLE, length - SHINGLE + 1, length > 0)
+    v = codes("".join(lines))
+    s = _roll.prefix(v.astype(np.uint64) + np.uint64(1))
+    start = np.cumsum(length) - length
+    at = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+    stop = at + np.repeat(np.minimum(length, SHINGLE), count)
+    return _roll.span(s, at, stop), count
+
+
+def _least(h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Least hash (above 0) in each of the bins of each of n lines; 0 for an empty bin."""
+    low = np.uint64(0xFFFFFFFF)
+    bins = ((h & low) * np.uint64(_BINS)) >> np.uint64(32)
+    key = (np.repeat(np.arange(n, dtype=np.uint64), count) << np.uint64(37)) | (bins << np.uint64(32)) | (h >> np.uint64(32))
+    key.sort()
+    where = key >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(key) else np.zeros(0, np.int64)
+    out = np.zeros((n, _BINS), dtype=np.uint64)
+    out[(where[first] >> np.uint64(5)).astype(np.int64), (where[first] & np.uint64(31)).astype(np.int64)] = (key[first] & low) + np.uint64(1)
+    return out
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of BANDS band keys for each line (lines with a character)."""
+    if len(lines) == 1 and len(lines[0]) > PIECE:
+        m = np.zeros((1, _BINS), dtype=np.uint64)
+        for a in range(0, len(lines[0]) - SHINGLE + 1, PIECE):
+            part = _least(*shingle_hashes([lines[0][a : a + PIECE + SHINGLE - 1]]), 1)
+            m = np.where((m == 0) | ((part > 0) & (part < m)), part, m)
+    else:
+        m = _least(*shingle_hashes(lines), len(lines))
+    for _ in range(_BINS):  # an empty bin takes the next one's, marked by how far it came
+        gap = m == 0
+        if not gap.any():
+            break
+        after = np.roll(m, -1, axis=1)
+        m = np.where(gap & (after > 0), after + np.uint64(1 << 33), m)
+    band = np.full((len(lines), BANDS), np.arange(1, BANDS + 1, dtype=np.uint64))
+    for k in range(ROWS):
+        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + m[:, k::ROWS])
+    return band.view(np.int64)
+
+
+def in_pieces(lines: list[str], most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring lines of at most PIECE characters together, or one line."""
+    start = size = 0
+    for i, x in enumerate(lines):
+        if i > start and (size + len(x) > PIECE or i - start == most):
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if start < len(lines):
+        yield start, len(lines)
+
+
+BAND_COLUMNS = [f"b{k}" for k in range(BANDS)]
+LINES = "row long, doc_id long, pos int, id long, " + ", ".join(f"{c} long" for c in BAND_COLUMNS)
+
+
+def _line_rows(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
+
+    names = ["row", "doc_id", "pos", "id", *BAND_COLUMNS]
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for i, j in in_pieces([t or "" for t in texts]):
+            parts = [(t or "").split("\n") for t in texts[i:j]]
+            lines = [x for p in parts for x in p]
+            owner = np.repeat(np.arange(i, j), [len(p) for p in parts])
+            pos = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
+            live = np.array([k for k, x in enumerate(lines) if _WORD.search(x)], dtype=np.int64)
+            some = [lines[k] for k in live.tolist()]
+            sig = np.concatenate([signatures(some[a:z]) for a, z in in_pieces(some)]) if some else np.zeros((0, BANDS), np.int64)
+            blank = np.ones(len(lines), dtype=bool)
+            blank[live] = False
+            out = np.zeros((len(lines), BANDS + 1), dtype=np.int64)
+            out[live, 0] = np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in some], dtype=np.uint64).view(np.int64)
+            out[live, 1:] = sig
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at), pa.array(pos), *[pa.array(out[:, k], mask=blank) for k in range(BANDS + 1)]], names=names)
+
+
+def _pair_rows(window: int, pivots: int, hold: int = 1 << 16) -> Callable[[Iterator], Iterator]:
+    """Rows (band, id) sorted by band to pairs (a, b), and to (id, null, band) for each line of a band of more than window + 1."""
+    import pyarrow as pa
+
+    def found(band: np.ndarray, ids: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        size = np.diff(np.r_[start, len(band)])
+        first, size = np.repeat(start, size), np.repeat(size, size)
+        here = np.arange(len(band))
+        x, y = [], []
+        for d in range(1, window + 1):
+            same = np.flatnonzero(band[d:] == band[:-d])
+            x.append(same)
+            y.append(same + d)
+        far = here[here - first > window]
+        for p in range(pivots):
+            x.append(first[far] + p)
+            y.append(far)
+        x, y = ids[np.concatenate(x)], ids[np.concatenate(y)]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        large = np.flatnonzero((size > window + 1) & fresh)
+        n, m = len(x), len(large)
+        none = np.r_[np.zeros(n, bool), np.ones(m, bool)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[np.minimum(x, y), ids[large]]), pa.array(np.r_[np.maximum(x, y), np.zeros(m, np.int64)], mask=none), pa.array(np.r_[np.zeros(n, np.int64), band[large]], mask=~none)], names=["a", "b", "band"]
+        )
+
+    def run(batches: Iterator) -> Iterator:
+        band, ids, fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band = np.r_[band, b.column("band").to_numpy()]
+            ids = np.r_[ids, b.column("id").to_numpy()]
+            fresh = np.r_[fresh, np.ones(b.num_rows, bool)]
+            last = int(np.searchsorted(band, band[-1]))  # where the last run starts, which may go on
+            if last:
+                yield found(band[:last], ids[:last], fresh[:last])
+                band, ids, fresh = band[last:], ids[last:], fresh[last:]
+            elif len(band) > hold:
+                yield found(band, ids, fresh)
+                seed = np.r_[np.arange(pivots), np.arange(len(band) - window - 1, len(band))]
+                band, ids, fresh = band[seed], ids[seed], np.zeros(len(seed), bool)
+        if len(band):
+            yield found(band, ids, fresh)
+
+    return run
+
+
+def _parity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 of 128 bits each: the parity of the distinct hashes that fall on a bit, by lines that begin at first."""
+    bit = np.uint64(1) << (h & np.uint64(63))
+    half = (h & np.uint64(64)).astype(bool)
+    zero = np.uint64(0)
+    return np.bitwise_xor.reduceat(np.where(half, zero, bit), first), np.bitwise_xor.reduceat(np.where(half, bit, zero), first)
+
+
+def _set_rows(batches: Iterator) -> Iterator:
+    """text, want (id, pos) to id, line, n (distinct shingles) and parities x, y; null n, x, y for a very long line."""
+    import pyarrow as pa
+
+    for b in batches:
+        ids, lines = [], []
+        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+            at = text.split("\n")
+            ids += [w["id"] for w in want]
+            lines += [at[w["pos"]] for w in want]
+        for i, j in in_pieces(lines):
+            k = j - i
+            if len(lines[i]) > PIECE:
+                n = x = y = np.zeros(1, np.int64)
+                mask = np.ones(1, bool)
+            else:
+                h, count = shingle_hashes(lines[i:j])
+                key = np.unique((np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | (h >> np.uint64(16)))
+                first = np.searchsorted(key, np.arange(k, dtype=np.uint64) << np.uint64(48))
+                n = np.diff(np.r_[first, len(key)])
+                x, y = (p.view(np.int64) for p in _parity(key, first))
+                mask = np.zeros(k, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(lines[i:j], pa.string()), *[pa.array(c, pa.int64(), mask=mask) for c in (n, x, y)]], names=["id", "line", "n", "x", "y"])
+
+
+def similar(left: list[str], right: list[str], threshold: float) -> np.ndarray:
+    """Whether each two lines have at least this Jaccard similarity, by all their shingles."""
+    out = []
+    both = [a + b for a, b in zip(left, right, strict=True)]
+    for i, j in in_pieces(both):
+        k = j - i
+        # a long pair is compared by ranges of its hashes, so that no array is longer than some PIECEs
+        ranges = -(-len(both[i]) // (4 * PIECE)) if k == 1 else 1
+        union, common = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        for r in range(ranges):
+            keys = []
+            for side, lines in enumerate((left[i:j], right[i:j])):
+                parts = [lines[0][a : a + PIECE + SHINGLE - 1] for a in range(0, max(1, len(lines[0]) - SHINGLE + 1), PIECE)] if ranges > 1 else None
+                for part in [[p] for p in parts] if parts else [lines]:
+                    h, count = shingle_hashes(part)
+                    key = (np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | ((h >> np.uint64(17)) << np.uint64(1)) | np.uint64(side)
+                    keys.append(key[h % np.uint64(ranges) == r] if ranges > 1 else key)
+            key = np.concatenate(keys)
+            key.sort()
+            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            twin = (key[1:] ^ key[:-1]) == 1
+            owner = (key >> np.uint64(48)).astype(np.int64)
+            shared = np.bincount(owner[1:][twin], minlength=k)
+            common += shared
+            union += np.bincount(owner, minlength=k) - shared
+        out.append(common >= threshold * union - 1e-9)
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def _judged(threshold: float) -> Callable[[Iterator], Iterator]:
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            ok = similar(b.column("line_a").to_pylist(), b.column("line_b").to_pylist(), threshold)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _differ(threshold: float) -> Column:
+    """Whether parities of two lines (n_a, x_a, y_a and n_b ...) leave the similarity open: similar sets differ in few hashes, and at least in as many as bits of their parities do."""
+    bits = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
+    return F.coalesce(bits * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-6, F.lit(True))
 
 
-def _alike(threshold: float) -> Column:
-    """Whether the lines of columns line_a, n_a, x_a, y_a and line_b ... are at least so similar, by all their shingles."""
-    # similar sets differ in few hashes, and at least in as many as bits of their parities do
-    differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
-    n = F.col("n_a") + F.col("n_b")
-    near = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * n + 1e-6
-    both = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
-    return near & (both * F.lit(1 + threshold) + 1e-6 >= F.lit(threshold) * n)
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of lines (id, line, n, x, y) that are at least so similar."""
+    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "x", "y")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_differ(threshold))
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(_judged(threshold), "a long, b long")
 
 
-def _links_across(hot: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b between the roots of different components, in bands (rows band, id) too large for the window."""
-    rooted = hot.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+def _pairs_across(large: DataFrame, roots: DataFrame, distinct: DataFrame, sets: DataFrame, threshold: float, split: int) -> DataFrame:
+    """Pairs a, b of lines in different components that share a band (rows band, id) too large for the window."""
+    rooted = large.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("parts > 1")
-    split = (F.col("n") > SPLIT) & (F.col("parts") * 2 > F.col("n"))
-    apart = rooted.join(parts.select("band", "largest", split.alias("split")), "band").join(signatures, "id").join(sets, "id")
-    apart = written(apart.select("band", "id", "root", "split", (F.col("root") == F.col("largest")).alias("major"), "least", "line", sets["n"], "x", "y"))
-    pair = F.array(F.shiftright("band", 32).cast("int"), F.shiftright(F.shiftleft("band", 32), 32).cast("int"))
-    third = F.explode(F.array_except("least", pair)).alias("third")
+    deep = (F.col("n") > split) & (F.col("parts") * 2 > F.col("n"))
+    apart = rooted.join(parts.select("band", "largest", deep.alias("deep")), "band").join(sets.select("id", "n", "x", "y"), "id")
+    apart = written(apart.select("band", "id", "root", "deep", (F.col("root") == F.col("largest")).alias("major"), "n", "x", "y"))
+    others = F.array_except(F.array(*BAND_COLUMNS), F.array("band"))
+    deeper = apart.where("deep").join(distinct, "id").select(*apart.columns, F.explode(others).alias("second"))
     out = None
-    for rows, key in ((apart.where("not split"), ["band"]), (apart.where("split").select("*", third), ["band", "third"])):
-
-        def side(name: str, rows: DataFrame = rows, key: list[str] = key) -> DataFrame:
-            return rows.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in ("id", "root", "major", "n", "x", "y", "least", "line")])
-
-        first = F.array_sort(F.array_intersect(F.slice("least_a", 1, FIRST), F.slice("least_b", 1, FIRST)))
-        own = F.slice(first, 1, 2) == F.array_sort(pair)  # the first band that both share
-        if "third" in key:
-            own = own & (F.col("third") == F.array_min(F.array_except(F.array_intersect("least_a", "least_b"), pair)))
+    for rows, key in ((apart.where("not deep"), ["band"]), (deeper, ["band", "second"])):
+        side = lambda k, rows=rows, key=key: rows.select(*key, *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "major", "n", "x", "y")])
         # lines outside the band's largest component with all others: within it nothing is left to link
         pairs = side("a").where("not major_a").join(side("b"), key)
         open_ = (F.col("root_a") != F.col("root_b")) & (F.col("major_b") | (F.col("root_a") < F.col("root_b")))
-        found = pairs.where(open_ & own & _alike(threshold)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        found = pairs.where(open_ & _differ(threshold)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         out = found if out is None else out.union(found)
     return out.distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of lines (id, line, n, x, y) that are at least so similar."""
-    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "x", "y")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(threshold)).select("a", "b")
+def removed_lines(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS, split: int = SPLIT) -> DataFrame:
+    """doc_id, row (the row key), n_lines (with a word), n_removed and removed, the places of the lines to drop, from 0."""
+    docs = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
+    return _removed(docs, threshold, window, pivots, split)
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, row (the row key), n_lines (with a word), n_removed and removed, the places of the lines to drop, from 0."""
-    rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
-    each = rows.select("row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    sketched = each.withColumn("h", shingles(F.col("line"))).select("row", "doc_id", "pos", F.when(F.size("h") > 0, F.xxhash64("line")).alias("id"), F.slice(F.sort_array("h"), 1, 8).alias("least"))
-    lines = written(sketched)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
-    distinct = written(lines.where("id is not null").groupBy("id").agg(F.min(place).alias("at"), F.first("least").alias("least"), F.count("*").alias("copies")))
-
-    bands = distinct.select("id", "copies", F.explode(_bands(F.col("least"))).alias("x")).select("id", "copies", "x.band", "x.next")
-    here, whole = W.partitionBy("band").orderBy("next", "id"), W.partitionBy("band").orderBy(F.desc("copies"), "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    pivots = F.array_compact(F.array(*[F.nth_value("id", k + 1).over(whole) for k in range(PIVOTS)]))
-    near = bands.select("band", "id", F.collect_list("id").over(here.rowsBetween(-WINDOW, -1)).alias("near"), F.count("*").over(whole).alias("n"), pivots.alias("pivots")).where("n > 1")
-    large = F.col("n") > WINDOW + 1
-    near = near.select(F.when(large, F.col("band")).alias("band"), "id", F.when(large, F.concat("near", "pivots")).otherwise(F.col("near")).alias("near"))
-    near = written(near.where("band is not null or size(near) > 0"))
-    pairs = near.select(F.explode("near").alias("x"), "id").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    pairs = written(pairs.distinct())
-
-    # the lines in any pair (their shingles take several times the space), from the document in which they stand first
-    members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = distinct.join(members, "id", "left_semi").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("id", F.col("at.pos").alias("pos"))).alias("want"))
-    found = rows.select("row", "text").join(wanted, "row").select(_lines(F.col("text")).alias("l"), F.explode("want").alias("w"))
-    sets = written(found.select(F.col("w.id").alias("id"), F.get("l", F.col("w.pos")).alias("line")).select("id", "line", shingles(F.col("line")).alias("set")).select("id", "line", F.size("set").alias("n"), _odd(F.col("set"), 0).alias("x"), _odd(F.col("set"), 1).alias("y")))
-
-    edges = written(_similar(pairs, sets, threshold))
-    comp = components(edges)
+def _removed(rows: DataFrame, threshold: float, window: int, pivots: int, split: int) -> DataFrame:
+    n = n_partitions(rows.sparkSession)
+    lines = written(rows.select("row", "doc_id", "text").mapInArrow(_line_rows, LINES))
+    distinct = written(lines.where("id is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS]))
+
+    keys = F.array(*[F.struct(F.col(c).alias("band"), F.col(BAND_COLUMNS[(k + 1) % BANDS]).alias("next")) for k, c in enumerate(BAND_COLUMNS)])
+    bands = distinct.select("id", F.inline(keys)).repartition(n, "band").sortWithinPartitions("band", "next", "id")
+    near = written(bands.select("band", "id").mapInArrow(_pair_rows(window, pivots), "a long, b long, band long"))
+    pairs = written(near.where("band is null").select("a", "b").distinct())
+    large = near.where("band is not null").select("band", F.col("a").alias("id"))
+
+    # the text of the lines in any pair, from a document in which they stand
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = lines.join(members, "id", "left_semi").groupBy("id").agg(F.min(F.struct("row", "pos")).alias("at"))
+    wanted = wanted.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("id", F.col("at.pos").alias("pos"))).alias("want"))
+    found = rows.select("row", "text").join(wanted, "row").select("text", "want")
+    sets = written(found.mapInArrow(_set_rows, "id long, line string, n long, x long, y long"))
+
+    comp = components(written(_similar(pairs, sets, threshold)))
     roots = comp.select(F.col("node").alias("id"), "root")
-    more = written(_links_across(near.where("band is not null").select("band", "id"), roots, distinct.select("id", "least"), sets, threshold))
-    named = distinct.select("id", "at").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    across = written(_pairs_across(large, roots, distinct, sets, threshold, split))
+    more = written(_similar(across, sets, threshold))
     if not more.isEmpty():
-        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        named = named.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    first = named.groupBy("root").agg(F.min("at").alias("first"))
-    keep = named.join(first, "root").select("id", F.col("first.row").alias("keep_row"), F.col("first.pos").alias("keep_pos"))
-    judged = lines.select("row", "doc_id", "pos", "id").join(keep, "id", "left")
-    gone = F.col("id").isNotNull() & ~((F.col("row") == F.col("keep_row")) & (F.col("pos") == F.col("keep_pos")))
-    return judged.groupBy("row", "doc_id").agg(F.count("id").alias("n_lines"), F.sum(gone.cast("long")).alias("n_removed"), F.sort_array(F.collect_list(F.when(gone, F.col("pos")))).alias("removed"))
+        named = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
+        joined = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        alone = joined.join(roots.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), "root")
+        roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")).union(alone)
+
+    # the first place of each component, pre-aggregated by line; all other places of a component go
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
+    by_line = lines.where("id is not null").groupBy("id").agg(F.min(place).alias("at"))
+    first = by_line.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at")).select("at.row", "at.doc_id", "at.pos")
+    marked = lines.select("row", "doc_id", F.when(F.col("id").isNotNull(), F.col("pos")).alias("pos"), F.lit(None).cast("int").alias("keep")).union(first.select("row", "doc_id", F.lit(None), "pos"))
+    each = marked.groupBy("row", "doc_id").agg(F.count("pos").alias("n_lines"), F.collect_list("pos").alias("all"), F.collect_list("keep").alias("keep"))
+    removed = F.sort_array(F.array_except("all", "keep"))
+    return each.select("row", "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS, split: int = SPLIT) -> DataFrame:
     """docs with the removed lines cut from text."""
-    gone = removed_lines(docs, threshold).select("row", "removed")
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("removed", i))
-    out = with_row_key(docs, "row").join(gone, "row", "left")
-    return out.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    rows = with_row_key(packed_rows(docs), "row")
+    text = F.col("doc").getField("text").cast("string")
+    gone = _removed(rows.select("row", F.col("doc").getField("doc_id").cast("long").alias("doc_id"), text.alias("text")), threshold, window, pivots, split).select("row", "removed")
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("removed", i))
+    out = rows.join(gone, "row", "left").withColumn("kept", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(text))
+    return unpacked(out, docs.columns, text=F.col("kept"))
