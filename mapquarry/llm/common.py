@@ -67,9 +67,13 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     return (df if _steady(df) else written(df)).withColumn(name, F.monotonically_increasing_id())
 
 
-def packed_rows(docs: DataFrame) -> DataFrame:
-    """All columns in one struct doc, so that no name of the user's clashes with an operator's own."""
-    return docs.select(F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("doc"))
+def packed_rows(docs: DataFrame, columns: list[str] | None = None, **more: Column) -> DataFrame:
+    """The columns (all by default) in one struct doc, so that no name of the user's clashes with an operator's own, and more columns beside it."""
+    return docs.select(F.struct(*[_column(docs, c) for c in columns or docs.columns]).alias("doc"), *[v.alias(k) for k, v in more.items()])
+
+
+def _column(docs: DataFrame, name: str) -> Column:
+    return docs["`" + name.replace("`", "``") + "`"]
 
 
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:

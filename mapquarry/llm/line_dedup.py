@@ -10,10 +10,11 @@ doc_id, then row, then place.
 
 Equal lines are one from the start. A band's lines are streamed in the order of a further band and each
 is compared with the WINDOW before it and the band's first PIVOTS; with up to WINDOW + 1 lines these are
-all pairs. In a larger band lines outside its largest component are then compared with all lines of
-other components, so no link inside a band is lost, and nothing is compared within what is linked
-already. Where a band has more than `split` lines and most stay apart, common shingles made it: there
-two lines must share a second band as well.
+all pairs. Lines of larger bands that are not one component by then (common shingles make such bands) are
+compared by an exact prefix filter: in an order of all shingles, rare ones first, lines of similarity t
+share one of the first n - ceil(t n) + 1 shingles of each. The order comes from a table of BUCKETS
+counts, of fixed size; any order finds all links, a good one keeps the groups small. Lines of one
+component are not compared again.
 
 Cutting shingles with built-in functions alone took more CPU time than the whole job may (see
 README), so signatures and similarities are computed by numpy in Arrow batches; the joins, aggregates and
@@ -40,8 +41,8 @@ from .repeats import Roller, mix
 
 SHINGLE, BANDS, ROWS = 10, 6, 3
 WINDOW, PIVOTS = 8, 8
-#: Bands of more lines than this, most of them apart, need a second band in common.
-SPLIT = 4096
+#: Counts of shingles, by their hashes' upper bits, that order them.
+BUCKETS = 1 << 18
 #: Characters hashed at a time.
 PIECE = 1 << 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -65,6 +66,12 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _roll.span(s, at, stop), count
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once (sorting words takes a fraction of the time of a hash table)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _least(h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """Least hash (above 0) in each of the bins of each of n lines; 0 for an empty bin."""
     low = np.uint64(0xFFFFFFFF)
@@ -214,7 +221,7 @@ def _set_rows(batches: Iterator) -> Iterator:
                 mask = np.ones(1, bool)
             else:
                 h, count = shingle_hashes(lines[i:j])
-                key = np.unique((np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | (h >> np.uint64(16)))
+                key = distinct((np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | (h >> np.uint64(16)))
                 first = np.searchsorted(key, np.arange(k, dtype=np.uint64) << np.uint64(48))
                 n = np.diff(np.r_[first, len(key)])
                 x, y = (p.view(np.int64) for p in _parity(key, first))
@@ -239,9 +246,7 @@ def similar(left: list[str], right: list[str], threshold: float) -> np.ndarray:
                     h, count = shingle_hashes(part)
                     key = (np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | ((h >> np.uint64(17)) << np.uint64(1)) | np.uint64(side)
                     keys.append(key[h % np.uint64(ranges) == r] if ranges > 1 else key)
-            key = np.concatenate(keys)
-            key.sort()
-            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            key = distinct(np.concatenate(keys))
             twin = (key[1:] ^ key[:-1]) == 1
             owner = (key >> np.uint64(48)).astype(np.int64)
             shared = np.bincount(owner[1:][twin], minlength=k)
@@ -275,39 +280,134 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "line_a", "line_b").mapInArrow(_judged(threshold), "a long, b long")
 
 
-def _pairs_across(large: DataFrame, roots: DataFrame, distinct: DataFrame, sets: DataFrame, threshold: float, split: int) -> DataFrame:
-    """Pairs a, b of lines in different components that share a band (rows band, id) too large for the window."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _count_rows(batches: Iterator) -> Iterator:
+    """line to bucket, n: how many distinct shingles of lines fall into each bucket."""
+    import pyarrow as pa
+
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for line in b.column("line").to_pylist():
+            total += np.bincount(_bucket(distinct(shingle_hashes([line])[0])), minlength=BUCKETS) if len(line) > PIECE else 0
+        lines = [x for x in b.column("line").to_pylist() if len(x) <= PIECE]
+        for i, j in in_pieces(lines):
+            h, count = shingle_hashes(lines[i:j])
+            owner = np.repeat(np.arange(j - i, dtype=np.uint64), count) << np.uint64(48)
+            # bucket bits are among the upper 48 of the hash
+            key = distinct(owner | (h >> np.uint64(16)))
+            np.add.at(total, _bucket(key << np.uint64(16)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _prefix_rows(counts: np.ndarray, threshold: float) -> Callable[[Iterator], Iterator]:
+    """id, root, line, n, x, y to a row with key for each of the line's rarest shingles that a similar line must share one of."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            rows, keys = [], []
+            for k, line in enumerate(b.column("line").to_pylist()):
+                h = distinct(shingle_hashes([line])[0])
+                first = h[np.argsort(counts[_bucket(h)], kind="stable")][: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
+                rows.append(np.full(len(first), k))
+                keys.append(first)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[b.column(c).take(at) for c in CROSS[1:]]], names=CROSS)
+
+    return run
+
+
+CROSS = ["key", "id", "root", "n", "x", "y"]
+
+
+def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Callable[[Iterator], Iterator]:
+    """Rows sorted by key to pairs a, b of different roots in a run of one key whose parities leave the similarity open."""
+    import pyarrow as pa
+
+    def near(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        bits = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int64) for k in ("x", "y"))
+        n, m = c["n"][i], c["n"][j]
+        open_ = (bits * (1 + threshold) <= (1 - threshold) * (n + m) + 1e-6) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6)
+        return (c["root"][i] != c["root"][j]) & (open_ | (n < 0) | (m < 0))
+
+    def found(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key = c["key"]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        few = np.repeat(size <= small, size)
+        for d in range(1, small):
+            i = np.flatnonzero((key[d:] == key[:-d]) & few[d:])
+            if not len(i):
+                break
+            ok = near(c, i, i + d)
+            yield i[ok], i[ok] + d
+        for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
+            roots, part = np.unique(c["root"][s : s + n], return_inverse=True)
+            if len(roots) < 2:
+                continue
+            # lines outside the largest component with all others: within it nothing is left to link
+            rest = s + np.flatnonzero(part != np.bincount(part).argmax())
+            step = max(1, block // n)
+            for k in range(0, len(rest), step):
+                i = np.repeat(rest[k : k + step], n)
+                j = np.tile(np.arange(s, s + n), len(rest[k : k + step]))
+                ok = near(c, i, j)
+                yield i[ok], j[ok]
+
+    def pairs(c: dict) -> Iterator:
+        for i, j in found(c):
+            if len(i):
+                a, b = c["id"][i], c["id"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator) -> Iterator:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = {k: (b.column(k).fill_null(-1) if k in ("n", "x", "y") else b.column(k)).to_numpy() for k in CROSS}
+            held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in CROSS}
+            last = int(np.searchsorted(held["key"], held["key"][-1]))  # where the last run starts, which may go on
+            if last:
+                yield from pairs({k: v[:last] for k, v in held.items()})
+                held = {k: v[last:] for k, v in held.items()}
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
+def _pairs_across(large: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a, b of lines in different components that may be similar, among the lines of bands (rows band, id) that are more than one component."""
     rooted = large.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("parts > 1")
-    deep = (F.col("n") > split) & (F.col("parts") * 2 > F.col("n"))
-    apart = rooted.join(parts.select("band", "largest", deep.alias("deep")), "band").join(sets.select("id", "n", "x", "y"), "id")
-    apart = written(apart.select("band", "id", "root", "deep", (F.col("root") == F.col("largest")).alias("major"), "n", "x", "y"))
-    others = F.array_except(F.array(*BAND_COLUMNS), F.array("band"))
-    deeper = apart.where("deep").join(distinct, "id").select(*apart.columns, F.explode(others).alias("second"))
-    out = None
-    for rows, key in ((apart.where("not deep"), ["band"]), (deeper, ["band", "second"])):
-        side = lambda k, rows=rows, key=key: rows.select(*key, *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "major", "n", "x", "y")])
-        # lines outside the band's largest component with all others: within it nothing is left to link
-        pairs = side("a").where("not major_a").join(side("b"), key)
-        open_ = (F.col("root_a") != F.col("root_b")) & (F.col("major_b") | (F.col("root_a") < F.col("root_b")))
-        found = pairs.where(open_ & _differ(threshold)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-        out = found if out is None else out.union(found)
-    return out.distinct()
-
-
-def removed_lines(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS, split: int = SPLIT) -> DataFrame:
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    lines = written(rooted.join(open_, "band", "left_semi").select("id", "root").distinct().join(sets, "id").select("id", "root", "line", "n", "x", "y"))
+    counts = np.zeros(BUCKETS, np.int64)
+    for bucket, n in lines.select("line").mapInArrow(_count_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
+        counts[bucket] = n
+    keyed = lines.mapInArrow(_prefix_rows(counts, threshold), ", ".join(f"{c} long" for c in CROSS))
+    parts = n_partitions(large.sparkSession)
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_cross_rows(threshold), "a long, b long").distinct()
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, row (the row key), n_lines (with a word), n_removed and removed, the places of the lines to drop, from 0."""
     docs = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
-    return _removed(docs, threshold, window, pivots, split)
+    return _removed(docs, threshold, window, pivots)
 
 
-def _removed(rows: DataFrame, threshold: float, window: int, pivots: int, split: int) -> DataFrame:
+def _removed(rows: DataFrame, threshold: float, window: int, pivots: int) -> DataFrame:
     n = n_partitions(rows.sparkSession)
     lines = written(rows.select("row", "doc_id", "text").mapInArrow(_line_rows, LINES))
-    distinct = written(lines.where("id is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS]))
+    different = lines.where("id is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS])
 
     keys = F.array(*[F.struct(F.col(c).alias("band"), F.col(BAND_COLUMNS[(k + 1) % BANDS]).alias("next")) for k, c in enumerate(BAND_COLUMNS)])
-    bands = distinct.select("id", F.inline(keys)).repartition(n, "band").sortWithinPartitions("band", "next", "id")
+    bands = different.select("id", F.inline(keys)).repartition(n, "band").sortWithinPartitions("band", "next", "id")
     near = written(bands.select("band", "id").mapInArrow(_pair_rows(window, pivots), "a long, b long, band long"))
     pairs = written(near.where("band is null").select("a", "b").distinct())
     large = near.where("band is not null").select("band", F.col("a").alias("id"))
@@ -321,7 +421,7 @@ def _removed(rows: DataFrame, threshold: float, window: int, pivots: int, split:
 
     comp = components(written(_similar(pairs, sets, threshold)))
     roots = comp.select(F.col("node").alias("id"), "root")
-    across = written(_pairs_across(large, roots, distinct, sets, threshold, split))
+    across = written(_pairs_across(large, roots, sets, threshold))
     more = written(_similar(across, sets, threshold))
     if not more.isEmpty():
         named = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -340,11 +440,11 @@ def _removed(rows: DataFrame, threshold: float, window: int, pivots: int, split:
     return each.select("row", "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS, split: int = SPLIT) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = 0.8, window: int = WINDOW, pivots: int = PIVOTS) -> DataFrame:
     """docs with the removed lines cut from text."""
     rows = with_row_key(packed_rows(docs), "row")
     text = F.col("doc").getField("text").cast("string")
-    gone = _removed(rows.select("row", F.col("doc").getField("doc_id").cast("long").alias("doc_id"), text.alias("text")), threshold, window, pivots, split).select("row", "removed")
+    gone = _removed(rows.select("row", F.col("doc").getField("doc_id").cast("long").alias("doc_id"), text.alias("text")), threshold, window, pivots).select("row", "removed")
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("removed", i))
     out = rows.join(gone, "row", "left").withColumn("kept", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(text))
     return unpacked(out, docs.columns, text=F.col("kept"))
