@@ -1,19 +1,26 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame expressions only.
 
-Shards hang in racks, racks in regions. Every shard draws -ln(u) / weight for a row, u hashed from
-the row's id and the shard's number; a rack's draw is the smallest of its shards' and a region's the
-smallest of its racks'. A row descends to the child with the smallest draw at each level. As the
-smallest of exponential draws is exponential with the sum of their rates, a child wins with the
-probability of its share of the weight, and since no other draw changes, a changed weight moves rows
-only into or out of the subtree that holds it. One more shard takes rows only into itself, whatever
-rack it joins.
+Shards hang in racks, racks in regions; a rack weighs what its shards weigh together, a region what
+its racks do. A row descends level by level: at each it draws -ln(u) / weight for every child of the
+node it has reached, u hashed from the row's id, the level and the child's number, and goes to the child with the
+smallest draw. As the smallest of exponential draws falls to each in proportion to its rate, every
+shard gets its share of the weight. No other draw changes with one child's weight, so when a shard's
+weight changes, rows move between regions only into or out of its region; of those that stay in the
+region, between racks only into or out of its rack; and of those that stay in the rack, only into or
+out of the shard.
+
+Shards beyond the `base` ones hang in a rack and region of their own, until the tree is laid out
+anew: one more shard then takes rows only into itself. That is the law `key`.
 
 Defined cases: a null id is hashed as any one value; null texts have no bytes; repeated rows get the
-same shard and slots of their own; an empty table gives an empty result.
+same shard and slots of their own; very long texts count all their bytes; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,36 +28,42 @@ from pyspark.sql import functions as F
 from .common import n_partitions
 
 
-def topology(n_shards: int, racks: int = 2, shards_per_rack: int = 5) -> list[list[list[int]]]:
-    """Regions of racks of shard numbers, filled in order."""
-    rack = [list(range(i, min(i + shards_per_rack, n_shards))) for i in range(0, n_shards, shards_per_rack)]
-    return [rack[i : i + racks] for i in range(0, len(rack), racks)]
-
-
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    # 53 high bits of the hash, moved off 0, give a uniform number in (0, 1)
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11)
-    return -F.log((bits.cast("double") + 0.5) * F.lit(2.0**-53)) / F.lit(float(weight))
+def topology(n_shards: int, racks: int = 2, shards_per_rack: int = 5, base: int | None = None) -> list[list[list[int]]]:
+    """Regions of racks of shard numbers: the first base shards filled in order, each later one in a region of its own."""
+    base = min(n_shards, n_shards if base is None else base)
+    rack = [list(range(i, min(i + shards_per_rack, base))) for i in range(0, base, shards_per_rack)]
+    return [rack[i : i + racks] for i in range(0, len(rack), racks)] + [[[i]] for i in range(base, n_shards)]
 
 
-def _lowest(pairs: list[tuple[Column, Column]]) -> Column:
-    return F.array_min(F.array(*[F.struct(d.alias("d"), s.alias("s")) for d, s in pairs]))
+def _descend(key: Column, level: str, children: Column, weights: list[float], most: int) -> Column:
+    """The child with the smallest draw among up to `most` children (an array of their numbers); those of weight 0 take no part."""
+    weight = F.array(*[F.lit(float(x)) for x in weights])
+    draws = []
+    for k in range(most):
+        child = F.get(children, F.lit(k))
+        w = F.get(weight, child)
+        # 53 high bits of the hash, moved off 0, give a uniform number in (0, 1)
+        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), child), 11)
+        u = (bits.cast("double") + 0.5) * F.lit(2.0**-53)
+        draws.append(F.when(w > 0, F.struct((-F.log(u) / w).alias("draw"), child.alias("child"))))
+    return (F.array_min(F.array(*draws)) if len(draws) > 1 else draws[0])["child"]
 
 
-def assign(key: Column, n_shards: int, weights: dict[int, float] | None = None, racks: int = 2, shards_per_rack: int = 5) -> Column:
-    """struct(d double, s int): the winning draw and shard. Shards of weight 0 take no rows."""
+def assign(rows: DataFrame, key: str, name: str, n_shards: int, weights: Mapping[int, float] | None = None, racks: int = 2, shards_per_rack: int = 5, base: int | None = None) -> DataFrame:
+    """rows with the shard of each in column name; <name>_region and <name>_rack tell the way down to it."""
     w = weights or {}
-    regions = []
-    for region in topology(n_shards, racks, shards_per_rack):
-        at_rack = []
-        for rack in region:
-            live = [(_draw(key, s, w.get(s, 1.0)), F.lit(s)) for s in rack if w.get(s, 1.0) > 0]
-            if live:
-                at_rack.append(_lowest(live))
-        if at_rack:
-            best = F.array_min(F.array(*at_rack))
-            regions.append((best["d"], best["s"]))
-    return _lowest(regions)
+    tree = topology(n_shards, racks, shards_per_rack, base)
+    all_racks = [rack for region in tree for rack in region]
+    at_shard = [w.get(s, 1.0) for s in range(n_shards)]
+    at_rack = [sum(at_shard[s] for s in rack) for rack in all_racks]
+    first = [sum(len(r) for r in tree[:k]) for k in range(len(tree))]
+    racks_of = [[first[k] + j for j in range(len(region))] for k, region in enumerate(tree)]
+    at_region = [sum(at_rack[r] for r in ids) for ids in racks_of]
+    table = lambda ids: F.array(*[F.array(*map(F.lit, x)) for x in ids])
+    region, rack = f"{name}_region", f"{name}_rack"
+    rows = rows.withColumn(region, _descend(F.col(key), "region", F.array(*map(F.lit, range(len(tree)))), at_region, len(tree)))
+    rows = rows.withColumn(rack, _descend(F.col(key), "rack", F.get(table(racks_of), F.col(region)), at_rack, max(map(len, racks_of))))
+    return rows.withColumn(name, _descend(F.col(key), "shard", F.get(table(all_racks), F.col(rack)), at_shard, max(map(len, all_racks))))
 
 
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
@@ -68,10 +81,10 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         key.alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        assign(key, n_shards)["s"].alias("shard"),
-        assign(key, n_shards + 1)["s"].alias("grown_shard"),
         F.pmod(F.xxhash64(key, F.lit("chunk")), F.lit(chunks)).cast("int").alias("_chunk"),
     )
+    rows = assign(rows, "doc_id", "shard", n_shards)
+    rows = assign(rows, "doc_id", "grown_shard", n_shards + 1, base=n_shards)
     counts = rows.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
