@@ -2,12 +2,12 @@
 
 A shard file is
 
-    magic "MQTOK1\\0\\0", u32 version, u32 documents, u64 sha256 prefix of the dictionary, u64 index length
+    magic "MQTOK1\\0\\0", u32 version 2, u32 documents, u64 sha256 prefix of the dictionary, u64 index length
     frames: one zstandard frame for each document, of its ids as little-endian u32
-    index:  zstandard frame of int64 doc_id[n], u64 offset[n + 1], u32 tokens[n]
+    index:  zstandard frame of int64 doc_id[n], u64 offset[n + 1], u32 tokens[n], u8 null[n] (1: the id is null)
 
 with numbers in little-endian order, so one short document is read by one seek and one small frame.
-Shards hold ascending ranges of doc_id. The dictionary lies beside them; its hash in each header
+Shards hold ascending ranges of doc_id and, within one id, of the text's crc32. The dictionary lies beside them; its hash in each header
 keeps a shard from being read with another one. It is trained on about sample_docs documents picked
 by a hash: only compression depends on the sample.
 
@@ -16,7 +16,8 @@ file. Files go where pyarrow.fs resolves the folder's address, below spark.check
 
 Defined cases: a null or empty text has the end id only; null ids sort first and read back as null;
 repeated rows are repeated documents (ordered by their crc32 and text among equal ids); an empty
-table gives no shards and an empty result; other columns are ignored.
+table gives no shards and an empty result; very long texts are one frame each; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +41,25 @@ from .common import n_partitions, sample_texts, shared_dir, with_row_key
 
 HEAD = "<8sIIQQ"
 MAGIC = b"MQTOK1\0\0"
-NULL_ID = -(2**63)
+VERSION = 2
 
 #: Words with the white space before them, cut before the punctuation that ends a word. The
 #: byte-level pattern never joins what such a cut parts, so chunks encode alone as in their text.
 _CHUNK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.;:!?%$&*#|])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
 #: With other white space, or a special token's brackets, the text is encoded whole.
 _WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|<[|]")
+#: Marks after a word (fixed values), cut from it so that fewer different pieces are left.
+_MARKS = ",.;:!?"
+_EDGE = " \n" + _MARKS
+#: Texts without these have single spaces and line ends between words only, and marks after letters and
+#: numbers only: they may be cut at each of them.
+_UNEVEN = re.compile("[ \n][ \n]|[\t\r\0]|[\\W_][" + _MARKS + "]|" + _WHOLE.pattern)
 
 
 class Encoder:
-    """Encodes as tokenizers does, remembering up to max_words chunks."""
+    """Encodes as tokenizers does, remembering about max_words chunks."""
 
-    def __init__(self, path: str, end_id: int, max_words: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,50 +68,66 @@ class Encoder:
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
         for token, i in vocabulary.items():
             self.size[i] = len(token)
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # by the whole chunk
+        self.pieces: dict[str, bytes] = {}  # by what follows a space, or by a line end and what follows it
         self.end = struct.pack("<I", end_id)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str], together: int = 512) -> None:
-        """Encode chunks that begin with one space in rows, as they don't touch, and tell them apart by their bytes."""
-        alone = [c for c in chunks if c[0] != " " or c[1:2] in ("", " ", "\t", "\n", "\r")]
-        self.known.update(zip(alone, self._encode(alone), strict=True))
-        row = [c for c in chunks if c[0] == " " and c[1:2] not in ("", " ", "\t", "\n", "\r")]
-        rows = [row[k : k + together] for k in range(0, len(row), together)]
-        for part, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+    def _rows(self, chunks: list[str], together: int = 512) -> Iterator[bytes]:
+        """The ids of chunks that are one space or line end and what follows it: encoded in rows, as they don't touch, and told apart by their bytes."""
+        rows = ["".join(chunks[k : k + together]) for k in range(0, len(chunks), together)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(rows, add_special_tokens=False), strict=True):
+            raw = np.frombuffer(row.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            ends = np.append(np.flatnonzero((raw == 32) | (raw == 10))[1:], len(raw))
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(c.encode()) for c in part])
-            stops = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+            stops = (4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()
             data = ids.tobytes()
-            a = 0
-            for c, b in zip(part, stops.tolist(), strict=True):
-                self.known[c] = data[a:b]
-                a = b
+            yield from map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Firsts, marked by a zero character, and what begins with a mark have no space before them."""
+        alone = [p for p in pieces if p[0] in "\0" + _MARKS]
+        self.pieces.update(zip(alone, self._encode([p.removeprefix("\0") for p in alone]), strict=True))
+        rest = list(pieces.difference(alone))
+        self.pieces.update(zip(rest, self._rows([p if p[0] == "\n" else f" {p}" for p in rest]), strict=True))
 
     def __call__(self, texts: list[str | None], together: int = 256) -> Iterator[bytes]:
         """Little-endian u32 ids of each text with the end id."""
-        known = self.known
         for k in range(0, len(texts), together):
             some = [t or "" for t in texts[k : k + together]]
-            chunks = [None if _WHOLE.search(t) else _CHUNK.findall(t) for t in some]
-            found = [c and list(map(known.get, c)) for c in chunks]
-            gaps: list[list[int]] = []
-            for f in found:
-                gaps.append([])
-                if f and None in f:
-                    at = -1
-                    for _ in range(f.count(None)):
-                        at = f.index(None, at + 1)
-                        gaps[-1].append(at)
-            new = {c[i] for c, g in zip(chunks, gaps, strict=True) for i in g}
-            if len(known) + len(new) > self.max_words:
-                known.clear()
-            self._learn(list(new))
-            for t, c, f, g in zip(some, chunks, found, gaps, strict=True):
-                for i in g:
-                    f[i] = known[c[i]]
+            for known in (self.pieces, self.chunks):
+                if len(known) > self.max_words:  # what came first is mostly the commonest
+                    kept = dict(itertools.islice(known.items(), self.max_words // 2))
+                    known.clear()
+                    known.update(kept)
+            cuts: list[list[str] | None] = []  # None: encoded whole
+            found: list[list[bytes | None]] = []
+            new: tuple[set[str], set[str]] = set(), set()
+            for t in some:
+                even = bool(t) and not _UNEVEN.search(t) and t[0] not in _EDGE and t[-1] not in " \n"
+                if even:
+                    for x in "\n" + _MARKS:
+                        t = t.replace(x, f" {x}")
+                    cut = t.split(" ")
+                    cut[0] = f"\0{cut[0]}"  # the first has no space before it
+                else:
+                    cut = None if _WHOLE.search(t) else _CHUNK.findall(t)
+                f = list(map((self.pieces if even else self.chunks).get, cut or ()))
+                if None in f:
+                    new[even].update(c for c, x in zip(cut, f, strict=True) if x is None)
+                cuts.append(cut)
+                found.append(f)
+            if new[1]:
+                self._learn_pieces(new[1])
+            if new[0]:
+                chunks = list(new[0])
+                self.chunks.update(zip(chunks, self._encode(chunks), strict=True))
+            for t, c, f in zip(some, cuts, found, strict=True):
+                if None in f:
+                    known = self.pieces if c[0][0] == "\0" else self.chunks
+                    f = [known[p] if x is None else x for p, x in zip(c, f, strict=True)]
                 yield (self._encode([t])[0] if c is None else b"".join(f)) + self.end
 
 
@@ -158,40 +182,43 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
     _dump(fs, f"{root}/dictionary.zdict", [dictionary])
     stamp = _stamp(dictionary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
         encode, comp = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        ids, counts, lengths = [], [], []
+        ids, nulls, counts, lengths = [], [], array("I"), array("Q")
         store, place = _fs(folder)
         path = f"{place}/shard-{TaskContext.get().partitionId():06d}.mqt"
         temp = f"{path}.{uuid.uuid4().hex}.body"
         with store.open_output_stream(temp) as body:
             for b in batches:
-                ids += b.doc_id.tolist()
-                for raw in encode(b.text.tolist()):
+                ids.append(b.column("doc_id").fill_null(0).to_numpy())
+                nulls.append(b.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+                for raw in encode(b.column("text").to_pylist()):
                     frame = comp.compress(raw)
                     body.write(frame)
                     lengths.append(len(frame))
                     counts.append(len(raw) // 4)
-        if not ids:
+        if not counts:
             store.delete_file(temp)
             return
-        offset = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-        index = zstandard.ZstdCompressor().compress(np.array(ids, "<i8").tobytes() + offset.tobytes() + np.array(counts, "<u4").tobytes())
+        offset = np.concatenate([[0], np.cumsum(np.array(lengths, "<u8"))]).astype("<u8")
+        index = zstandard.ZstdCompressor().compress(np.concatenate(ids).astype("<i8").tobytes() + offset.tobytes() + np.array(counts, "<u4").tobytes() + np.concatenate(nulls).astype("u1").tobytes())
         whole = f"{path}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(whole) as out, store.open_input_stream(temp) as body:
-            out.write(struct.pack(HEAD, MAGIC, 1, len(ids), stamp, len(index)))
+            out.write(struct.pack(HEAD, MAGIC, VERSION, len(counts), stamp, len(index)))
             while x := body.read(1 << 22):
                 out.write(x)
             out.write(index)
         store.delete_file(temp)
         store.move(whole, path)
-        yield pd.DataFrame({"path": [path], "documents": [len(ids)], "tokens": [sum(counts)]})
+        yield pa.RecordBatch.from_pydict({"path": [path], "documents": [len(counts)], "tokens": [sum(counts)]})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions or n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")), "text")
-    return sorted(tuple(r) for r in ranged.mapInPandas(run, "path string, documents long, tokens long").collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ["doc_id", F.crc32(F.col("text").cast("binary"))]  # rows of one id are cut by their texts
+    ranged = rows.repartitionByRange(partitions or n_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
+    return sorted(tuple(r) for r in ranged.mapInArrow(run, "path string, documents long, tokens long").collect())
 
 
 class Shard:
@@ -202,7 +229,7 @@ class Shard:
 
         self.file = fs.open_input_file(path)
         magic, version, self.n, stamp, size = struct.unpack(HEAD, self.file.read(struct.calcsize(HEAD)))
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != VERSION:
             raise ValueError(f"{path} is not a shard")
         if stamp != _stamp(dictionary):
             raise ValueError(f"{path} was written with another dictionary")
@@ -213,6 +240,7 @@ class Shard:
         self.ids = np.frombuffer(raw, "<i8", n)
         self.offset = np.frombuffer(raw, "<u8", n + 1, 8 * n)
         self.tokens = np.frombuffer(raw, "<u4", n, 8 * (2 * n + 1))
+        self.null = np.frombuffer(raw, "u1", n, 8 * (2 * n + 1) + 4 * n).astype(bool)
         self._zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
     def raw(self, k: int) -> bytes:
@@ -238,7 +266,7 @@ def read(spark, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
                 start = first + np.concatenate([[0], np.cumsum(s.tokens[:-1], dtype=np.int64)])
                 crc = [zlib.crc32(s.raw(k)) for k in range(s.n)]
                 ids = pd.array(s.ids, dtype="Int64")
-                ids[s.ids == NULL_ID] = pd.NA
+                ids[s.null] = pd.NA
                 yield pd.DataFrame({"doc_id": ids, "start": start, "n_tokens": s.tokens.astype("int64"), "ids_crc32": crc})
 
     return table.mapInPandas(run, schema)

@@ -28,21 +28,22 @@ def test_encoder_is_the_library(tokenizer):
 
     r = random.Random(6)
     texts = TEXTS + ["".join(r.choice("ab'sté ²3 \n\t\r ,.!?|#<>- 中😀") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join("\n" * (r.random() < 0.2) + r.choice(["and", "the", "It's", "end.", "(x)", "—", "東京", "\0", "42", "a-b", "é,"]) for _ in range(r.randint(1, 40))) for _ in range(3000)]
     e = token_shards.Encoder(PATH, 2, max_words=500)
     assert [x for x in e(texts)] == [want(tokenizer, t) for t in texts]
 
 
 def test_round_trip(spark, tokenizer):
-    rows = [(100 - k, t) for k, t in enumerate(TEXTS)] + [(3, None), (3, "again"), (3, "again"), (None, "no id")]
+    rows = [(100 - k, t) for k, t in enumerate(TEXTS)] + [(3, None), (3, "again"), (3, "again"), (None, "no id"), (-(2**63), "least"), (2**63 - 1, "most")]
     got = sorted(token_shards.round_trip(docs(spark, rows), PATH).collect(), key=lambda r: r.start)
     ids = [r.doc_id for r in got]
-    assert ids[0] is None and ids[1:] == sorted(ids[1:]) and len(ids) == len(rows)
+    assert ids[0] is None and ids[1] == -(2**63) and ids[1:] == sorted(ids[1:]) and len(ids) == len(rows)
     start = 0
     for r in got:
         assert r.start == start
         start += r.n_tokens
-    have = sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got)
-    assert have == sorted((i or -1, len(w) // 4, zlib.crc32(w)) for i, t in rows for w in [want(tokenizer, t)])
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got)
+    assert have == sorted((-1 if i is None else i, len(w) // 4, zlib.crc32(w)) for i, t in rows for w in [want(tokenizer, t)])
 
 
 def test_one_document_by_itself(spark, tokenizer, tmp_path):
