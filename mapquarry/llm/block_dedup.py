@@ -70,7 +70,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     rolling = np.flatnonzero((owner[: n - BLOCK + 1] == owner[BLOCK - 1 :]) & (length[owner[: n - BLOCK + 1]] >= WINDOW))
     if not len(rolling):
         return (np.zeros(0, np.int64),) * 5
-    p = np.unique(least[rolling])
+    p = least[rolling]  # ascending
+    p = p[np.r_[True, p[1:] != p[:-1]]]
     blocks = rolling[(rolling - start[owner[rolling]]) % BLOCK == 0]
     ref = np.isin(p, least[blocks])
     doc = owner[p]
