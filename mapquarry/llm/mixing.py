@@ -2,11 +2,13 @@
 
 Token weights of the cells source x language x topic are raked to target marginals of each; then
 each document is sampled with its cell's calibrated probability. Cells with fewer tokens than their
-share demands are taken whole and the rest is raised in proportion, so the budget is met.
+share demands are taken whole and the rest is raised in proportion, so the budget is met. Topics are
+a column of the table or are found by clustering (see topics.py).
 
-Defined cases: null source or language is a group of its own ("" in the result); null and empty
-texts have no tokens and are never sampled; repeated rows share one draw; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: null source, language or topic is a group of its own ("" in the result); null and empty
+texts have no tokens and are never sampled; repeated rows share one draw; very long texts count all
+their words; an empty table gives an empty result; the columns kept are packed in a struct, so their
+names clash with none of the operator's.
 """
 
 from __future__ import annotations
@@ -17,17 +19,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import topics
+from .common import packed_rows, words, written
 
 DIMS = ("source", "lang", "topic")
 
 
-def topic_of(words: Column, n_topics: int = 8) -> Column:
-    """A stand-in topic: the hash group of the longest word (the last in order among equals)."""
-    best = F.aggregate(words, F.lit(""), lambda a, w: F.when((F.length(w) > F.length(a)) | ((F.length(w) == F.length(a)) & (w > a)), w).otherwise(a))
-    return F.format_string("t%d", F.pmod(F.xxhash64(best), F.lit(n_topics)))
-
-
 def tempered(tokens: Mapping[str, float], power: float) -> dict[str, float]:
     """Shares proportional to tokens ** power: below 1 lifts small groups."""
     raised = {k: v**power for k, v in tokens.items() if v > 0}
@@ -71,24 +68,23 @@ def probabilities(cells: Mapping[tuple, float], weights: Mapping[tuple, float],
     return p
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), share: float = 0.5, powers: Sequence[float] = (0.7, 0.8, 0.5), targets: Sequence[Mapping[str, float]] | None = None, topic: Column | None = None, seed: int = 17, max_cells: int = 1_000_000) -> DataFrame:
-    """The columns keep with mix_source, mix_lang, mix_topic, n_tokens, weight, probability, selected.
+def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), share: float = 0.5, powers: Sequence[float] = (0.7, 0.8, 0.5), targets: Sequence[Mapping[str, float]] | None = None, topic: Column | None = None, n_topics: int = 8, seed: int = 17, max_cells: int = 1_000_000) -> DataFrame:
+    """doc, the columns keep in a struct, with mix_source, mix_lang, mix_topic, n_tokens, weight, probability, selected.
 
-    targets: shares by source, language and topic; left out, the tokens' own shares tempered by
-    powers. share: of all tokens, how many to sample. The cell table is summed over all documents;
-    it is fitted on the driver, and more than max_cells cells raise an error before they are sent.
+    topic: an expression, else the column topic, else n_topics clusters. targets: shares by source,
+    language and topic; left out, the tokens' own shares tempered by powers. share: of all tokens,
+    how many to sample. The cell table is summed over all documents; it is fitted on the driver, and
+    more than max_cells cells raise an error before they are sent.
     """
-    from .common import words
-
-    if "topic" not in docs.columns and topic is None:
-        topic = topic_of(F.col("_w"))
-    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    df = docs.withColumn("_w", words(F.col("text").cast("string")))
-    df = df.select(*keep, F.col("doc_id").alias("_id"), group("source").alias("mix_source"), group("lang").alias("mix_lang"), (topic if topic is not None else group("topic")).alias("mix_topic"), F.size("_w").cast("long").alias("n_tokens"))
-    df = written(df)
+    group = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    text = words(F.col("text").cast("string"))
+    if topic is None and "topic" in docs.columns:
+        topic = F.col("topic")
+    found = {"counts": topics.counts(text)} if topic is None else {"mix_topic": group(topic)}
+    df = packed_rows(docs, list(keep), id=F.col("doc_id"), mix_source=group(F.col("source")), mix_lang=group(F.col("lang")), n_tokens=F.size(text).cast("long"), **found)
+    df = topics.with_topics(df, "mix_topic", "mix_lang", n_topics) if topic is None else written(df)
     names = [f"mix_{d}" for d in DIMS]
-    cells_df = df.groupBy(*names).agg(F.sum("n_tokens").alias("n"))
-    rows = cells_df.limit(max_cells + 1).collect()
+    rows = df.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(max_cells + 1).collect()
     if len(rows) > max_cells:
         raise ValueError(f"more than {max_cells} cells of source, language and topic; coarsen them or raise max_cells")
     cells = {tuple(r[:3]): float(r[3]) for r in sorted(rows, key=lambda r: tuple(r[:3]))}
@@ -102,6 +98,6 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), share: float = 0.5,
     weights = rake(cells, targets)
     p = probabilities(cells, weights, share * sum(cells.values()))
     fitted = df.sparkSession.createDataFrame([(*k, float(weights.get(k, 0.0)), float(v)) for k, v in p.items()], ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
-    u = F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
     out = df.join(fitted, names, "left") if len(p) > 20_000 else df.join(F.broadcast(fitted), names, "left")
-    return out.withColumn("selected", (F.col("n_tokens") > 0) & (u < F.col("probability"))).drop("_id")
+    return out.select("doc", *names, "n_tokens", "weight", "probability", ((F.col("n_tokens") > 0) & (u < F.col("probability"))).alias("selected"))

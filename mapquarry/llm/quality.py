@@ -5,7 +5,8 @@ patterns (at most 3 ** number of rules, whatever the input) estimates each rule'
 and on bad documents; the posterior probability of quality then decides, not an all-must-pass filter.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; an empty
-table gives an empty result; repeated rows are judged alike; other columns are ignored.
+table gives an empty result; repeated rows are judged alike; texts of any length are counted exactly; the
+columns kept are packed in a struct, so their names clash with none of the operator's.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words, written
+from .common import packed_rows, words, written
 
 #: Frequent words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
@@ -28,33 +29,47 @@ STOP_WORDS = (
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "stop_words", "variety", "letters", "shouting")
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep, and counts over each whole text.
+def features(docs: DataFrame, keep: list[str], place_bits: int = 20) -> DataFrame:
+    """doc, the columns keep in a struct, and counts over each whole text.
 
-    n_repeat_words: each 3-word window becomes a long, its hash above and its place below; after one
-    primitive sort equal windows are neighbours (their words are compared, so a clash of hashes
-    adds none), and the gaps between the places found give the words covered.
+    n_repeat_words: each 3-word window becomes a long, the upper bits of its hash above and its place
+    in the lower place_bits; after one primitive sort equal windows are neighbours, and the gaps
+    between the places found give the words covered. Windows are compared by their words. Where two
+    neighbours agree in the bits kept but not in their words, others may stand between equal
+    ones: such a text's windows are sorted again by whole hashes.
     """
-    df = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
-    low = F.when(F.col("n_words") < 2**20, F.lit(2**20 - 1)).otherwise(F.lit(2**31 - 1)).cast("long")
+    docs = packed_rows(docs, keep, _t=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    df = docs.withColumn("_w", words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
+    low = F.when(F.col("n_words") < 2**place_bits, F.lit(2**place_bits - 1)).otherwise(F.lit(2**31 - 1)).cast("long")
     n = F.col("n_words").cast("int")
     at = lambda i: F.get("_w", i)
-    packed = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)).bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")))).otherwise(F.array().cast("array<long>"))
+    whole = lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))
+    equal = lambda p, q: (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2))
+    places = F.sequence(F.lit(0), n - 3)
+    packed = F.when(n >= 4, F.transform(places, lambda i: whole(i).bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")))).otherwise(F.array().cast("array<long>"))
     df = df.withColumn("_low", low).withColumn("_s", F.sort_array(packed))
+    place = lambda x: x.bitwiseAND(F.col("_low")).cast("int")
 
-    def twin(x: Column, j: Column) -> Column:
-        """Whether the window at place j of the sorted array is the same as its neighbour's."""
+    def twin(x: Column, j: Column, same: bool = True) -> Column:
+        """Whether the windows at x and at place j of the sorted array agree in the bits kept, and in their words (or not in them)."""
         y = F.get("_s", j)
-        p, q = (v.bitwiseAND(F.col("_low")).cast("int") for v in (x, y))
-        same_hash = y.isNotNull() & (x.bitwiseXOR(y) <= F.col("_low")) & (x.bitwiseXOR(y) >= 0)
-        return F.coalesce(same_hash & (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2)), F.lit(False))
+        words_agree = equal(place(x), place(y))
+        return F.coalesce(y.isNotNull() & (x.bitwiseXOR(y) <= F.col("_low")) & (x.bitwiseXOR(y) >= 0) & (words_agree if same else ~words_agree), F.lit(False))
 
-    hits = F.filter("_s", lambda x, j: twin(x, j + 1) | twin(x, j - 1))
-    df = df.withColumn("_p", F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(F.col("_low")))))
+    df = df.withColumn("_clash", F.size(F.filter("_s", lambda x, j: twin(x, j + 1, False))) > 0)
+    df = df.withColumn("_f", F.when(F.col("_clash"), F.sort_array(F.transform(places, lambda i: F.struct(whole(i).alias("h"), i.alias("i"))))))
+
+    def twin_whole(x: Column, j: Column) -> Column:
+        y = F.get("_f", j)
+        return F.coalesce((x["h"] == y["h"]) & equal(x["i"], y["i"]), F.lit(False))
+
+    hits = F.transform(F.filter("_s", lambda x, j: twin(x, j + 1) | twin(x, j - 1)), place)
+    whole_hits = F.transform(F.filter("_f", lambda x, j: twin_whole(x, j + 1) | twin_whole(x, j - 1)), lambda x: x["i"])
+    df = df.withColumn("_p", F.sort_array(F.when(F.col("_clash"), whole_hits).otherwise(hits)))
     gaps = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("long"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return df.withColumn("_l", lines).select(
-        *keep,
+        "doc",
         "n_words",
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -151,7 +166,7 @@ def judge(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def quality(docs: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:
-    """The columns keep with counts, votes, quality_probability and kept.
+    """doc, the columns keep in a struct, with counts, votes, quality_probability and kept.
 
     Counts and votes are written once to the shared folder; the estimate reads only the votes."""
     return judge(written(votes(features(docs, keep))), threshold)

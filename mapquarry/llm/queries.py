@@ -12,12 +12,13 @@ from .common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    df = mixing.mix(table(spark, sf_dir, "documents"))
+    return df.select("doc.doc_id", *df.columns[1:])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.quality(table(spark, sf_dir, "documents"), ["doc_id"])
-    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    first = ["doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return df.select(*first, "quality_probability", *[f"v_{k}" for k in quality.RULES])
 
 
@@ -45,7 +46,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = simhash.simhash(table(spark, sf_dir, "documents"), ["doc_id"])
-    return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return df.select("doc.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ A bucket of equal variants emits no pairs: its members are linked inside the tas
 edge for each member leaves it.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; with fewer words
-than a shingle the whole sequence is hashed; repeated rows and ids share a component; an empty table
-gives an empty result; other columns are ignored.
+than a shingle the whole sequence is hashed; repeated rows and ids share a component; very long texts
+are hashed whole; an empty table gives an empty result; the columns kept are packed in a struct, so their
+names clash with none of the operator's.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_partitions, roots, with_row_key
+from .common import checkpoint, n_partitions, packed_rows, roots, unpacked, with_row_key
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -53,17 +54,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep and fp, the fingerprint as a signed long."""
+    """doc, the columns keep in a struct, and fp, the fingerprint as a signed long."""
     import pyarrow as pa
 
-    schema = docs.select(*keep).schema.add("fp", "long")
+    rows = packed_rows(docs, keep, text=F.col("text").cast("string"))
+    schema = rows.select("doc").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fp)], names=["doc", "fp"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -161,19 +163,18 @@ def near_edges(distinct: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The first row with the smallest doc_id of each component; null ids come last."""
-    row = with_row_key(docs, "_row")
-    found = simhash(row, ["doc_id", "_row"])
+    rows = with_row_key(packed_rows(docs), "row")
+    found = simhash(rows.select("row", F.col("doc").getField("doc_id").alias("doc_id"), F.col("doc").getField("text").alias("text")), ["doc_id", "row"])
     # struct order puts null ids first, so whether the id is null leads
-    best = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    return row.join(best, "_row", "left_semi").select(*docs.columns)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc.doc_id").isNull().alias("n"), "doc.doc_id", "doc.row")).alias("m")).select(F.col("m.row").alias("row"))
+    return unpacked(rows.join(best, "row", "left_semi"), docs.columns)
 
 
 def simhash(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep (doc_id among them), fp, component_id (the smallest doc_id linked) and _root, a fingerprint of the component."""
+    """doc, the columns keep (doc_id among them) in a struct, fp, component_id (the smallest doc_id linked) and root, a fingerprint of the component."""
     df = checkpoint(fingerprints(docs, keep))
-    owner = df.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    owner = df.groupBy("fp").agg(F.min("doc.doc_id").alias("least"))
     comp = components(near_edges(owner.select("fp"))).select(F.col("node").alias("fp"), F.col("root"))
     least = owner.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = least.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = least.join(by_root, "root").select("fp", "component_id", F.col("root").alias("_root"))
-    return df.join(named, "fp").select(*keep, "fp", "component_id", "_root")
+    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    return df.join(least.join(by_root, "root").select("fp", "component_id", "root"), "fp").select("doc", "fp", "component_id", "root")
