@@ -9,7 +9,6 @@ one doc_id and text are copies of each other.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mapquarry.llm import common, decontam, mixing, quality, shard_tree, simhash
 
@@ -19,7 +18,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.quality(docs, docs.columns).where("kept").select(*docs.columns)
+    return common.unpacked(quality.quality(docs, docs.columns).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with their cell's calibrated probability stay."""
-    return mixing.mix(docs, docs.columns).where(F.col("selected")).select(*docs.columns)
+    return common.unpacked(mixing.mix(docs, docs.columns).where("selected"), docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
