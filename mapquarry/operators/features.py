@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..model import MapData
 from . import rings, selection, tag_filter
-from .tags import members_json, project
+from .tags import project
 
 # Values of these keys that are areas although the key stands for lines.
 AREA_VALUES = {
@@ -94,8 +94,7 @@ def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, l
     members = selection.way_members(relations).groupBy("relation_id", "way_id").agg(F.min("seq").alias("seq"))
     linear = relations.select(F.col("id").alias("relation_id"), relation_is_linear(F.col("tags")).alias("linear"))
     shapes = rings.assemble(members.join(lines, "way_id").join(linear, "relation_id"))
-    tagged = relations.withColumn("tags", F.map_concat(F.map_filter("tags", lambda k, _: k != "members"), F.create_map(F.lit("members"), members_json(F.col("members")))))
-    return tagged.join(shapes, "id").select("id", F.lit("relation").alias("osm_type"), "tags", "geometry", "visible", *_metadata(layer, "version", "changeset", "timestamp"))
+    return relations.join(shapes, "id").select("id", F.lit("relation").alias("osm_type"), "tags", "members", "geometry", "visible", *_metadata(layer, "version", "changeset", "timestamp"))
 
 
 def features(data: MapData, layer: Layer, box: selection.Box | None = None, complete_relations: bool = False) -> DataFrame:
