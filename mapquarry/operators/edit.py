@@ -49,8 +49,8 @@ def element_type(frame: DataFrame) -> Column:
 
 
 def overlay(base: DataFrame, edits: DataFrame, kind: str) -> DataFrame:
-    """Elements of one kind, with the tags of the edits (id, osm_type, tags map) that name them."""
-    mine = edits.where(F.col("osm_type") == kind).select("id", F.col("tags").alias("_new"))
+    """Elements of one kind, with the tags of the edits (id, osm_type, tags map, place) that name them; of several edits of one element the last place counts."""
+    mine = edits.where(F.col("osm_type") == kind).groupBy("id").agg(F.max_by("tags", "place").alias("_new"))
     return base.join(mine, "id", "left").withColumn("tags", F.coalesce("_new", "tags")).select(*base.columns)
 
 
@@ -102,7 +102,8 @@ def apply(data: MapData, edits: DataFrame, subset_only: bool = False) -> MapData
     elements, what they refer to, and the new ones are kept. Only EPSG:4326 places are meant.
     """
     names = edits.columns
-    rows = edits.select(*(["id"] if "id" in names else [F.lit(None).cast("long").alias("id")]), element_type(edits).alias("osm_type"), row_tags(edits).alias("tags"), F.col("geometry").cast(G.GEOMETRY).alias("geometry") if "geometry" in names else F.lit(None).cast(G.GEOMETRY).alias("geometry"))
+    # a row's place in the table, so that later edits of an element win
+    rows = edits.withColumn("_place", F.monotonically_increasing_id()).select(F.col("_place").alias("place"), *(["id"] if "id" in names else [F.lit(None).cast("long").alias("id")]), element_type(edits).alias("osm_type"), row_tags(edits).alias("tags"), F.col("geometry").cast(G.GEOMETRY).alias("geometry") if "geometry" in names else F.lit(None).cast(G.GEOMETRY).alias("geometry"))
     known = None
     for kind, base in (("node", data.nodes), ("way", data.ways), ("relation", data.relations)):
         part = base.select("id", F.lit(kind).alias("osm_type"))
@@ -116,7 +117,7 @@ def apply(data: MapData, edits: DataFrame, subset_only: bool = False) -> MapData
     if fresh.isEmpty():
         return out
     least = lambda f: min(-1, (f.agg(F.min("id")).first()[0] or 0) - 1)
-    keyed = fresh.withColumn("key", F.struct(F.coalesce("id", F.lit(0)), F.to_json("geometry"), F.to_json(F.array_sort(F.map_entries("tags")))))
+    keyed = fresh.drop("place").withColumn("key", F.struct(F.coalesce("id", F.lit(0)), F.to_json("geometry"), F.to_json(F.array_sort(F.map_entries("tags")))))
     nodes, ways = new_elements(keyed, least(data.nodes), least(data.ways))
     names_of = lambda schema: [c.split()[0] for c in schema.split(", ")]
     return out.at(nodes=out.nodes.select(*names_of(NODE)).union(nodes.select(*names_of(NODE))), ways=out.ways.select(*names_of(WAY)).union(ways.select(*names_of(WAY))))
