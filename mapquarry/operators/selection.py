@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +13,50 @@ from ..functions import geometry as G
 from ..model import MapData, member_rows, ref_rows
 from ..plans.storage import checkpoint
 
-Box = tuple[float, float, float, float]
+@dataclass(frozen=True)
+class Area:
+    """A polygon or several with holes, as closed rings: what an odd number of rings surrounds is inside, edges and corners included."""
+
+    rings: tuple[tuple[tuple[float, float], ...], ...]
+
+    @property
+    def bounds(self) -> tuple[float, float, float, float]:
+        xs, ys = zip(*(p for r in self.rings for p in r), strict=True)
+        return min(xs), min(ys), max(xs), max(ys)
+
+    def pieces(self) -> Column:
+        """The rings' pieces, an array of structs x1, y1, x2, y2."""
+        flat = [(*a, *b) for r in self.rings for a, b in zip(r, r[1:], strict=False)]
+        return F.from_json(F.lit(json.dumps([dict(zip(("x1", "y1", "x2", "y2"), p, strict=True)) for p in flat])), "array<struct<x1:double,y1:double,x2:double,y2:double>>")
+
+
+Box = tuple[float, float, float, float] | Area
+
+
+def bounds_of(box: Box) -> tuple[float, float, float, float]:
+    return box.bounds if isinstance(box, Area) else box
 
 
 def in_box(box: Box, lon: Column | None = None, lat: Column | None = None) -> Column:
-    """Bounds are inclusive."""
-    west, south, east, north = box
+    """Bounds are inclusive; of an area they are looked at first, which scans can prune by."""
+    west, south, east, north = bounds_of(box)
     lon, lat = F.col("lon") if lon is None else lon, F.col("lat") if lat is None else lat
-    return lon.between(west, east) & lat.between(south, north)
+    near = lon.between(west, east) & lat.between(south, north)
+    return near & _in_area(box, lon, lat) if isinstance(box, Area) else near
+
+
+def _in_area(area: Area, x: Column, y: Column) -> Column:
+    def hit(p: Column) -> Column:
+        """1 for a piece right of the point, 1000000 (more than there are pieces) for one that the point is on."""
+        cross = (p["x2"] - p["x1"]) * (y - p["y1"]) - (p["y2"] - p["y1"]) * (x - p["x1"])
+        on = (cross == 0) & x.between(F.least(p["x1"], p["x2"]), F.greatest(p["x1"], p["x2"])) & y.between(F.least(p["y1"], p["y2"]), F.greatest(p["y1"], p["y2"]))
+        spans = (p["y1"] > y) != (p["y2"] > y)
+        # the piece lies right of the point where the cross product has the sign of its rise
+        right = spans & ((cross > 0) == (p["y2"] > p["y1"])) & (cross != 0)
+        return F.when(on, 1_000_000).when(right, 1).otherwise(0)
+
+    total = F.aggregate(area.pieces(), F.lit(0), lambda s, p: s + hit(p))
+    return (total >= 1_000_000) | (total % 2 == 1)
 
 
 def ways_touching(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -123,6 +161,8 @@ def plain_points(points: Column | str = "points") -> Column:
 
 def intersects_box(geom: Column, box: Box) -> Column:
     """Whether a geometry meets a box: some point is in it, some piece crosses it, or a ring surrounds it."""
+    if isinstance(box, Area):
+        return _meets_area(geom, box)
     west, south, east, north = map(float, box)
     ext = G.extent(geom)
     apart = (ext["east"] < west) | (ext["west"] > east) | (ext["north"] < south) | (ext["south"] > north)
@@ -148,6 +188,29 @@ def intersects_box(geom: Column, box: Box) -> Column:
     return geom.isNotNull() & ~apart & (inside | any_piece | area & odd)
 
 
+def _meets_area(geom: Column, box: Area) -> Column:
+    """Whether a geometry meets an area: a point in it, a piece that crosses one of its, or a ring around all of it."""
+    meets_bounds = intersects_box(geom, box.bounds)
+    inside = F.exists(F.flatten(geom["rings"]), lambda p: in_box(box, p["x"], p["y"]))
+    edges = box.pieces()
+    side = lambda ax, ay, bx, by, x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+
+    def crosses(piece: Column) -> Column:
+        a, b = F.get(piece, F.lit(0)), F.get(piece, F.lit(1))
+
+        def edge(p: Column) -> Column:
+            s1, s2 = side(a["x"], a["y"], b["x"], b["y"], p["x1"], p["y1"]), side(a["x"], a["y"], b["x"], b["y"], p["x2"], p["y2"])
+            t1, t2 = side(p["x1"], p["y1"], p["x2"], p["y2"], a["x"], a["y"]), side(p["x1"], p["y1"], p["x2"], p["y2"], b["x"], b["y"])
+            return (F.signum(s1) * F.signum(s2) <= 0) & (F.signum(t1) * F.signum(t2) <= 0) & (F.greatest(a["x"], b["x"]) >= F.least(p["x1"], p["x2"])) & (F.least(a["x"], b["x"]) <= F.greatest(p["x1"], p["x2"])) & (F.greatest(a["y"], b["y"]) >= F.least(p["y1"], p["y2"])) & (F.least(a["y"], b["y"]) <= F.greatest(p["y1"], p["y2"]))
+
+        return F.exists(edges, edge)
+
+    any_piece = F.exists(geom["rings"], lambda r: F.exists(G.pieces(r), crosses))
+    x, y = box.rings[0][0]
+    around = F.aggregate(F.transform(geom["rings"], lambda r: F.size(F.filter(G.pieces(r), lambda p: _right_of(p, x, y)))), F.lit(0), lambda s, n: s + n) % 2 == 1
+    return meets_bounds & (inside | any_piece | geom["type"].isin("Polygon", "MultiPolygon") & around)
+
+
 def _right_of(piece: Column, x: float, y: float) -> Column:
     a, b = F.get(piece, F.lit(0)), F.get(piece, F.lit(1))
     spans = (a["y"] > y) != (b["y"] > y)
@@ -159,9 +222,31 @@ def bounds(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
-def normal_box(box: Sequence[float]) -> Box:
-    """Four finite bounds, west <= east and south <= north."""
+def normal_box(box) -> Box:
+    """Four finite bounds, west <= east and south <= north; or an area: a ring of at least three places, several rings, or a mapping as in GeoJSON (Polygon, MultiPolygon, closed LineString)."""
+    if isinstance(box, Area):
+        return box
+    if isinstance(box, Mapping):
+        kind, at = box.get("type"), box.get("coordinates")
+        rings = {"Polygon": at, "MultiPolygon": [r for p in at or [] for r in p], "LineString": [at]}.get(kind)
+        if not rings or kind == "LineString" and tuple(at[0]) != tuple(at[-1]):
+            raise ValueError(f"a box should be a polygon or a closed line, not {kind!r}")
+        return _area(rings)
+    box = list(box)
+    if box and not isinstance(box[0], (int, float, str)):
+        return _area(box if isinstance(box[0][0], (list, tuple)) else [box])
     values = [float(v) for v in box]
     if len(values) != 4 or any(v != v for v in values) or values[0] > values[2] or values[1] > values[3]:
         raise ValueError(f"a box should be [west, south, east, north], not {list(box)!r}")
     return tuple(values)
+
+
+def _area(rings) -> Area:
+    out = []
+    for r in rings:
+        ring = [(float(x), float(y)) for x, y, *_ in r]
+        ring += ring[:1] if ring[0] != ring[-1] else []
+        if len(ring) < 4 or any(v != v for p in ring for v in p):
+            raise ValueError("a ring should have at least three places")
+        out.append(tuple(ring))
+    return Area(tuple(out))
