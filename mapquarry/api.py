@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,15 @@ from .functions.tag_sets import BASIC, COLUMNS
 from .model import MapData
 from .operators import edit, features, history, network, selection, tag_filter
 from .operators import simplify as simplification
-from .plans import cache
+from .plans import cache, storage
 from .sources import geoparquet, pbf, writer
 
 
 class OSM:
-    """Reads a file (or takes a MapData) once; every query is a lazy DataFrame.
+    """Takes a MapData, or a file that is decoded once, at its first use, into Parquet (in cache_directory if given, else in the shared folder).
 
-    engine and workers are accepted for compatibility: Spark schedules the work. Empty results are
+    Layers and networks of a file are kept in cache_directory, if given. bounding_box: four bounds or a
+    polygon (see selection.normal_box). With keep_metadata=False metadata isn't decoded. engine and workers are accepted for compatibility: Spark schedules the work. Empty results are
     empty tables. compact=True leaves out tag columns that no row has, at the cost of a pass.
     """
 
@@ -35,12 +37,24 @@ class OSM:
         self.compact, self.cache_directory = validate.flag("compact", compact), cache_directory
         self.strict = validate.choice("history_mode", history_mode, ("last", "strict")) == "strict"
         self.history = self.path is not None and history.is_history(self.path)
-        self._whole = source if isinstance(source, MapData) else pbf.load(self.spark, source)
+        self._given = source if isinstance(source, MapData) else None
         self._now: tuple[int, MapData] | None = None
+        self._cut: int | None = None
+
+    @property
+    def _whole(self) -> MapData:
+        if self._given is None:
+            metadata = self.keep_metadata or self.history
+            if self.cache_directory:
+                folder = f"{self.cache_directory.rstrip('/')}/{cache.key(self.path, name='parsed', metadata=metadata)}"
+            else:
+                folder = f"{storage.checkpoint_dir(self.spark)}/map-{uuid4().hex}"
+            self._given = pbf.ingest(self.spark, self.path, folder, metadata)
+        return self._given
 
     @property
     def header(self):
-        return self._whole.header
+        return self._whole.header if self._given else pbf.read_header(self.path)
 
     def data(self, timestamp=None) -> MapData:
         """The extract, for a history file as it was at the timestamp (kept until another one is asked for)."""
@@ -63,7 +77,10 @@ class OSM:
 
     def _layer(self, custom, columns: list[str], timestamp, **kinds) -> DataFrame:
         layer = features.Layer(custom, columns, metadata=self.keep_metadata or self.history, compact=self.compact, **kinds)
-        return features.features(self.data(timestamp), layer, self.box, self.complete_relations)
+        if layer.relations and not self.complete_relations:
+            straddling_warning(self, timestamp)
+        data = self.data(timestamp)
+        return self.cached("layer", lambda: features.features(data, layer, self.box, self.complete_relations), layer=repr(layer), complete=self.complete_relations, moment=self._now and self._now[0])
 
     def _keyed(self, key: str, custom_filter, tags_to_keep, extra_attributes, timestamp, default=None, **kinds) -> DataFrame:
         custom = tag_filter.compiled(custom_filter)
@@ -125,7 +142,10 @@ class OSM:
         columns = self._columns(COLUMNS["highway"], tags_to_keep, extra_attributes, custom if custom_filter is not None else None)
         data = self.data(timestamp)
         ways = network.select_ways(data.ways, custom, gate, how)
-        return network.network(ways, data.nodes, kind, columns, self.box, validate.flag("nodes", nodes), self.keep_metadata or self.history, self.compact)
+        made = network.network(ways, data.nodes, kind, columns, self.box, validate.flag("nodes", nodes), self.keep_metadata or self.history, self.compact)
+        about = {"network": kind, "filter": repr((custom, gate, how)), "columns": columns, "by_segment": nodes, "metadata": self.keep_metadata, "compact": self.compact, "moment": self._now and self._now[0]}
+        edges = self.cached("edges", lambda: made.edges, **about)
+        return made.at(edges=edges, nodes=self.cached("nodes", lambda: made.nodes, **about) if nodes else None)
 
     def to_graph(self, net: network.Network, graph_type: str = "frames", direction: str = "oneway", retain_all: bool = False, force_bidirectional: bool = False, simplify: bool = False, simplify_kwargs: dict | None = None):
         """Directed (nodes, edges) as tables, or an object of a graph library if that is installed."""
@@ -152,15 +172,21 @@ class OSM:
         from dataclasses import replace
 
         cut = selection.crop(self._whole, self.box, validate.flag("keep_relations", keep_relations))
-        return writer.write(cut.at(header=replace(self.header, bounds=self.box)), validate.map_file(output_path))
+        return writer.write(cut.at(header=replace(self.header, bounds=selection.bounds_of(self.box))), validate.map_file(output_path))
 
-    def write_pbf(self, data: DataFrame, output_path: str, subset_only: bool = False) -> str:
-        """Write the file with the tags of a feature table laid over it and its new rows added."""
+    def write_pbf(self, data: DataFrame | list[DataFrame], output_path: str, subset_only: bool = False) -> str:
+        """Write the file with the tags of a feature table (or several) laid over it and its new rows added; later rows win."""
         from dataclasses import replace
 
         if self.history:
             raise pbf.UnsupportedMapFile("a history file cannot be edited")
-        out = edit.apply(self._whole, data, validate.flag("subset_only", subset_only))
+        frames = [data] if isinstance(data, DataFrame) else list(data)
+        if not frames:
+            raise ValueError("there is no table to write")
+        whole = frames[0]
+        for f in frames[1:]:
+            whole = whole.unionByName(f, allowMissingColumns=True)
+        out = edit.apply(self._whole, whole, validate.flag("subset_only", subset_only))
         r = selection.bounds(out.nodes).first()
         box = tuple(r) if r and r[0] is not None else None
         return writer.write(out.at(header=replace(self.header, bounds=box)), validate.map_file(output_path))
@@ -182,13 +208,14 @@ class OSM:
         return cache.clear(self.cache_directory, None if all_files else self.path) if self.cache_directory else []
 
 
-def straddling_warning(osm: OSM) -> int:
-    """How many relations the box cuts; warns if any are."""
+def straddling_warning(osm: OSM, timestamp=None) -> int:
+    """How many relations the box cuts (counted once for each object); warns if any are."""
     if osm.box is None:
         return 0
-    data = osm.data()
-    ways = selection.ways_touching(data.ways, data.nodes.where(selection.in_box(osm.box)))
-    n = selection.straddling(data.relations, ways).count()
-    if n:
-        warnings.warn(f"{n} relations reach over the box and are incomplete; complete_relations=True reads them whole", UserWarning, stacklevel=2)
-    return n
+    if osm._cut is None:
+        data = osm.data(timestamp)
+        ways = selection.ways_touching(data.ways, data.nodes.where(selection.in_box(osm.box)))
+        osm._cut = selection.straddling(data.relations, ways).count()
+    if osm._cut:
+        warnings.warn(f"{osm._cut} relations reach over the box and are incomplete; complete_relations=True reads them whole", UserWarning, stacklevel=2)
+    return osm._cut

@@ -305,13 +305,14 @@ def blocks(spark: SparkSession, path: str):
     return spark.createDataFrame(rows, "seq long, type string, offset long, size long")
 
 
-def ingest(spark: SparkSession, path: str, folder: str) -> MapData:
-    """Decode once into Parquet, nodes in spatial order so that boxes prune row groups, and read that."""
+def ingest(spark: SparkSession, path: str, folder: str, metadata: bool = True) -> MapData:
+    """Decode once into Parquet, nodes in spatial order so that boxes prune row groups, and read that; what is there whole is not decoded again."""
     from pyspark.sql import functions as F
 
-    data = load(spark, path)
+    from ..plans import cache
+
+    data = load(spark, path, metadata=metadata)
     cell = F.floor((F.col("lon") + 180) * 10) * 4096 + F.floor((F.col("lat") + 90) * 10)
-    data.nodes.repartitionByRange(cell).sortWithinPartitions(cell, "id").write.mode("overwrite").parquet(f"{folder}/nodes")
-    data.ways.write.mode("overwrite").parquet(f"{folder}/ways")
-    data.relations.write.mode("overwrite").parquet(f"{folder}/relations")
-    return MapData(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/ways"), spark.read.parquet(f"{folder}/relations"), data.header)
+    nodes = data.nodes.repartitionByRange(cell).sortWithinPartitions(cell, "id")
+    parts = (("nodes", lambda: nodes), ("ways", lambda: data.ways), ("relations", lambda: data.relations))
+    return MapData(*[cache.materialize(spark, folder, name, make) for name, make in parts], data.header)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpoint
 from ..model import Header, MapData
 from . import wire
 from .pbf import MEMBER_TYPES
@@ -137,7 +138,10 @@ def blobs(frame_: DataFrame, kind: str, partitions: int | None = None, history:
 
 
 def write(data: MapData, path: str, partitions: int | None = None) -> str:
-    """Write header, nodes, ways and relations in id order. Blobs pass the driver one partition at a time; the file appears when whole."""
+    """Write header, nodes, ways and relations in id order; the file appears when whole.
+
+    Tasks encode all blobs side by side into the shared folder; the driver only copies their bytes, one partition at a time.
+    """
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
@@ -146,7 +150,7 @@ def write(data: MapData, path: str, partitions: int | None = None) -> str:
     with system.open_output_stream(temp) as out:
         out.write(frame("OSMHeader", header_bytes(data.header)))
         for kind, rows in (("node", data.nodes), ("way", data.ways), ("relation", data.relations)):
-            for row in blobs(rows, kind, partitions, history).toLocalIterator():
+            for row in checkpoint(blobs(rows, kind, partitions, history)).select("blob").toLocalIterator(prefetchPartitions=True):
                 out.write(bytes(row.blob))
     system.move(temp, place)
     return path
