@@ -35,10 +35,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import map_queries  # noqa: F401  (adds its own)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import map_queries  # noqa: F401  (adds its own)
+
     return dict(_sql)
 
 
