@@ -40,7 +40,7 @@ from .components import components
 from .repeats import Roller, mix
 
 SHINGLE, BANDS, ROWS = 10, 6, 3
-WINDOW, PIVOTS = 8, 8
+WINDOW, PIVOTS = 4, 2
 #: Counts of shingles, by their hashes' upper bits, that order them.
 BUCKETS = 1 << 18
 #: Characters hashed at a time.
@@ -304,36 +304,54 @@ def _count_rows(batches: Iterator) -> Iterator:
 
 
 def _prefix_rows(counts: np.ndarray, threshold: float) -> Callable[[Iterator], Iterator]:
-    """id, root, line, n, x, y to a row with key for each of the line's rarest shingles that a similar line must share one of."""
+    """id, root, line, n, x, y to a row with key for each of the line's rarest shingles that a similar line must share one of.
+
+    p and q hold 32 bits each of the four keys before it.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            rows, keys = [], []
+            rows, keys, before = [], [], []
             for k, line in enumerate(b.column("line").to_pylist()):
                 h = distinct(shingle_hashes([line])[0])
                 first = h[np.argsort(counts[_bucket(h)], kind="stable")][: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
                 rows.append(np.full(len(first), k))
                 keys.append(first)
+                # zero stands for a missing one
+                low = np.concatenate([np.zeros(4, np.uint64), first & np.uint64(0xFFFFFFFF)])
+                before.append(np.stack([low[4 - d : len(low) - d] for d in (1, 2, 3, 4)]))
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[b.column(c).take(at) for c in CROSS[1:]]], names=CROSS)
+                w = np.concatenate(before, axis=1)
+                pq = [pa.array(((w[c] << np.uint64(32)) | w[c + 1]).view(np.int64)) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[b.column(c).take(at) for c in CROSS[1:-2]], *pq], names=CROSS)
 
     return run
 
 
-CROSS = ["key", "id", "root", "n", "x", "y"]
+CROSS = ["key", "id", "root", "n", "x", "y", "p", "q"]
 
 
 def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Callable[[Iterator], Iterator]:
-    """Rows sorted by key to pairs a, b of different roots in a run of one key whose parities leave the similarity open."""
+    """Rows sorted by key to pairs a, b of different roots in a run of one key whose parities leave the similarity open.
+
+    A pair that shares one of the four keys before has been found there already (or before that).
+    """
     import pyarrow as pa
 
     def near(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         bits = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int64) for k in ("x", "y"))
         n, m = c["n"][i], c["n"][j]
         open_ = (bits * (1 + threshold) <= (1 - threshold) * (n + m) + 1e-6) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6)
-        return (c["root"][i] != c["root"][j]) & (open_ | (n < 0) | (m < 0))
+        ok = (c["root"][i] != c["root"][j]) & (open_ | (n < 0) | (m < 0))
+        some = np.flatnonzero(ok)
+        low = np.uint64(0xFFFFFFFF)
+        before = [[v for k in ("p", "q") for v in (c[k][r[some]].view(np.uint64) >> np.uint64(32), c[k][r[some]].view(np.uint64) & low)] for r in (i, j)]
+        for v in before[0]:
+            for w in before[1]:
+                ok[some[(v == w) & (v > 0)]] = False
+        return ok
 
     def found(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key = c["key"]

@@ -26,7 +26,8 @@ def counts(words: Column) -> Column:
     """struct(n, c): how many words count, and of how many each of DIMS hash bits is set."""
     hashes = F.transform(F.filter(words, lambda w: F.length(w) >= MIN_LENGTH), lambda w: F.xxhash64(w))
     # two counters of 32 bits to a long: bit k below, bit k + 32 above
-    both = [F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h, k=k: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << 32) + 1))) for k in range(DIMS // 2)]
+    add = lambda k: lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << 32) + 1))
+    both = [F.aggregate(hashes, F.lit(0).cast("long"), add(k)) for k in range(DIMS // 2)]
     c = [x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in both] + [F.shiftrightunsigned(x, 32) for x in both]
     return F.struct(F.size(hashes).cast("long").alias("n"), F.array(*c).alias("c"))
 
@@ -35,7 +36,7 @@ def _vectors(df: DataFrame, lang: str) -> DataFrame:
     """df (with a column counts) with v, the rest as DIMS whole numbers of length UNIT, or null."""
     at = lambda k: F.get(F.col("counts.c"), F.lit(k))
     means = df.groupBy(lang).agg(F.sum("counts.n").alias("_n"), *[F.sum(at(k)).alias(f"_m{k}") for k in range(DIMS)])
-    means = means.select(F.col(lang), F.array(*[F.col(f"_m{k}") / F.col("_n") for k in range(DIMS)]).alias("_mean"))
+    means = means.select(F.col(lang), F.array(*[F.try_divide(f"_m{k}", "_n") for k in range(DIMS)]).alias("_mean"))
     rest = F.transform(F.col("counts.c"), lambda c, k: c / F.col("counts.n") - F.get("_mean", k))
     out = df.join(means, lang).withColumn("_rest", F.when(F.col("counts.n") > 0, rest))
     length = F.sqrt(F.aggregate("_rest", F.lit(0.0), lambda a, x: a + x * x))
@@ -91,4 +92,4 @@ def with_topics(df: DataFrame, name: str, lang: str, n_topics: int = 8, rounds:
         if np.array_equal(new, centres):
             break
         centres = new
-    return df.withColumn(name, F.coalesce(F.format_string("t%d", nearest(centres)), F.lit(""))).drop("counts", "v")
+    return df.withColumn(name, F.coalesce(F.concat(F.lit("t"), nearest(centres).cast("string")), F.lit(""))).drop("counts", "v")

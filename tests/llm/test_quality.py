@@ -33,17 +33,33 @@ TEXTS = [
 
 def test_counts_against_brute_force(spark):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "a b c"), (3, "one")]
-    got = quality.quality(docs(spark, rows), ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    got = quality.quality(docs(spark, rows), ["doc_id"]).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert order(got) == order((i, *base(t)) for i, t in rows)
 
 
+def test_counts_where_shortened_hashes_clash(spark):
+    """With hardly any bits of the hash left, all texts go the way of whole hashes."""
+    rows = list(enumerate(TEXTS))
+    for bits in (60, 5):
+        got = quality.features(docs(spark, rows), ["doc_id"], place_bits=bits).select("doc.doc_id", "n_words", "n_repeat_words").collect()
+        assert order(got) == order((i, base(t)[0], base(t)[4]) for i, t in rows)
+
+
+def test_counts_of_a_very_long_text(spark):
+    """2^21 words; three of four windows stand twice."""
+    n = 1 << 19
+    text = " ".join([f"a{k}" for k in range(n)] + [f"b{k}" for k in range(3 * n // 4)] * 2)
+    got = quality.features(docs(spark, [(1, text)]), ["doc_id"]).select("n_words", "n_repeat_words").first()
+    assert tuple(got) == (n + 3 * n // 2, 3 * n // 2)
+
+
 def test_rejects_junk_and_keeps_prose(spark):
     import random
 
     r = random.Random(2)
     prose = [(k, ". ".join(" ".join(r.choice(WORDS) + r.choice(["", "ly", "er", "ing"]) * (r.random() < 0.4) for _ in range(12)) for _ in range(9))) for k in range(200)]
     junk = [(1000 + k, " ".join(r.choice(["QQ", "ZZX", "KLM", "RTX"]) + str(r.randint(0, 9999)) + r.choice("#%&|$") for _ in range(90))) for k in range(30)]
-    got = {x.doc_id: x.kept for x in quality.quality(docs(spark, prose + junk), ["doc_id"]).collect()}
+    got = {x.doc.doc_id: x.kept for x in quality.quality(docs(spark, prose + junk), ["doc_id"]).collect()}
     assert sum(got[k] for k, _ in prose) >= 198 and not any(got[k] for k, _ in junk)
 
 

@@ -49,7 +49,7 @@ def test_documents(spark):
             w[r.randrange(len(w))] = "new"
         rows.append((k * 3, " ".join(w)))
     rows += [(900, None), (901, ""), (902, "one"), (903, "one"), (904, rows[0][1]), (905, rows[0][1].upper())]
-    got = {x.doc_id: (x.fp & (2**64 - 1), x.component_id) for x in simhash.simhash(docs(spark, rows), ["doc_id"]).collect()}
+    got = {x.doc.doc_id: (x.fp & (2**64 - 1), x.component_id) for x in simhash.simhash(docs(spark, rows), ["doc_id"]).collect()}
     want = brute_components([(i, brute_fingerprint(t)) for i, t in rows])
     assert {i: f for i, (f, _) in got.items()} == {i: brute_fingerprint(t) for i, t in rows}
     assert {i: c for i, (_, c) in got.items()} == want
