@@ -3,13 +3,19 @@
 A page is cut into blocks at block-level tags. The first pass classifies each block by itself from
 stop-word density, length and link density: good, bad, or undecided when it is short or its density
 lies between. In the second pass undecided blocks take the label of the nearest decided neighbours.
-What stands in menus, headers, footers, sidebars, notices, adverts, forms, comments and the like,
-told by element, role or name, is bad whatever its words; scripts, styles and the head aren't text.
-In an article element, words alone never make a block bad: only a block of links or such a container does.
+On a page in a language without listed stop words, length, links and sentence marks decide instead;
+writing without spaces counts two characters as a word.
+
+Menus, headers, footers, asides and the like are bad whatever their words, by their element; scripts,
+styles and the head aren't text. A form, or an element whose class, id or role names such a part,
+only hints at it: names that tell of a layout ("with-sidebar", "comments-open") or stand beside names
+of content don't count, and where next to no text is left outside such an element, the block rules
+decide inside it, unless it holds comments, notices or recommendations. In an article element, words
+alone never make a block bad: only a block of links or such a part does.
 
 Defined cases: a null or empty page, or one without main text, has the empty text; markup that is cut
-off or badly nested is read as far as it goes; repeated rows are extracted alike; an empty table gives
-an empty result; other columns are ignored.
+off or badly nested is read as far as it goes; very long pages are read whole; repeated rows are
+extracted alike; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ BLOCK = frozenset(
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's (fixed values).
-BAD_TAGS = frozenset("head nav header footer aside form noscript template svg math button select option dialog menu search object canvas audio video datalist label fieldset script style".split())
+BAD_TAGS = frozenset("head nav header footer aside noscript template svg math button select option dialog menu search object canvas audio video datalist label fieldset script style".split())
 #: Words in an element's class, id or role that tell what it holds (fixed values).
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies "
@@ -49,6 +55,16 @@ BAD_NAMES = frozenset(
 )
 
 
+#: Of these, names of parts that are never the main text, however long they are (fixed values).
+NEVER_MAIN = frozenset("ad ads advert adverts advertisement comment comments commentlist cookie cookies consent gdpr discussion disqus notice notices recommended recommendations related replies reply respond".split())
+#: Words in a name that tell of content (fixed values).
+GOOD_NAMES = frozenset("article body content entry main page post story text wrapper container layout site".split())
+#: Words that turn a name into one of a layout or a state (fixed values).
+STATES = frozenset("with without has no not is open opened closed enabled disabled on off allow allowed show hide left right layout type status category tag".split())
+_IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff]")
+_SENTENCE = re.compile("[.!?。．！？؟।…]")
+
+
 @dataclass
 class Block:
     text: str
@@ -59,23 +75,39 @@ class Block:
     article: int  # number of the article element, 0 outside
     heading: bool
     item: bool  # of a list or table
+    hints: tuple[int, ...] = ()  # elements around it whose names hint at a part that isn't main text
     label: str = ""
 
 
-def _named_bad(attrs: str) -> bool:
+def _named(attrs: str) -> tuple[bool, str]:
+    """Whether an element is hidden, and what its class, id and role hint at: "", "part" or "never"."""
+    hint, good, weak, exact = "", False, set(), set()
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if key in ("class", "id", "role") and any(w.lower() in BAD_NAMES for w in _NAME.findall(value)):
-            return True
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, ""
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                words = [w.lower() for w in _NAME.findall(name)]
+                bad = {w for w in words if w in BAD_NAMES}
+                if not bad:
+                    good = good or not GOOD_NAMES.isdisjoint(words)
+                elif len(words) == 1:
+                    exact |= bad
+                elif STATES.isdisjoint(words):
+                    weak |= bad
+    found = exact | (set() if good else weak)
+    if found:
+        hint = "part" if NEVER_MAIN.isdisjoint(found) else "never"
+    return False, hint
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[str]]:
+    """The blocks of a page, and the kind of each hint."""
     out: list[Block] = []
+    hints: list[str] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # containers: name, bad, article number
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # containers: name, bad, article number, hints
     articles = links = 0
     heading = item = False
     breaks = 0
@@ -86,8 +118,9 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = text.lower().split()
             linked = sum(len(" ".join(html.unescape(p).split())) for p, in_link in parts if in_link)
-            _, bad, article = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, len(words), sum(w.strip(".,;:!?()\"'") in _STOP for w in words), linked, bad, article, heading, item))
+            _, bad, article, around = stack[-1] if stack else NONE
+            n = max(len(words), len(_IDEOGRAPHS.findall(text)) // 2)
+            out.append(Block(text, n, sum(w.strip(".,;:!?()\"'") in _STOP for w in words), linked, bad, article, heading, item, around))
         parts.clear()
         heading = item = False
         breaks = 0
@@ -142,38 +175,70 @@ def blocks(page: str) -> list[Block]:
         item = name in ("li", "td", "th", "dt", "dd") or item and name == "p"
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        _, bad, article = stack[-1] if stack else ("", False, 0)
+        _, bad, article, around = stack[-1] if stack else NONE
+        hidden, hint = _named(attrs)
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):  # may lack an end tag: no containers
-            if _named_bad(attrs) and not bad:
-                stack.append((name, True, article))
-            elif stack and stack[-1][0] == name:  # a new one ends the one before
+            if stack and stack[-1][0] == name:  # a new one ends the one before
                 stack.pop()
-                if _named_bad(attrs):
-                    stack.append((name, True, stack[-1][2] if stack else 0))
+                _, bad, article, around = stack[-1] if stack else NONE
+            if (hidden or hint) and not bad:
+                if hint:
+                    hints.append(hint)
+                    around = (*around, len(hints) - 1)
+                stack.append((name, hidden, article, around))
             continue
         if name in BLOCK or name in BAD_TAGS:
             if name in ("article", "main") and not bad and not article:
                 articles += 1
                 article = articles
-            named = name not in ("html", "body", "main") and _named_bad(attrs)
-            stack.append((name, bad or name in BAD_TAGS or named, article))
+            if name == "form":
+                hint = hint or "part"
+            if name in ("html", "body", "main"):
+                hidden, hint = False, ""
+            if hint:
+                hints.append(hint)
+                around = (*around, len(hints) - 1)
+            stack.append((name, bad or name in BAD_TAGS or hidden, article, around))
     flush()
-    return out
+    return out, hints
+
+
+NONE = ("", False, 0, ())
+
+
+def settle(found: list[Block], hints: list[str], left: float = 0.25) -> None:
+    """Blocks in an element that hints at another part become bad, unless nearly all plain text stands in it."""
+    plain = [0 if b.bad else len(b.text) - min(b.linked, len(b.text)) for b in found]
+    open_ = set(range(len(hints)))
+    for k, kind in enumerate(hints):  # outer elements come first
+        if kind == "never":
+            continue
+        inside = sum(n for b, n in zip(found, plain, strict=True) if k in b.hints and not any(hints[h] == "never" for h in b.hints))
+        outside = sum(n for b, n in zip(found, plain, strict=True) if k not in b.hints and not any(h in open_ for h in b.hints))
+        if inside and outside < left * inside:
+            open_.discard(k)
+    for b in found:
+        b.bad = b.bad or any(h in open_ for h in b.hints)
 
 
 def classify(found: list[Block], short: int = 10, dense: float = 0.2, sparse: float = 0.08, link_density: float = 0.33) -> None:
     """Set every block's label to good or bad."""
     only_articles = any(b.article and not b.bad for b in found)
+    running = [b for b in found if not b.bad and b.words >= short and b.linked <= link_density * len(b.text)]
+    # no listed stop words in the running text: another language
+    foreign = sum(b.stop for b in running) < 0.5 * sparse * sum(b.words for b in running)
     for b in found:
         density, links = b.stop / max(b.words, 1), b.linked / max(len(b.text), 1)
         if b.bad or only_articles and not b.article:
             b.label = "bad"
         elif b.article:
-            b.label = "bad" if links > 0.5 and (b.item or b.words < short) else "good" if b.words >= short and density >= sparse else ""
+            b.label = "bad" if links > 0.5 and (b.item or b.words < short) else "good" if b.words >= short and (density >= sparse or foreign) else ""
         elif links > link_density:
             b.label = "bad"
         elif b.words < short:
             b.label = ""
+        elif foreign:
+            b.label = "good" if _SENTENCE.search(b.text) else ""
         else:
             b.label = "good" if density >= dense else "" if density >= sparse else "bad"
     decided = [(i, b.label, b.article) for i, b in enumerate(found) if b.label and not b.bad]
@@ -200,7 +265,8 @@ def classify(found: list[Block], short: int = 10, dense: float = 0.2, sparse: fl
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found, hints = blocks(page or "")
+    settle(found, hints)
     classify(found)
     return "\n".join(b.text for b in found if b.label == "good")
 

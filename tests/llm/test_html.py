@@ -25,6 +25,16 @@ P = "This is a paragraph of the article and it has many words that are in the li
         (f"<article><p>{P}</p><!-- <p>{P}</p> --><p hidden>{P}</p><p>2 < 3 and 5 > 4</p></article>", f"{P}\n2 < 3 and 5 > 4"),
         (f"<article><p title=\"a > b\">{P}</p><p>cut off <b", f"{P}\ncut off"),
         (f"<div id='cookie-notice'>{P}</div><article><div class='share-buttons'>Share it</div><blockquote>{P}</blockquote></article>", P),
+        (f"<div class='content with-sidebar'><article><p>{P}</p></article></div>", P),
+        (f"<div class='layout-no-sidebar'><article><p>{P}</p></article></div>", P),
+        (f"<article class='post comments-open share-enabled'><p>{P}</p></article>", P),
+        (f"<form id='aspnetForm'><div class='menu'><a href=x>Home</a></div><div><p>{P}</p><p>{P}</p></div></form>", f"{P}\n{P}"),
+        (f"<div class='header-wrapper widget-area'><article><p>{P}</p></article></div>", P),
+        (f"<div><p>{P}</p></div><form class='search'><p>Type what you are looking for in the box and press the button for it</p></form>", P),
+        (f"<article><p>{P}</p></article><div class='comments'><article><p>{P} {P} {P} {P}</p></article></div>", P),
+        (f"<div id='comments' class='comments-area'><p>{P}</p></div>", ""),
+        ("<body><ul><li><a href=a>ホーム</a></li></ul><div><p>今日は天気がとても良いので、家族と一緒に公園を散歩しました。桜の花が咲いていて、とても綺麗でした。</p></div><footer>著作権</footer></body>", "今日は天気がとても良いので、家族と一緒に公園を散歩しました。桜の花が咲いていて、とても綺麗でした。"),
+        ("<body><div><p>Dnes je velmi hezky, proto jsme se rodinou prochazeli parkem kolem reky a mostu.</p></div><div><a href=x>Domu</a> <a href=y>Kontakt</a></div></body>", "Dnes je velmi hezky, proto jsme se rodinou prochazeli parkem kolem reky a mostu."),
     ],
 )
 def test_pages(page, want):
