@@ -225,8 +225,8 @@ def classify(found: list[Block], short: int = 10, dense: float = 0.2, sparse: fl
     """Set every block's label to good or bad."""
     only_articles = any(b.article and not b.bad for b in found)
     running = [b for b in found if not b.bad and b.words >= short and b.linked <= link_density * len(b.text)]
-    # no listed stop words in the running text: another language
-    foreign = sum(b.stop for b in running) < 0.5 * sparse * sum(b.words for b in running)
+    # hardly a listed stop word in the running text: another language
+    foreign = sum(b.stop for b in running) < 0.5 * dense * sum(b.words for b in running)
     for b in found:
         density, links = b.stop / max(b.words, 1), b.linked / max(len(b.text), 1)
         if b.bad or only_articles and not b.article:
