@@ -175,8 +175,13 @@ def test_geoparquet(spark, path, tmp_path):
     out = geoparquet.write(osm.get_buildings(), str(tmp_path / "b"))
     r = spark.read.parquet(out).collect()
     assert r[0].geometry[:5] == b"\x01\x03\x00\x00\x00" and len(r[0].geometry) == 9 + 4 + 5 * 16
-    meta = json.loads(spark.read.text(f"{out}/_geo_metadata").first()[0])
-    assert meta["columns"]["geometry"]["geometry_types"] == ["Polygon"]
+    import pyarrow.parquet as pq
+
+    parts = [str(p) for p in (tmp_path / "b").iterdir() if p.suffix == ".parquet"]
+    assert parts and not [p for p in (tmp_path / "b").iterdir() if p.suffix == ".tmp"]
+    for p in parts:
+        about = json.loads(pq.read_metadata(p).metadata[b"geo"])["columns"]["geometry"]
+        assert about["geometry_types"] == ["Polygon"] and about["encoding"] == "WKB" and len(about["bbox"]) == 4
 
 
 def test_cache(spark, path, tmp_path):
