@@ -153,7 +153,7 @@ class OSM:
             raise ValueError("a graph needs a network read with nodes=True")
         edges, points = network.directed_edges(net, direction, force_bidirectional), net.nodes
         if simplify:
-            numbered = edges.withColumn("row_id", F.col("id") * 65536 + F.col("seq") * 2 + F.col("reversed").cast("long"))
+            numbered = edges.withColumn("row_id", F.col("id") * (1 << 24) + F.col("seq") * 2 + F.col("reversed").cast("long"))
             edges, points = simplification.simplify(numbered, points, **(simplify_kwargs or {}))
         if not retain_all:
             points, edges = network.largest_strong_part(edges, points)

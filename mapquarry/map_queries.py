@@ -20,7 +20,7 @@ from .model import NODE, RELATION, WAY, MapData, member_rows, ref_rows
 from .operators import edit, features, network, selection, simplify, tag_filter, tags
 from .plans import adapter, storage
 from .queries import _CROP, _DIRECTED, BOX, query
-from .sources import pbf, writer
+from .sources import geoparquet, graphs, pbf, writer
 
 _META = [F.lit(1).alias("version"), F.lit(1).cast("long").alias("changeset"), F.lit(1_600_000_000).cast("long").alias("timestamp"), F.lit(True).alias("visible")]
 
@@ -348,6 +348,40 @@ def graph_nodes(spark, d):
     return nodes.select("id", "lon", "lat", F.col("tags")["shop"].alias("shop"))
 
 
+@query(
+    _DIRECTED % "highway IN ('motorway', 'primary', 'residential')"
+    + """, phys AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b, id, seq FROM arc), cnt AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM phys UNION ALL SELECT b FROM phys) GROUP BY id)
+SELECT u, v, row_number() OVER (PARTITION BY u, v ORDER BY arc.id, seq) - 1 AS key, arc.id AS osmid, mm / 1000 AS length, cnt.n AS street_count, CAST(round(node.lon * 1000) AS BIGINT) AS x FROM arc JOIN cnt ON cnt.id = u JOIN node ON node.id = u"""
+)
+def graph_tables(spark, d):
+    """Edges with keys of parallel ones, beside the place and street count of the node they start at."""
+    osm = _osm(spark, d)
+    nodes, edges = graphs.renamed(*osm.to_graph(osm.get_network("driving", nodes=True), retain_all=True))
+    at = nodes.select(F.col("osmid").alias("u"), "street_count", F.round(F.col("x") * 1000).cast("long").alias("x"))
+    assert {"key", "geometry", "length"} <= set(edges.columns) and edges.where("geometry not like 'LINESTRING (%'").isEmpty()
+    return edges.join(at, "u").select("u", "v", F.col("key").cast("long").alias("key"), "osmid", "length", "street_count", "x")
+
+
+@query(_STREETS + "SELECT k * 100 + a AS u, k * 100 + b AS v, a::DOUBLE AS x0, b::DOUBLE AS x1 FROM part UNION ALL SELECT k * 100 + b, k * 100 + a, b, a FROM part")
+def simplified_lines_turned(spark, d):
+    """Rows without a mark of their direction are turned by the places of their nodes."""
+    e = streets(spark, d)
+    at = F.when(F.col("u") % 100 == 50, 50).otherwise(F.col("u") % 100)
+    nodes = e.select(F.col("u").alias("id"), at.cast("double").alias("lon"), F.floor(F.col("u") / 100).cast("double").alias("lat")).distinct()
+    simple, _ = simplify.simplify(e.drop("reversed"), nodes, lengths=("length_mm",))
+    ring = F.get("geometry.rings", F.lit(0))
+    return simple.select("u", "v", F.element_at(ring, 1)["x"].alias("x0"), F.element_at(ring, -1)["x"].alias("x1"))
+
+
+@query("SELECT id, 'Polygon' AS kind, n::BIGINT AS n_bytes FROM (SELECT way_id AS id, 13 + 16 * count(*) AS n FROM ref JOIN way ON way.id = way_id WHERE building IS NOT NULL GROUP BY way_id HAVING count(*) > 3)")
+def file_geoparquet(spark, d):
+    """A layer written as GeoParquet and read again: kinds by the code in the well-known binary, sizes by the number of points."""
+    f = OSM(adapter.data(spark, d), spark=spark).get_buildings().select("id", "geometry")
+    out = geoparquet.write(f, f"{storage.checkpoint_dir(spark)}/{uuid4().hex}")
+    r = spark.read.parquet(out)
+    return r.select("id", F.when(F.hex(F.substring("geometry", 1, 5)) == "0103000000", "Polygon").alias("kind"), F.octet_length("geometry").cast("long").alias("n_bytes"))
+
+
 # -- polygon boxes -------------------------------------------------------------------------------
 
 #: A triangle (counter-clockwise) with a notch: inside the first, outside the second.

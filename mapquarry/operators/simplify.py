@@ -87,8 +87,9 @@ def simplify(edges: DataFrame, nodes: DataFrame | None = None, differ: tuple[str
     """Directed edges with a stable row_id, u, v to one edge for each chain, and the nodes it ends at.
 
     Lengths are summed; of other columns the first value stays, and where values differ along the
-    chain <column>_merged lists them in order (null else). Geometries are joined in walk order, a
-    reversed row's points being turned first.
+    chain <column>_merged lists them in order (null else). Geometries are joined in walk order; the
+    points of a row marked reversed are turned first, and without such a column those of a row whose
+    line ends at its node u.
     """
     ends = endpoints(edges, differ, include)
     place = chains(edges.withColumnRenamed(row_id, "row_id") if row_id != "row_id" else edges, ends, remove_rings)
@@ -99,6 +100,12 @@ def simplify(edges: DataFrame, nodes: DataFrame | None = None, differ: tuple[str
     if "geometry" in edges.columns:
         points = F.flatten("geometry.rings")
         turned = F.when(F.col("reversed"), F.reverse(points)).otherwise(points) if "reversed" in edges.columns else points
+        if "reversed" not in edges.columns and nodes is not None:
+            # a line that ends where its row begins is turned
+            at = nodes.select(F.col("id").alias("u"), "lon", "lat")
+            rows = rows.join(at, "u", "left")
+            begins = lambda p: (p["x"] == F.col("lon")) & (p["y"] == F.col("lat"))
+            turned = F.when(begins(F.element_at(points, -1)) & ~begins(F.element_at(points, 1)), F.reverse(points)).otherwise(points)
         rows = rows.withColumn("points", turned)
     merged = rows.groupBy("chain").agg(ordered.alias("s"), *[F.sum(f"`{c}`").alias(c) for c in lengths])
     first, last = F.element_at("s", 1), F.element_at("s", -1)
