@@ -27,10 +27,19 @@ def valid(lon: Column, lat: Column) -> Column:
     return (F.abs(lon) <= 180) & (F.abs(lat) <= 90)
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with the expression value standing in the plan once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def geometry(kind: Column, rings: Column, part_of: Column | None = None) -> Column:
     """Null where there are no rings."""
-    made = F.struct(kind.alias("type"), rings.alias("rings"), (part_of if part_of is not None else F.transform(rings, lambda _, i: i)).alias("part_of"))
-    return F.when(rings.isNotNull() & (F.size(rings) > 0), made).cast(GEOMETRY)
+
+    def made(r: Column) -> Column:
+        parts = part_of if part_of is not None else F.transform(r, lambda _, i: i)
+        return F.when(r.isNotNull() & (F.size(r) > 0), F.struct(kind.alias("type"), r.alias("rings"), parts.alias("part_of")))
+
+    return once(rings, made).cast(GEOMETRY)
 
 
 def point(lon: Column, lat: Column) -> Column:
@@ -45,8 +54,7 @@ def pieces(points: Column) -> Column:
 
 def way_line(points: Column) -> Column:
     """A line of one piece, or else a multi-line of two-point parts."""
-    parts = pieces(points)
-    return geometry(F.when(F.size(parts) == 1, "LineString").otherwise("MultiLineString"), parts)
+    return once(pieces(points), lambda parts: geometry(F.when(F.size(parts) == 1, "LineString").otherwise("MultiLineString"), parts))
 
 
 def signed_area2(ring: Column) -> Column:
@@ -59,7 +67,7 @@ def signed_area2(ring: Column) -> Column:
 
 def oriented(ring: Column) -> Column:
     """The ring counter-clockwise."""
-    return F.when(signed_area2(ring) < 0, F.reverse(ring)).otherwise(ring)
+    return once(ring, lambda r: F.when(signed_area2(r) < 0, F.reverse(r)).otherwise(r))
 
 
 def closed(points: Column) -> Column:
@@ -70,8 +78,8 @@ def closed(points: Column) -> Column:
 
 def way_polygon(points: Column) -> Column:
     """From at least three points that make a ring of four or more."""
-    ring = closed(points)
-    return F.when((F.size(points) > 2) & (F.size(ring) >= 4), geometry(F.lit("Polygon"), F.array(oriented(ring))))
+    made = once(closed(points), lambda ring: F.when(F.size(ring) >= 4, F.array(oriented(ring))))
+    return F.when(F.size(points) > 2, geometry(F.lit("Polygon"), made))
 
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str = "m") -> Column:

@@ -85,7 +85,8 @@ def way_features(ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
     points = F.col("plain")
     closed = F.element_at("refs", 1) == F.element_at("refs", -1)
     geom = F.when(closed & way_is_area(F.col("tags"), layer.columns), G.way_polygon(points)).otherwise(G.way_line(points))
-    return placed.select("id", F.lit("way").alias("osm_type"), "tags", geom.alias("geometry"), "visible", *_metadata(layer, "version", "timestamp"))
+    # explode keeps the expression in one place: filters on the geometry don't copy it
+    return placed.select("id", F.lit("way").alias("osm_type"), "tags", F.explode(F.array(geom)).alias("geometry"), "visible", *_metadata(layer, "version", "timestamp"))
 
 
 def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
