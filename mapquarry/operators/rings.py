@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -86,43 +87,123 @@ def _contains(outer: Line, inner: Line) -> bool:
     return False
 
 
-def crossing(rings: list[Line]) -> bool:
-    """Whether pieces of different rings cross properly; boxes sorted by west keep the pairs few."""
-    pieces = sorted((min(a[0], b[0]), max(a[0], b[0]), a, b, k) for k, r in enumerate(rings) for a, b in zip(r, r[1:], strict=False))
+def _pieces(rings: list[Line]) -> list[tuple[Pt, Pt]]:
+    """Pieces that stand an odd number of times, whatever their direction."""
+    odd: set[tuple[Pt, Pt]] = set()
+    for r in rings:
+        for a, b in zip(r, r[1:], strict=False):
+            if a != b:
+                odd ^= {(min(a, b), max(a, b))}
+    return sorted(odd)
+
+
+def _meetings(pieces: list[tuple[Pt, Pt]]) -> dict[int, list[Pt]]:
+    """For each piece the places where others cross it, end on it or lie on it; pieces sorted by west keep the pairs few."""
     side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-    live: list = []
-    for piece in pieces:
-        live = [q for q in live if q[1] >= piece[0]]
-        for q in live:
-            if q[4] != piece[4]:
-                a, b, c, d = piece[2], piece[3], q[2], q[3]
-                if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                    return True
-        live.append(piece)
-    return False
+    found: dict[int, list[Pt]] = defaultdict(list)
+    live: list[int] = []
+    for i, (a, b) in enumerate(pieces):  # a is the western end
+        live = [j for j in live if pieces[j][1][0] >= a[0]]
+        for j in live:
+            c, d = pieces[j]
+            if max(a[1], b[1]) < min(c[1], d[1]) or min(a[1], b[1]) > max(c[1], d[1]):
+                continue
+            s1, s2, t1, t2 = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+            if s1 * s2 < 0 and t1 * t2 < 0:
+                f = t1 / (t1 - t2)
+                at = (round(a[0] + f * (b[0] - a[0]), 9), round(a[1] + f * (b[1] - a[1]), 9))
+                found[i].append(at)
+                found[j].append(at)
+                continue
+            inner = lambda p, q, r: p not in (q, r) and min(q, r) < p < max(q, r)
+            for k, zero, end, (p, q) in ((i, s1, c, (a, b)), (i, s2, d, (a, b)), (j, t1, a, (c, d)), (j, t2, b, (c, d))):
+                if zero == 0 and inner(end, p, q):
+                    found[k].append(end)
+        live.append(i)
+    return found
+
+
+def crossing(rings: list[Line]) -> bool:
+    """Whether pieces of the rings cross properly, of one ring or of two."""
+    pieces = _pieces(rings)
+    ends = [set(p) for p in pieces]
+    return any(at not in ends[k] for k, places in _meetings(pieces).items() for at in places)
+
+
+def faces(rings: list[Line]) -> list[list[Line]]:
+    """Polygons of the even-odd area of rings that cross: pieces are cut where they meet, and the borders of the inside are walked anew."""
+    pieces = _pieces(rings)
+    for _ in range(8):  # cutting rounds places, which can make new meetings
+        found = _meetings(pieces)
+        if not found:
+            break
+        cut: list[Line] = []
+        for k, (a, b) in enumerate(pieces):
+            cut.append([a, *sorted(set(found.get(k, ())) - {a, b}), b])
+        pieces = _pieces(cut)
+    # every piece left parts inside from outside; directed so that the inside is on its left
+    onward: dict[Pt, list[Pt]] = defaultdict(list)
+    for a, b in pieces:
+        x, y = (a[0] + b[0]) / 2, (a[1] + b[1]) / 2
+        if a[0] == b[0]:  # upright: count what lies west
+            left_inside = sum((p[1] > y) != (q[1] > y) and (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] < x for p, q in pieces if (p, q) != (a, b)) % 2 == 1
+            a, b = (a, b) if a[1] < b[1] else (b, a)
+        else:  # a is west of b, its left is north: count what lies north
+            left_inside = sum((p[0] > x) != (q[0] > x) and (q[1] - p[1]) * (x - p[0]) / (q[0] - p[0]) + p[1] > y for p, q in pieces if (p, q) != (a, b)) % 2 == 1
+        a, b = (a, b) if left_inside else (b, a)
+        onward[a].append(b)
+    walked: list[Line] = []
+    while onward:
+        here = start = next(iter(onward))
+        ring, before = [start], None
+        while True:
+            choices = onward[here]
+            if before is None or len(choices) == 1:
+                to = choices[0]
+            else:  # the first piece clockwise from where the walk came from keeps to one face
+                back = math.atan2(before[1] - here[1], before[0] - here[0])
+                to = min(choices, key=lambda p: (back - math.atan2(p[1] - here[1], p[0] - here[0])) % (2 * math.pi) or 2 * math.pi)
+            choices.remove(to)
+            if not choices:
+                del onward[here]
+            ring.append(to)
+            before, here = here, to
+            if here == start or here not in onward:
+                break
+        if ring[0] == ring[-1] and len(ring) >= 4 and area2(ring):
+            walked.append(ring)
+    shells = [[r] for r in walked if area2(r) > 0]
+    for hole in (r for r in walked if area2(r) < 0):
+        around = [s for s in shells if _contains(s[0], hole)]
+        if around:
+            min(around, key=lambda s: area2(s[0])).append(hole)
+    return shells
 
 
 def areas(lines: list[Line]) -> tuple[list[list[Line]], bool]:
     """Polygons (shell counter-clockwise first, holes clockwise) of the even-odd area of all closed rings; whether no rings cross.
 
-    Open rests are dropped. Equal rings cancel in pairs. Shells stand at even depth of containment.
+    Open rests are dropped. Equal rings cancel in pairs. Shells stand at even depth of containment. Rings
+    that cross are repaired: cut where they meet and walked anew.
     """
-    rings = [r for r in merge_lines(lines) if len(r) >= 4 and r[0] == r[-1] and area2(r)]
+    rings = [r for r in merge_lines(lines) if len(r) >= 4 and r[0] == r[-1]]
     seen: dict[tuple, Line] = {}
     for r in rings:
         key = _canonical(r)
         if seen.pop(key, None) is None:
             seen[key] = r
-    rings = sorted(seen.values(), key=lambda r: -abs(area2(r)))
+    if crossing(list(seen.values())):
+        return faces(list(seen.values())), False
+    rings = sorted((r for r in seen.values() if area2(r)), key=lambda r: -abs(area2(r)))
     above = [[j for j in range(i) if _contains(rings[j], r)] for i, r in enumerate(rings)]
     shells: dict[int, list[Line]] = {}
     for i, r in enumerate(rings):
-        if len(above[i]) % 2 == 0 or not any(j in shells for j in above[i]):  # the latter only where rings cross
+        if len(above[i]) % 2 == 0:
             shells[i] = [r if area2(r) > 0 else r[::-1]]
         else:
             parent = max((j for j in above[i] if j in shells), key=lambda j: len(above[j]))
             shells[parent].append(r if area2(r) < 0 else r[::-1])
-    return list(shells.values()), not crossing(rings)
+    return list(shells.values()), True
 
 
 def relation_geometry(lines: list[Line], linear: bool) -> tuple[dict | None, bool]:

@@ -60,3 +60,25 @@ def test_way_shapes_and_box(spark):
     assert df.where("id = 1").where(selection.intersects_box(G.way_line(F.col("p")), crossed)).count() == 1
     text = df.where("id = 2").select(G.wkt(G.way_line(F.col("p")))).first()[0]
     assert text == "LINESTRING (0.0 0.0, 1.0 1.0)"
+
+
+def test_crossing_rings_are_repaired():
+    """Sampled places are inside the result exactly where an odd number of rings surrounds them."""
+    import random
+
+    def odd(lines, x, y):
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for r in lines for (x1, y1), (x2, y2) in zip(r, r[1:])) % 2 == 1
+
+    bow, good = rings.areas([[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]])
+    assert not good and sorted(rings.area2(p[0]) for p in bow) == [2, 2]
+    r = random.Random(4)
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randint(1, 3)):
+            pts = [(r.random(), r.random()) for _ in range(r.randint(3, 7))]
+            lines.append(pts + pts[:1])
+        parts, _ = rings.areas(lines)
+        assert all(rings.area2(p[0]) > 0 and all(rings.area2(h) < 0 for h in p[1:]) for p in parts)
+        for _ in range(40):
+            x, y = r.random(), r.random()
+            assert sum(odd(p, x, y) for p in parts) == odd(lines, x, y)
