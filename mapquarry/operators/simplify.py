@@ -9,7 +9,9 @@ long roads without a crossing are larger.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,15 +70,28 @@ def chains(edges: DataFrame, ends: DataFrame, remove_rings: bool = True) -> Data
     anchor = F.when(~F.col("end_u"), F.col("u")).otherwise(F.col("v"))
     grouped = inner.withColumn("node", anchor).join(linked, "node", "left").withColumn("part", F.coalesce("root", "node"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        is_end = dict(zip(pdf["u"], pdf["end_u"], strict=True)) | dict(zip(pdf["v"], pdf["end_v"], strict=True))
-        found = walk(list(zip(pdf["row_id"], pdf["u"], pdf["v"], strict=True)), is_end, remove_rings)
-        rows = [(r, c[0], k) for c in found for k, r in enumerate(c)]
-        return pd.DataFrame(rows, columns=["row_id", "chain", "step"]).astype("int64")
-
-    walked = grouped.select("part", "row_id", "u", "v", "end_u", "end_v").groupBy("part").applyInPandas(solve, "row_id long, chain long, step int")
-    return direct.union(walked)
+    def solve(rows: list[tuple]) -> Iterator[tuple]:
+        """rows: row_id, u, v, end_u, end_v of one part, in order."""
+        is_end = {r[1]: r[3] for r in rows} | {r[2]: r[4] for r in rows}
+        for chain in walk([r[:3] for r in rows], is_end, remove_rings):
+            yield from ((row, chain[0], k) for k, row in enumerate(chain))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by part; the last part of a batch may go on in the next."""
+        part, held = None, []
+        for b in batches:
+            out: list[tuple] = []
+            columns = (b[c].tolist() for c in ("row_id", "u", "v", "end_u", "end_v"))
+            for key, group in itertools.groupby(zip(b["part"].tolist(), zip(*columns, strict=True), strict=True), key=lambda x: x[0]):
+                if key != part:
+                    out += solve(held)
+                    part, held = key, []
+                held += [x[1] for x in group]
+            yield pd.DataFrame(out, columns=["row_id", "chain", "step"]).astype("int64")
+        yield pd.DataFrame(list(solve(held)), columns=["row_id", "chain", "step"]).astype("int64")
+
+    sorted_parts = grouped.select("part", "row_id", "u", "v", "end_u", "end_v").repartition("part").sortWithinPartitions("part", "row_id")
+    return direct.union(sorted_parts.mapInPandas(run, "row_id long, chain long, step int"))
 
 
 def _field(name: str):
