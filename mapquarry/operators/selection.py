@@ -112,13 +112,16 @@ def orphan_refs(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def crop(data: MapData, box: Box, keep_relations: bool = True) -> MapData:
     """Nodes in the box, whole ways touching it with all their nodes, and relations with a kept node or way (members may dangle)."""
-    inside = data.nodes.where(in_box(box))
-    ways = ways_touching(data.ways, inside)
-    ids = inside.select("id").union(ref_rows(ways).select(F.col("node_id").alias("id"))).distinct()
+    inside = checkpoint(data.nodes.where(in_box(box)).select("id"))
+    # the ids are worked out once, all three relations are selected by them
+    way_ids = checkpoint(ways_touching(data.ways, inside).select("id"))
+    ways = data.ways.join(way_ids, "id", "left_semi")
+    ids = checkpoint(inside.union(ref_rows(ways).select(F.col("node_id").alias("id"))).distinct())
     nodes = data.nodes.join(ids, "id", "left_semi")
     relations = data.relations.where(F.lit(False))
     if keep_relations:
-        kept = nodes.select(F.col("id").alias("member_id"), F.lit("node").alias("member_type")).union(ways.select("id", F.lit("way")))
+        # a reference without a node is no member that is kept
+        kept = nodes.select(F.col("id").alias("member_id"), F.lit("node").alias("member_type")).union(way_ids.select("id", F.lit("way")))
         hit = member_rows(data.relations).join(kept, ["member_id", "member_type"], "left_semi").select(F.col("relation_id").alias("id")).distinct()
         relations = data.relations.join(hit, "id", "left_semi")
     return data.at(nodes=nodes, ways=ways, relations=relations)
