@@ -80,6 +80,20 @@ def relation_area_rings(spark, d):
     return _shape(features.features(squares(spark, d), layer), "name")
 
 
+@query("SELECT n_nationkey AS id, 'MultiPolygon' AS kind, 2::BIGINT AS n_rings, (200 - 2 * (10 - n_nationkey % 10) ** 2)::BIGINT AS cells FROM nation WHERE n_nationkey % 10 > 0")
+def relation_area_crossing(spark, d):
+    """Two squares of 10 cells, the second moved by k % 10 both ways: where they overlap is outside, and equal squares cancel."""
+    k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(i // 4).alias("moved")) for i, (x, y) in enumerate([(0, 0), (10, 0), (10, 10), (0, 10)] * 2)])).alias("c")
+    move = F.col("c.moved") * (F.col("k") % 10)
+    nodes = k.select("k", corner).select((F.col("k") * 10 + F.col("c.i")).alias("id"), ((F.col("c.x") + move) / 1000).alias("lon"), ((F.col("c.y") + move) / 1000).alias("lat"), _text_map().alias("tags"), *_META)
+    ring = lambda o: F.array(*[F.col("k") * 10 + o + i for i in (0, 1, 2, 3, 0)])
+    ways = k.select("k", F.posexplode(F.array(ring(0), ring(4))).alias("i", "refs")).select((F.col("k") * 10 + F.col("i")).alias("id"), "refs", _text_map().alias("tags"), *_META)
+    relations = k.select(F.col("k").alias("id"), F.array(_member(F.col("k") * 10, "way", "outer"), _member(F.col("k") * 10 + 1, "way", "outer")).alias("members"), _text_map(type=F.lit("multipolygon")).alias("tags"), *_META)
+    data = MapData(nodes.select(*_names(NODE)), ways.select(*_names(WAY)), relations.select(*_names(RELATION)))
+    return _shape(features.features(data, features.Layer({"type": [True]}, ["type"], nodes=False, ways=False)))
+
+
 @query(f"SELECT {_SQUARE}, 'residential' AS landuse, n_name AS name FROM nation WHERE n_nationkey % 3 = 0")
 def layer_landuse(spark, d):
     return _shape(OSM(squares(spark, d), spark=spark).get_landuse(extra_attributes=["name"]), "landuse", "name")
