@@ -79,21 +79,39 @@ def least_places(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def multikey_order(keys: np.ndarray) -> np.ndarray:
-    """Order of the rows of an n x c matrix of 64-bit characters: rows that agree so far go on to the next character."""
-    n = len(keys)
-    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    for j in range(keys.shape[1]):
-        act = np.flatnonzero(np.bincount(group)[group] > 1) if n else order
-        if not len(act):
-            break
-        key, g = keys[order[act], j], group[act]
-        o = np.lexsort((key, g))
-        order[act] = order[act][o]
-        key = key[o]
-        starts = np.zeros(n, dtype=bool)
-        starts[1:] = group[1:] != group[:-1]
-        starts[act[1:]] |= (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-        group = np.cumsum(starts)
+    """Order of the rows of an n x c matrix of 64-bit characters by multikey quicksort.
+
+    Each segment of rows that agree in their first d characters is cut in three by its pivot (the
+    median of three rows' next character): the rows below and above it are cut again at the same
+    character, the equal ones at the next. All segments are cut side by side, a round at a time.
+    """
+    n, width = keys.shape
+    order = np.arange(n)
+    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    if n < 2 or not width:
+        return order
+    while len(start):
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        seg = np.repeat(np.arange(len(start)), size)
+        rows = order[at]
+        char = keys[rows, depth[seg]]
+        begin = np.cumsum(size) - size
+        three = np.stack([char[begin], char[begin + size // 2], char[begin + size - 1]])
+        pivot = np.sort(three, axis=0)[1]
+        kind = (char == pivot[seg]) + 2 * (char > pivot[seg])
+        count = np.bincount(3 * seg + kind, minlength=3 * len(start)).reshape(-1, 3)
+        first = start[:, None] + np.cumsum(count, axis=1) - count
+        # a row's place among those of its segment and kind, in their order so far
+        to = np.empty(len(at), dtype=np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(kind == k)
+            before = np.cumsum(count[:, k]) - count[:, k]
+            to[mine] = first[seg[mine], k] + np.arange(len(mine)) - before[seg[mine]]
+        order[to] = rows
+        size, start = count.ravel(), first.ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        on = (size > 1) & (depth < width)
+        start, size, depth = start[on], size[on], depth[on]
     return order
 
 
