@@ -19,7 +19,11 @@ GOOD = "the house of the family is in the old town and that is not far from the
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    rows = [(k, GOOD * 3 + f"number {k} of them\nand a second line that is the same in all of the documents {k // 2}") for k in range(12)] + [(None, GOOD), (3, None), (4, "")]
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    rows = [(k, GOOD + " ".join(word() for _ in range(40)) + f"\nand a second line that is the same in all of the documents {k // 2}") for k in range(12)] + [(None, GOOD), (3, None), (4, "")]
     out = docs(spark, rows).drop("row", "key", "topic_")
     from pyspark.sql import functions as F
 
