@@ -44,6 +44,12 @@ def split(data: bytes) -> list[bytes]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and how many each text has."""
+    h, _, counts = sized_word_hashes(texts)
+    return h, counts
+
+
+def sized_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, their bytes, and how many words each text has."""
     data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
     space = np.r_[True, _SPACE[data], True]
     edge = np.diff(space.astype(np.int8))
@@ -51,9 +57,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.r_[0, np.searchsorted(start, ends)])
     if not len(start):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
     s = _rolls[0].prefix(_values[data])
-    return _rolls[0].span(s, start, stop) ^ repeats.mix((stop - start).astype(np.uint64)), counts
+    return _rolls[0].span(s, start, stop) ^ repeats.mix((stop - start).astype(np.uint64)), stop - start, counts
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:

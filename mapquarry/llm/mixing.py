@@ -77,12 +77,13 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), share: float = 0.5,
     more than max_cells cells raise an error before they are sent.
     """
     group = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    text = words(F.col("text").cast("string"))
+    text = F.col("text").cast("string")
     if topic is None and "topic" in docs.columns:
         topic = F.col("topic")
-    found = {"counts": topics.counts(text)} if topic is None else {"mix_topic": group(topic)}
-    df = packed_rows(docs, list(keep), id=F.col("doc_id"), mix_source=group(F.col("source")), mix_lang=group(F.col("lang")), n_tokens=F.size(text).cast("long"), **found)
-    df = topics.with_topics(df, "mix_topic", "mix_lang", n_topics) if topic is None else written(df)
+    found = {"sketch": topics.sketched(text)} if topic is None else {"mix_topic": group(topic), "n_tokens": F.size(words(text)).cast("long")}
+    df = written(packed_rows(docs, list(keep), id=F.col("doc_id"), mix_source=group(F.col("source")), mix_lang=group(F.col("lang")), **found))
+    if topic is None:
+        df = topics.with_topics(df, "mix_topic", "mix_lang", n_topics).withColumn("n_tokens", F.get("sketch", F.lit(0)))
     names = [f"mix_{d}" for d in DIMS]
     rows = df.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(max_cells + 1).collect()
     if len(rows) > max_cells:
