@@ -60,10 +60,20 @@ def assign(rows: DataFrame, key: str, name: str, n_shards: int, weights: Mapping
     racks_of = [[first[k] + j for j in range(len(region))] for k, region in enumerate(tree)]
     at_region = [sum(at_rack[r] for r in ids) for ids in racks_of]
     table = lambda ids: F.array(*[F.array(*map(F.lit, x)) for x in ids])
-    region, rack = f"{name}_region", f"{name}_rack"
-    rows = rows.withColumn(region, _descend(F.col(key), "region", F.array(*map(F.lit, range(len(tree)))), at_region, len(tree)))
-    rows = rows.withColumn(rack, _descend(F.col(key), "rack", F.get(table(racks_of), F.col(region)), at_rack, max(map(len, racks_of))))
-    return rows.withColumn(name, _descend(F.col(key), "shard", F.get(table(all_racks), F.col(rack)), at_shard, max(map(len, all_racks))))
+    key = F.col(key)
+
+    def at_rack_level(region: Column) -> Column:
+        return _once(_descend(key, "rack", F.get(table(racks_of), region), at_rack, max(map(len, racks_of))), lambda rack: F.struct(region.alias("region"), rack.alias("rack"), _descend(key, "shard", F.get(table(all_racks), rack), at_shard, max(map(len, all_racks))).alias("shard")))
+
+    way = _once(_descend(key, "region", F.array(*map(F.lit, range(len(tree)))), at_region, len(tree)), at_rack_level)
+    # explode keeps the expression in one place, whatever is made of its fields
+    rows = rows.select("*", F.explode(F.array(way)).alias("_way"))
+    return rows.select("*", F.col("_way.region").alias(f"{name}_region"), F.col("_way.rack").alias(f"{name}_rack"), F.col("_way.shard").alias(name)).drop("_way")
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with the expression value standing in the plan once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
