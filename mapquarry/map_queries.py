@@ -22,7 +22,8 @@ from .plans import adapter, storage
 from .queries import _CROP, _DIRECTED, BOX, query
 from .sources import geoparquet, graphs, pbf, writer
 
-_META = [F.lit(1).alias("version"), F.lit(1).cast("long").alias("changeset"), F.lit(1_600_000_000).cast("long").alias("timestamp"), F.lit(True).alias("visible")]
+def _meta() -> list[Column]:
+    return [F.lit(1).alias("version"), F.lit(1).cast("long").alias("changeset"), F.lit(1_600_000_000).cast("long").alias("timestamp"), F.lit(True).alias("visible")]
 
 
 def _names(schema: str) -> list[str]:
@@ -49,15 +50,15 @@ def squares(spark: SparkSession, d: str) -> MapData:
     k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
     corners = [(0, 0, 0), (1, 10, 0), (2, 10, 10), (3, 0, 10), (4, 3, 3), (5, 7, 3), (6, 7, 7), (7, 3, 7), (8, 20, 0), (9, 22, 0), (10, 22, 2), (11, 20, 2)]
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x, y in corners])).alias("c")
-    nodes = k.select("k", at).select((F.col("k") * 100 + F.col("c.i")).alias("id"), ((F.col("k") * 40 + F.col("c.x")) / 1000).alias("lon"), (F.col("c.y") / 1000).alias("lat"), _text_map().alias("tags"), *_META)
+    nodes = k.select("k", at).select((F.col("k") * 100 + F.col("c.i")).alias("id"), ((F.col("k") * 40 + F.col("c.x")) / 1000).alias("lon"), (F.col("c.y") / 1000).alias("lat"), _text_map().alias("tags"), *_meta())
     paths = [(0, [0, 1, 2], "true"), (1, [0, 3, 2], "true"), (2, [4, 5, 6], "k % 2 = 0"), (3, [4, 7, 6], "k % 2 = 0"), (4, [8, 9, 10, 11, 8], "k % 3 = 0")]
     lines = F.array(*[F.when(F.expr(when), F.struct(F.lit(i).alias("i"), F.array(*[F.col("k") * 100 + n for n in path]).alias("refs"))) for i, path, when in paths])
     each = k.select("k", F.explode(F.array_compact(lines)).alias("w"))
-    ways = each.select((F.col("k") * 10 + F.col("w.i")).alias("id"), F.col("w.refs").alias("refs"), _text_map().alias("tags"), *_META)
+    ways = each.select((F.col("k") * 10 + F.col("w.i")).alias("id"), F.col("w.refs").alias("refs"), _text_map().alias("tags"), *_meta())
     key = lambda r: F.when(F.col("k") % 3 == r, F.lit(("residential", "wood", "administrative")[r]))
     members = F.array_compact(F.array(*[F.when(F.expr(when), _member(F.col("k") * 10 + i, "way", "outer" if i != 2 else "inner")) for i, _, when in paths]))
     about = _text_map(type=F.lit("multipolygon"), landuse=key(0), natural=key(1), boundary=key(2), name=F.col("n_name"))
-    relations = k.select(F.col("k").alias("id"), members.alias("members"), about.alias("tags"), *_META)
+    relations = k.select(F.col("k").alias("id"), members.alias("members"), about.alias("tags"), *_meta())
     return MapData(nodes.select(*_names(NODE)), ways.select(*_names(WAY)), relations.select(*_names(RELATION)))
 
 
@@ -86,10 +87,10 @@ def relation_area_crossing(spark, d):
     k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(i // 4).alias("moved")) for i, (x, y) in enumerate([(0, 0), (10, 0), (10, 10), (0, 10)] * 2)])).alias("c")
     move = F.col("c.moved") * (F.col("k") % 10)
-    nodes = k.select("k", corner).select((F.col("k") * 10 + F.col("c.i")).alias("id"), ((F.col("c.x") + move) / 1000).alias("lon"), ((F.col("c.y") + move) / 1000).alias("lat"), _text_map().alias("tags"), *_META)
+    nodes = k.select("k", corner).select((F.col("k") * 10 + F.col("c.i")).alias("id"), ((F.col("c.x") + move) / 1000).alias("lon"), ((F.col("c.y") + move) / 1000).alias("lat"), _text_map().alias("tags"), *_meta())
     ring = lambda o: F.array(*[F.col("k") * 10 + o + i for i in (0, 1, 2, 3, 0)])
-    ways = k.select("k", F.posexplode(F.array(ring(0), ring(4))).alias("i", "refs")).select((F.col("k") * 10 + F.col("i")).alias("id"), "refs", _text_map().alias("tags"), *_META)
-    relations = k.select(F.col("k").alias("id"), F.array(_member(F.col("k") * 10, "way", "outer"), _member(F.col("k") * 10 + 1, "way", "outer")).alias("members"), _text_map(type=F.lit("multipolygon")).alias("tags"), *_META)
+    ways = k.select("k", F.posexplode(F.array(ring(0), ring(4))).alias("i", "refs")).select((F.col("k") * 10 + F.col("i")).alias("id"), "refs", _text_map().alias("tags"), *_meta())
+    relations = k.select(F.col("k").alias("id"), F.array(_member(F.col("k") * 10, "way", "outer"), _member(F.col("k") * 10 + 1, "way", "outer")).alias("members"), _text_map(type=F.lit("multipolygon")).alias("tags"), *_meta())
     data = MapData(nodes.select(*_names(NODE)), ways.select(*_names(WAY)), relations.select(*_names(RELATION)))
     return _shape(features.features(data, features.Layer({"type": [True]}, ["type"], nodes=False, ways=False)))
 
@@ -128,10 +129,10 @@ def relation_areas_in_box(spark, d):
 def relation_lines(spark, d):
     """Two lines of a route, which meet at one end where the key is even (one is turned round)."""
     k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
-    nodes = k.select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select((F.col("k") * 10 + F.col("i")).alias("id"), (F.col("i") / 100).alias("lon"), (F.col("k") / 100).alias("lat"), _text_map().alias("tags"), *_META)
+    nodes = k.select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select((F.col("k") * 10 + F.col("i")).alias("id"), (F.col("i") / 100).alias("lon"), (F.col("k") / 100).alias("lat"), _text_map().alias("tags"), *_meta())
     ref = lambda *i: F.array(*[F.col("k") * 10 + x for x in i])
-    ways = k.select("k", F.posexplode(F.array(ref(0, 1), F.when(F.col("k") % 2 == 0, ref(2, 1)).otherwise(ref(3, 4)))).alias("i", "refs")).select((F.col("k") * 10 + F.col("i")).alias("id"), "refs", _text_map().alias("tags"), *_META)
-    relations = k.select(F.col("k").alias("id"), F.array(_member(F.col("k") * 10, "way", ""), _member(F.col("k") * 10 + 1, "way", ""), _member(F.col("k") * 10, "way", "")).alias("members"), _text_map(type=F.lit("route"), route=F.lit("bus")).alias("tags"), *_META)
+    ways = k.select("k", F.posexplode(F.array(ref(0, 1), F.when(F.col("k") % 2 == 0, ref(2, 1)).otherwise(ref(3, 4)))).alias("i", "refs")).select((F.col("k") * 10 + F.col("i")).alias("id"), "refs", _text_map().alias("tags"), *_meta())
+    relations = k.select(F.col("k").alias("id"), F.array(_member(F.col("k") * 10, "way", ""), _member(F.col("k") * 10 + 1, "way", ""), _member(F.col("k") * 10, "way", "")).alias("members"), _text_map(type=F.lit("route"), route=F.lit("bus")).alias("tags"), *_meta())
     data = MapData(nodes.select(*_names(NODE)), ways.select(*_names(WAY)), relations.select(*_names(RELATION)))
     f = features.features(data, features.Layer({"route": [True]}, ["route"], nodes=False, ways=False))
     return f.select("id", F.col("geometry.type").alias("kind"), F.aggregate("geometry.rings", F.lit(0).cast("long"), lambda s, r: s + F.size(r)).alias("n_points"))
@@ -160,10 +161,10 @@ def relation_line_cases(spark, d):
 def closed_way_area_or_line(spark, d):
     """Tags of a closed way: none of weight, area=yes on a highway, area=no, a highway, a barrier, a route that is no column."""
     k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
-    nodes = k.select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select((F.col("k") * 10 + F.col("i")).alias("id"), (F.col("i") / 100).alias("lon"), (F.col("k") / 100 + F.col("i") * F.col("i") / 1000).alias("lat"), _text_map().alias("tags"), *_META)
+    nodes = k.select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select((F.col("k") * 10 + F.col("i")).alias("id"), (F.col("i") / 100).alias("lon"), (F.col("k") / 100 + F.col("i") * F.col("i") / 1000).alias("lat"), _text_map().alias("tags"), *_meta())
     kinds = [{}, {"highway": "service", "area": "yes"}, {"area": "no"}, {"highway": "service"}, {"barrier": "fence"}, {"route": "ski"}]
     made = F.get(F.array(*[_text_map(note=F.lit("x"), **{a: F.lit(b) for a, b in t.items()}) for t in kinds]), (F.col("k") % 6).cast("int"))
-    ways = k.select(F.col("k").alias("id"), F.array(*[F.col("k") * 10 + i for i in (0, 1, 2, 0)]).alias("refs"), made.alias("tags"), *_META)
+    ways = k.select(F.col("k").alias("id"), F.array(*[F.col("k") * 10 + i for i in (0, 1, 2, 0)]).alias("refs"), made.alias("tags"), *_meta())
     data = MapData(nodes.select(*_names(NODE)), ways.select(*_names(WAY)), adapter.relations(spark, d).where("false"))
     f = features.features(data, features.Layer({"note": [True]}, ["note", "area", "highway", "barrier"], nodes=False, relations=False))
     return f.select("id", F.col("geometry.type").alias("kind"))
