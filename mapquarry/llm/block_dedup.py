@@ -10,8 +10,8 @@ of documents with a smaller doc_id.
 Words are compared by 64-bit hashes, 32 bits of each in contexts of 50 and more.
 
 Defined cases: null and empty texts have no words; documents under 50 words lose none; rows with
-equal ids don't remove each other's words, null ids come after all others; an empty table gives an
-empty result; other columns are ignored.
+equal ids don't remove each other's words, null ids come after all others; very long texts are judged
+whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Items are a stated query set: they are sent in blocks of bounded size, each agai
 
 Defined cases: null and empty texts match nothing; items without words are ignored; items under
 min_chars characters must match exactly, as whole words; equal items each report their own id; a
-repeated document row reports for itself; empty tables give an empty result.
+repeated document row reports for itself; very long texts are searched whole; empty tables give an empty
+result; other columns, whatever their names, are kept by decontaminate() and ignored by contamination().
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ bytes, so no window reaches over it. Where more suffixes share their 32 bytes th
 hold, their windows are counted by 128-bit hashes instead, pre-aggregated.
 
 Defined cases: null and empty texts have no bytes; texts under 200 bytes lose none; repeated rows
-and ids are documents of their own; an empty table gives an empty result; other columns are ignored.
+and ids are documents of their own; very long texts are judged whole; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
