@@ -103,6 +103,7 @@ class Encoder:
                     known.clear()
                     known.update(kept)
             cuts: list[list[str] | None] = []  # None: encoded whole
+            stores: list[dict[str, bytes]] = []
             found: list[list[bytes | None]] = []
             new: tuple[set[str], set[str]] = set(), set()
             for t in some:
@@ -114,19 +115,20 @@ class Encoder:
                     cut[0] = f"\0{cut[0]}"  # the first has no space before it
                 else:
                     cut = None if _WHOLE.search(t) else _CHUNK.findall(t)
-                f = list(map((self.pieces if even else self.chunks).get, cut or ()))
+                known = self.pieces if even else self.chunks
+                f = list(map(known.get, cut or ()))
                 if None in f:
                     new[even].update(c for c, x in zip(cut, f, strict=True) if x is None)
                 cuts.append(cut)
+                stores.append(known)
                 found.append(f)
             if new[1]:
                 self._learn_pieces(new[1])
             if new[0]:
                 chunks = list(new[0])
                 self.chunks.update(zip(chunks, self._encode(chunks), strict=True))
-            for t, c, f in zip(some, cuts, found, strict=True):
+            for t, c, known, f in zip(some, cuts, stores, found, strict=True):
                 if None in f:
-                    known = self.pieces if c[0][0] == "\0" else self.chunks
                     f = [known[p] if x is None else x for p, x in zip(c, f, strict=True)]
                 yield (self._encode([t])[0] if c is None else b"".join(f)) + self.end
 

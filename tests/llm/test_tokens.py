@@ -33,6 +33,11 @@ def test_encoder_is_the_library(tokenizer):
     assert [x for x in e(texts)] == [want(tokenizer, t) for t in texts]
 
 
+@pytest.mark.parametrize("texts", [["\0"], ["\0 a  b"], ["hello", "\0hello", "\0hello"], ["a b", "\0a  b", "", "\0"]])
+def test_texts_that_begin_with_a_zero_character(tokenizer, texts):
+    assert list(token_shards.Encoder(PATH, 2)(texts)) == [want(tokenizer, t) for t in texts]
+
+
 def test_round_trip(spark, tokenizer):
     rows = [(100 - k, t) for k, t in enumerate(TEXTS)] + [(3, None), (3, "again"), (3, "again"), (None, "no id"), (-(2**63), "least"), (2**63 - 1, "most")]
     got = sorted(token_shards.round_trip(docs(spark, rows), PATH).collect(), key=lambda r: r.start)
