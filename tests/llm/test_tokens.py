@@ -38,6 +38,17 @@ def test_texts_that_begin_with_a_zero_character(tokenizer, texts):
     assert list(token_shards.Encoder(PATH, 2)(texts)) == [want(tokenizer, t) for t in texts]
 
 
+def test_uneven_texts():
+    """The plain searches find what one pattern of alternatives would."""
+    import random
+    import re
+
+    r, pattern = random.Random(9), re.compile("[ \n][ \n]|[\t\r\0]|[\\W_][,.;:!?]|" + token_shards._WHOLE.pattern)
+    texts = ["".join(r.choice("abcé_² 3\n\t\0,.!?|<- 中😀\x0b\u3000") for _ in range(r.randint(0, 6))) for _ in range(20000)]
+    have = [token_shards._uneven(t) for t in texts]
+    assert have == [bool(pattern.search(t)) for t in texts] and 1000 < sum(have) < 19000
+
+
 def test_round_trip(spark, tokenizer):
     rows = [(100 - k, t) for k, t in enumerate(TEXTS)] + [(3, None), (3, "again"), (3, "again"), (None, "no id"), (-(2**63), "least"), (2**63 - 1, "most")]
     got = sorted(token_shards.round_trip(docs(spark, rows), PATH).collect(), key=lambda r: r.start)
