@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,10 @@ WINDOW, PIVOTS = 4, 2
 BUCKETS = 1 << 18
 #: Characters hashed at a time.
 PIECE = 1 << 18
+#: Words of the parities that tell lines apart before they are compared (64 WORDS bits, a power of two).
+WORDS = 16
+PARITIES = [f"w{k}" for k in range(WORDS)]
+SIZES = ["n", *PARITIES]
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 _BINS = BANDS * ROWS
 _roll = Roller(0xA24BAED4963EE407)
@@ -196,16 +202,21 @@ def _pair_rows(window: int, pivots: int, hold: int = 1 << 16) -> Callable[[Itera
     return run
 
 
-def _parity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 of 128 bits each: the parity of the distinct hashes that fall on a bit, by lines that begin at first."""
-    bit = np.uint64(1) << (h & np.uint64(63))
-    half = (h & np.uint64(64)).astype(bool)
-    zero = np.uint64(0)
-    return np.bitwise_xor.reduceat(np.where(half, zero, bit), first), np.bitwise_xor.reduceat(np.where(half, bit, zero), first)
+def _parity(key: np.ndarray, first: np.ndarray, block: int = 1 << 10) -> np.ndarray:
+    """WORDS words for each line: the parity of the distinct hashes that fall on a bit, by lines that begin at first (keys hold the line above 48 bits)."""
+    out = np.empty((len(first), WORDS), dtype=np.int64)
+    end = np.r_[first, len(key)]
+    for a in range(0, len(first), block):
+        z = min(a + block, len(first))
+        some = key[end[a] : end[z]]
+        at = (((some >> np.uint64(48)) - np.uint64(a)) * np.uint64(64 * WORDS)) + (some & np.uint64(64 * WORDS - 1))
+        odd = np.bincount(at.view(np.int64), minlength=(z - a) * 64 * WORDS).astype(np.uint8) & 1
+        out[a:z] = np.packbits(odd, bitorder="little").view(np.int64).reshape(z - a, WORDS)
+    return out
 
 
 def _set_rows(batches: Iterator) -> Iterator:
-    """text, want (id, pos) to id, line, n (distinct shingles) and parities x, y; null n, x, y for a very long line."""
+    """text, want (id, pos) to id, line, n (distinct shingles) and words of parities; null n and words for a very long line."""
     import pyarrow as pa
 
     for b in batches:
@@ -217,16 +228,16 @@ def _set_rows(batches: Iterator) -> Iterator:
         for i, j in in_pieces(lines):
             k = j - i
             if len(lines[i]) > PIECE:
-                n = x = y = np.zeros(1, np.int64)
+                n, w = np.zeros(1, np.int64), np.zeros((1, WORDS), np.int64)
                 mask = np.ones(1, bool)
             else:
                 h, count = shingle_hashes(lines[i:j])
                 key = distinct((np.repeat(np.arange(k, dtype=np.uint64), count) << np.uint64(48)) | (h >> np.uint64(16)))
                 first = np.searchsorted(key, np.arange(k, dtype=np.uint64) << np.uint64(48))
                 n = np.diff(np.r_[first, len(key)])
-                x, y = (p.view(np.int64) for p in _parity(key, first))
+                w = _parity(key, first)
                 mask = np.zeros(k, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(lines[i:j], pa.string()), *[pa.array(c, pa.int64(), mask=mask) for c in (n, x, y)]], names=["id", "line", "n", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(lines[i:j], pa.string()), *[pa.array(c, pa.int64(), mask=mask) for c in (n, *np.ascontiguousarray(w.T))]], names=["id", "line", *SIZES])
 
 
 def similar(left: list[str], right: list[str], threshold: float) -> np.ndarray:
@@ -268,14 +279,15 @@ def _judged(threshold: float) -> Callable[[Iterator], Iterator]:
 
 
 def _differ(threshold: float) -> Column:
-    """Whether parities of two lines (n_a, x_a, y_a and n_b ...) leave the similarity open: similar sets differ in few hashes, and at least in as many as bits of their parities do."""
-    bits = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
-    return F.coalesce(bits * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-6, F.lit(True))
+    """Whether sizes and parities of two lines (n_a, w0_a ... and n_b, w0_b ...) leave the similarity open: similar sets differ in few hashes, and at least in as many as bits of their parities do."""
+    bits = reduce(add, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in PARITIES])
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9
+    return F.coalesce(near & (bits * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-6), F.lit(True))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of lines (id, line, n, x, y) that are at least so similar."""
-    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "x", "y")])
+    """The pairs (a, b) of lines (id, line, n, parities) that are at least so similar."""
+    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", *SIZES)])
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_differ(threshold))
     return both.select("a", "b", "line_a", "line_b").mapInArrow(_judged(threshold), "a long, b long")
 
@@ -304,7 +316,7 @@ def _count_rows(batches: Iterator) -> Iterator:
 
 
 def _prefix_rows(counts: np.ndarray, threshold: float) -> Callable[[Iterator], Iterator]:
-    """id, root, line, n, x, y to a row with key for each of the line's rarest shingles that a similar line must share one of.
+    """id, root, line, n and parities to a row with key for each of the line's rarest shingles that a similar line must share one of.
 
     p and q hold 32 bits each of the four keys before it.
     """
@@ -330,7 +342,7 @@ def _prefix_rows(counts: np.ndarray, threshold: float) -> Callable[[Iterator], I
     return run
 
 
-CROSS = ["key", "id", "root", "n", "x", "y", "p", "q"]
+CROSS = ["key", "id", "root", *SIZES, "p", "q"]
 
 
 def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Callable[[Iterator], Iterator]:
@@ -340,18 +352,24 @@ def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Call
     """
     import pyarrow as pa
 
-    def near(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        bits = sum(np.bitwise_count((c[k][i] ^ c[k][j]).view(np.uint64)).astype(np.int64) for k in ("x", "y"))
+    def near(c: dict, i: np.ndarray, j: np.ndarray, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         n, m = c["n"][i], c["n"][j]
-        open_ = (bits * (1 + threshold) <= (1 - threshold) * (n + m) + 1e-6) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6)
-        ok = (c["root"][i] != c["root"][j]) & (open_ | (n < 0) | (m < 0))
-        some = np.flatnonzero(ok)
+        whole = (n < 0) | (m < 0)
+        some = np.flatnonzero((c["root"][i] != c["root"][j]) & (whole | (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)))
+        keep = [np.zeros(0, np.int64)]
+        for k in range(0, len(some), most):
+            at = some[k : k + most]
+            bits = np.bitwise_count(c["w"][i[at]] ^ c["w"][j[at]]).sum(axis=1, dtype=np.int64)
+            keep.append(at[whole[at] | (bits * (1 + threshold) <= (1 - threshold) * (n[at] + m[at]) + 1e-6)])
+        at = np.concatenate(keep)
+        i, j = i[at], j[at]
         low = np.uint64(0xFFFFFFFF)
-        before = [[v for k in ("p", "q") for v in (c[k][r[some]].view(np.uint64) >> np.uint64(32), c[k][r[some]].view(np.uint64) & low)] for r in (i, j)]
+        before = [[v for k in ("p", "q") for v in (c[k][r].view(np.uint64) >> np.uint64(32), c[k][r].view(np.uint64) & low)] for r in (i, j)]
+        ok = np.ones(len(i), bool)
         for v in before[0]:
             for w in before[1]:
-                ok[some[(v == w) & (v > 0)]] = False
-        return ok
+                ok &= (v != w) | (v == 0)
+        return i[ok], j[ok]
 
     def found(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key = c["key"]
@@ -362,8 +380,7 @@ def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Call
             i = np.flatnonzero((key[d:] == key[:-d]) & few[d:])
             if not len(i):
                 break
-            ok = near(c, i, i + d)
-            yield i[ok], i[ok] + d
+            yield near(c, i, i + d)
         for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
             roots, part = np.unique(c["root"][s : s + n], return_inverse=True)
             if len(roots) < 2:
@@ -374,8 +391,7 @@ def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Call
             for k in range(0, len(rest), step):
                 i = np.repeat(rest[k : k + step], n)
                 j = np.tile(np.arange(s, s + n), len(rest[k : k + step]))
-                ok = near(c, i, j)
-                yield i[ok], j[ok]
+                yield near(c, i, j)
 
     def pairs(c: dict) -> Iterator:
         for i, j in found(c):
@@ -388,8 +404,9 @@ def _cross_rows(threshold: float, small: int = 32, block: int = 1 << 20) -> Call
         for b in batches:
             if not b.num_rows:
                 continue
-            now = {k: (b.column(k).fill_null(-1) if k in ("n", "x", "y") else b.column(k)).to_numpy() for k in CROSS}
-            held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in CROSS}
+            now = {k: b.column(k).fill_null(-1).to_numpy() for k in CROSS if k not in PARITIES}
+            now["w"] = np.stack([b.column(k).fill_null(0).to_numpy() for k in PARITIES], axis=1).view(np.uint64)
+            held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
             last = int(np.searchsorted(held["key"], held["key"][-1]))  # where the last run starts, which may go on
             if last:
                 yield from pairs({k: v[:last] for k, v in held.items()})
@@ -404,7 +421,7 @@ def _pairs_across(large: DataFrame, roots: DataFrame, sets: DataFrame, threshold
     """Pairs a, b of lines in different components that may be similar, among the lines of bands (rows band, id) that are more than one component."""
     rooted = large.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    lines = written(rooted.join(open_, "band", "left_semi").select("id", "root").distinct().join(sets, "id").select("id", "root", "line", "n", "x", "y"))
+    lines = written(rooted.join(open_, "band", "left_semi").select("id", "root").distinct().join(sets, "id").select("id", "root", "line", *SIZES))
     counts = np.zeros(BUCKETS, np.int64)
     for bucket, n in lines.select("line").mapInArrow(_count_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
         counts[bucket] = n
@@ -435,7 +452,7 @@ def _removed(rows: DataFrame, threshold: float, window: int, pivots: int) -> Dat
     wanted = lines.join(members, "id", "left_semi").groupBy("id").agg(F.min(F.struct("row", "pos")).alias("at"))
     wanted = wanted.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("id", F.col("at.pos").alias("pos"))).alias("want"))
     found = rows.select("row", "text").join(wanted, "row").select("text", "want")
-    sets = written(found.mapInArrow(_set_rows, "id long, line string, n long, x long, y long"))
+    sets = written(found.mapInArrow(_set_rows, "id long, line string, " + ", ".join(f"{c} long" for c in SIZES)))
 
     comp = components(written(_similar(pairs, sets, threshold)))
     roots = comp.select(F.col("node").alias("id"), "root")

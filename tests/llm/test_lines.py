@@ -172,6 +172,36 @@ def test_prefix_filter_finds_all_pairs(monkeypatch):
                 assert want <= got and len(want) > 30
 
 
+def test_prefix_filter_passes_few_other_pairs(monkeypatch):
+    """Of variants of a line that share much and are not similar hardly a pair is left to be compared; very long lines always are."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "PIECE", 2000)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base, lines = [word() for _ in range(40)], []
+    for _ in range(60):
+        w = list(base)
+        for k in r.sample(range(40), 2):
+            w[k] = word()
+        lines.append(" ".join(w))
+    long = " ".join(word() for _ in range(400))
+    lines += [lines[7] + " x", long, long + " y"]
+    pairs = {(a, b): jaccard(shingles(lines[a]), shingles(lines[b])) for b in range(len(lines)) for a in range(b)}
+    text = pa.RecordBatch.from_pydict({"text": ["\n".join(lines)], "want": [[{"id": k, "pos": k} for k in range(len(lines))]]})
+    sets = pa.Table.from_batches(line_dedup._set_rows([text]))
+    assert sets.column("n").to_pylist() == [len(shingles(x)) if len(x) <= 2000 else None for x in lines]
+    rows = sets.append_column("root", pa.array(range(len(lines)))).combine_chunks().to_batches()[0]
+    keyed = pa.Table.from_batches(line_dedup._prefix_rows(np.zeros(line_dedup.BUCKETS, np.int64), 0.8)([rows])).sort_by("key")
+    for small in (2, 32):
+        got = set()
+        for out in line_dedup._cross_rows(0.8, small=small)(keyed.to_batches(max_chunksize=501)):
+            got |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+        want = {p for p, s in pairs.items() if s >= 0.8}
+        assert {(7, 60), (61, 62)} <= want <= got
+        assert len(got - want) <= 0.05 * sum(0.5 <= s < 0.8 for s in pairs.values())
+
+
 def test_text_and_empty_table(spark):
     d = docs(spark, [(1, "first line of it\nother words here\nfirst line of it"), (2, "other words here\nnew one"), (3, None)])
     out = {r.doc_id: r.text for r in line_dedup.dedup(d).collect()}
