@@ -16,6 +16,9 @@ share one of the first n - ceil(t n) + 1 shingles of each. The order comes from
 counts, of fixed size; any order finds all links, a good one keeps the groups small. Lines of one
 component are not compared again.
 
+Before two lines are compared, their sizes and parities rule out most pairs that are not similar, and no
+other: sets differ in at least as many hashes as their parities do in bits.
+
 Cutting shingles with built-in functions alone took more CPU time than the whole job may (see
 README), so signatures and similarities are computed by numpy in Arrow batches; the joins, aggregates and
 union-find are DataFrame operations.
@@ -43,10 +46,14 @@ from .repeats import Roller, mix
 
 SHINGLE, BANDS, ROWS = 10, 6, 3
 WINDOW, PIVOTS = 4, 2
+#: Bits of a further band that order a band's lines.
+NEXT = 24
 #: Counts of shingles, by their hashes' upper bits, that order them.
 BUCKETS = 1 << 18
 #: Characters hashed at a time.
 PIECE = 1 << 18
+#: Characters of short lines hashed at a time, so that the arrays stay in a core's cache.
+TOGETHER = 1 << 15
 #: Words of the parities that tell lines apart before they are compared (64 WORDS bits, a power of two).
 WORDS = 16
 PARITIES = [f"w{k}" for k in range(WORDS)]
@@ -62,14 +69,23 @@ def codes(text: str) -> np.ndarray:
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines, one line after another, and how many each line has (repeats included)."""
-    length = np.array([len(x) for x in lines], dtype=np.int64)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
     count = np.where(length > SHINGLE, length - SHINGLE + 1, length > 0)
     v = codes("".join(lines))
-    s = _roll.prefix(v.astype(np.uint64) + np.uint64(1))
-    start = np.cumsum(length) - length
-    at = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
-    stop = at + np.repeat(np.minimum(length, SHINGLE), count)
-    return _roll.span(s, at, stop), count
+    s = _roll.prefix(v + np.uint64(1))
+    stop = np.cumsum(length)
+    start = stop - length
+    # from each place on, also across the ends of lines; these and what short lines have instead are put right after that
+    h = np.zeros(len(v), dtype=np.uint64)
+    some = max(0, len(v) - SHINGLE + 1)
+    np.subtract(s[SHINGLE:], s[:some], out=h[:some])
+    h[:some] *= _roll.down[:some]
+    short = np.flatnonzero((length > 0) & (length < SHINGLE))
+    h[start[short]] = (s[stop[short]] - s[start[short]]) * _roll.down[start[short]]
+    spare = length - count
+    keep = np.ones(len(v), dtype=bool)
+    keep[np.arange(int(spare.sum())) + np.repeat(stop - np.cumsum(spare), spare)] = False
+    return mix(h[keep]), count
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -112,11 +128,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     return band.view(np.int64)
 
 
-def in_pieces(lines: list[str], most: int = 1 << 15) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring lines of at most PIECE characters together, or one line."""
+def in_pieces(lines: list[str], few: bool = False, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring lines of at most PIECE (few: TOGETHER) characters together, or one line."""
+    limit = min(PIECE, TOGETHER) if few else PIECE
     start = size = 0
     for i, x in enumerate(lines):
-        if i > start and (size + len(x) > PIECE or i - start == most):
+        if i > start and (size + len(x) > limit or i - start == most):
             yield start, i
             start, size = i, 0
         size += len(x)
@@ -142,7 +159,7 @@ def _line_rows(batches: Iterator) -> Iterator:
             pos = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
             live = np.array([k for k, x in enumerate(lines) if _WORD.search(x)], dtype=np.int64)
             some = [lines[k] for k in live.tolist()]
-            sig = np.concatenate([signatures(some[a:z]) for a, z in in_pieces(some)]) if some else np.zeros((0, BANDS), np.int64)
+            sig = np.concatenate([signatures(some[a:z]) for a, z in in_pieces(some, few=True)]) if some else np.zeros((0, BANDS), np.int64)
             blank = np.ones(len(lines), dtype=bool)
             blank[live] = False
             out = np.zeros((len(lines), BANDS + 1), dtype=np.int64)
@@ -153,7 +170,7 @@ def _line_rows(batches: Iterator) -> Iterator:
 
 
 def _pair_rows(window: int, pivots: int, hold: int = 1 << 16) -> Callable[[Iterator], Iterator]:
-    """Rows (band, id) sorted by band to pairs (a, b), and to (id, null, band) for each line of a band of more than window + 1."""
+    """Rows (key, id) sorted by key, a band above NEXT bits, to pairs (a, b), and to (id, null, band) for each line of a band of more than window + 1."""
     import pyarrow as pa
 
     def found(band: np.ndarray, ids: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
@@ -185,7 +202,7 @@ def _pair_rows(window: int, pivots: int, hold: int = 1 << 16) -> Callable[[Itera
         for b in batches:
             if not b.num_rows:
                 continue
-            band = np.r_[band, b.column("band").to_numpy()]
+            band = np.r_[band, b.column("key").to_numpy() >> NEXT]
             ids = np.r_[ids, b.column("id").to_numpy()]
             fresh = np.r_[fresh, np.ones(b.num_rows, bool)]
             last = int(np.searchsorted(band, band[-1]))  # where the last run starts, which may go on
@@ -244,7 +261,7 @@ def similar(left: list[str], right: list[str], threshold: float) -> np.ndarray:
     """Whether each two lines have at least this Jaccard similarity, by all their shingles."""
     out = []
     both = [a + b for a, b in zip(left, right, strict=True)]
-    for i, j in in_pieces(both):
+    for i, j in in_pieces(both, few=True):
         k = j - i
         # a long pair is compared by ranges of its hashes, so that no array is longer than some PIECEs
         ranges = -(-len(both[i]) // (4 * PIECE)) if k == 1 else 1
@@ -441,9 +458,11 @@ def _removed(rows: DataFrame, threshold: float, window: int, pivots: int) -> Dat
     lines = written(rows.select("row", "doc_id", "text").mapInArrow(_line_rows, LINES))
     different = lines.where("id is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS])
 
-    keys = F.array(*[F.struct(F.col(c).alias("band"), F.col(BAND_COLUMNS[(k + 1) % BANDS]).alias("next")) for k, c in enumerate(BAND_COLUMNS)])
-    bands = different.select("id", F.inline(keys)).repartition(n, "band").sortWithinPartitions("band", "next", "id")
-    near = written(bands.select("band", "id").mapInArrow(_pair_rows(window, pivots), "a long, b long, band long"))
+    # one word to sort by: the band without its lowest bits (where two bands meet, some more pairs are compared) and some of the further one
+    low = (1 << NEXT) - 1
+    keys = F.array(*[F.col(c).bitwiseAND(F.lit(~low)).bitwiseOR(F.col(BAND_COLUMNS[(k + 1) % BANDS]).bitwiseAND(F.lit(low))) for k, c in enumerate(BAND_COLUMNS)])
+    bands = different.select("id", F.explode(keys).alias("key")).repartition(n, F.shiftright("key", NEXT)).sortWithinPartitions("key")
+    near = written(bands.select("key", "id").mapInArrow(_pair_rows(window, pivots), "a long, b long, band long"))
     pairs = written(near.where("band is null").select("a", "b").distinct())
     large = near.where("band is not null").select("band", F.col("a").alias("id"))
 

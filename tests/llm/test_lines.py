@@ -126,6 +126,21 @@ def test_lines_are_compared_to_their_ends(spark):
     assert found(docs(spark, rows).coalesce(1)) == brute(rows) == {(False, 5, 5, 3), (False, 5, 5, 4), (False, 6, 6, 0)}
 
 
+def test_hashes_of_shingles_wherever_they_stand(monkeypatch):
+    """Equal shingles have equal hashes and others have not, for short lines and empty ones among long ones, in pieces of any size."""
+    r = random.Random(12)
+    lines = ["".join(r.choice("ab é中") for _ in range(r.choice([0, 1, 2, 9, 10, 11, 40]))) for _ in range(400)]
+    h, count = line_dedup.shingle_hashes(lines)
+    want = [x[k : k + 10] for x in lines for k in range(max(len(x) > 0, len(x) - 9))]
+    assert count.sum() == len(want) == len(h) and len(set(want)) == len(set(h.tolist())) == len(set(zip(want, h.tolist(), strict=True)))
+    some = [x for x in lines if x]
+    whole = line_dedup.signatures(some)
+    monkeypatch.setattr(line_dedup, "TOGETHER", 100)
+    ranges = list(line_dedup.in_pieces(some, few=True))
+    assert max(sum(map(len, some[a:z])) for a, z in ranges) <= 100
+    assert np.array_equal(whole, np.concatenate([line_dedup.signatures(some[a:z]) for a, z in ranges]))
+
+
 def test_very_long_lines(spark, monkeypatch):
     """Lines hashed piece by piece have the same signature and similarity."""
     r = random.Random(5)
