@@ -25,15 +25,17 @@ class OSM:
     Layers and networks of a file are kept in cache_directory, if given. bounding_box: four bounds or a
     polygon (see selection.normal_box). With keep_metadata=False metadata isn't decoded. engine and workers are accepted for compatibility: Spark schedules the work. Empty results are
     empty tables. compact=True leaves out tag columns that no row has, at the cost of a pass.
+    anywhere=True keeps places of a file that are off the globe (a MapData tells that by itself).
     """
 
-    def __init__(self, source: str | MapData, bounding_box=None, keep_metadata: bool = True, complete_relations: bool = False, engine: str = "in_memory", workers=None, cache_directory: str | None = None, spark: SparkSession | None = None, compact: bool = False, history_mode: str = "last"):
+    def __init__(self, source: str | MapData, bounding_box=None, keep_metadata: bool = True, complete_relations: bool = False, engine: str = "in_memory", workers=None, cache_directory: str | None = None, spark: SparkSession | None = None, compact: bool = False, history_mode: str = "last", anywhere: bool = False):
         validate.choice("engine", engine, ("in_memory", "out_of_core"))
         self.spark = spark or SparkSession.getActiveSession()
         self.path = None if isinstance(source, MapData) else validate.map_file(source)
         self.box = selection.normal_box(bounding_box) if bounding_box is not None else None
         self.keep_metadata = validate.flag("keep_metadata", keep_metadata)
         self.complete_relations = validate.flag("complete_relations", complete_relations)
+        self.anywhere = validate.flag("anywhere", anywhere)
         self.compact, self.cache_directory = validate.flag("compact", compact), cache_directory
         self.strict = validate.choice("history_mode", history_mode, ("last", "strict")) == "strict"
         self.history = self.path is not None and history.is_history(self.path)
@@ -49,7 +51,7 @@ class OSM:
                 folder = f"{self.cache_directory.rstrip('/')}/{cache.key(self.path, name='parsed', metadata=metadata)}"
             else:
                 folder = f"{storage.checkpoint_dir(self.spark)}/map-{uuid4().hex}"
-            self._given = pbf.ingest(self.spark, self.path, folder, metadata)
+            self._given = pbf.ingest(self.spark, self.path, folder, metadata).at(anywhere=self.anywhere)
         return self._given
 
     @property
@@ -80,7 +82,7 @@ class OSM:
         if layer.relations and not self.complete_relations:
             straddling_warning(self, timestamp)
         data = self.data(timestamp)
-        return self.cached("layer", lambda: features.features(data, layer, self.box, self.complete_relations), layer=repr(layer), complete=self.complete_relations, moment=self._now and self._now[0])
+        return self.cached("layer", lambda: features.features(data, layer, self.box, self.complete_relations), layer=repr(layer), complete=self.complete_relations, anywhere=data.anywhere, moment=self._now and self._now[0])
 
     def _keyed(self, key: str, custom_filter, tags_to_keep, extra_attributes, timestamp, default=None, **kinds) -> DataFrame:
         custom = tag_filter.compiled(custom_filter)
@@ -142,8 +144,8 @@ class OSM:
         columns = self._columns(COLUMNS["highway"], tags_to_keep, extra_attributes, custom if custom_filter is not None else None)
         data = self.data(timestamp)
         ways = network.select_ways(data.ways, custom, gate, how)
-        made = network.network(ways, data.nodes, kind, columns, self.box, validate.flag("nodes", nodes), self.keep_metadata or self.history, self.compact)
-        about = {"network": kind, "filter": repr((custom, gate, how)), "columns": columns, "by_segment": nodes, "metadata": self.keep_metadata, "compact": self.compact, "moment": self._now and self._now[0]}
+        made = network.network(ways, data.nodes, kind, columns, self.box, validate.flag("nodes", nodes), self.keep_metadata or self.history, self.compact, data.anywhere)
+        about = {"network": kind, "filter": repr((custom, gate, how)), "columns": columns, "by_segment": nodes, "metadata": self.keep_metadata, "compact": self.compact, "anywhere": data.anywhere, "moment": self._now and self._now[0]}
         edges = self.cached("edges", lambda: made.edges, **about)
         return made.at(edges=edges, nodes=self.cached("nodes", lambda: made.nodes, **about) if nodes else None)
 

@@ -25,13 +25,16 @@ class Header:
 
 @dataclass(frozen=True)
 class MapData:
+    """anywhere tells that places off the globe are meant, as on a plane; else lines and features leave them out."""
+
     nodes: DataFrame
     ways: DataFrame
     relations: DataFrame
     header: Header = field(default_factory=Header)
+    anywhere: bool = False
 
-    def at(self, **frames: DataFrame) -> MapData:
-        return replace(self, **frames)
+    def at(self, **changed) -> MapData:
+        return replace(self, **changed)
 
     def persist(self) -> MapData:
         return self.at(nodes=self.nodes.persist(), ways=self.ways.persist(), relations=self.relations.persist())

@@ -63,7 +63,8 @@ def node_features(data: MapData, layer: Layer, box: selection.Box | None = None)
     keep = data.nodes.where(tag_filter.element_filter(F.col("tags"), layer.custom, layer.gate, layer.filter_type))
     if box:
         keep = keep.where(selection.in_box(box))
-    keep = keep.where(G.valid(F.col("lon"), F.col("lat")))
+    if not data.anywhere:
+        keep = keep.where(G.valid(F.col("lon"), F.col("lat")))
     return keep.select("id", F.lit("node").alias("osm_type"), "lon", "lat", "tags", G.point(F.col("lon"), F.col("lat")).alias("geometry"), "visible", *_metadata(layer, "version", "changeset", "timestamp"))
 
 
@@ -80,8 +81,8 @@ def split_ways(data: MapData, layer: Layer) -> tuple[DataFrame, DataFrame, DataF
     return selection.standalone_ways(own, relations), selection.member_ways(data.ways, relations), relations
 
 
-def way_features(ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
-    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2).withColumn("plain", selection.plain_points())
+def way_features(ways: DataFrame, nodes: DataFrame, layer: Layer, anywhere: bool = False) -> DataFrame:
+    placed = selection.way_points(ways, nodes, anywhere).where(F.size("points") >= 2).withColumn("plain", selection.plain_points())
     points = F.col("plain")
     closed = F.element_at("refs", 1) == F.element_at("refs", -1)
     geom = F.when(closed & way_is_area(F.col("tags"), layer.columns), G.way_polygon(points)).otherwise(G.way_line(points))
@@ -89,8 +90,8 @@ def way_features(ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
     return placed.select("id", F.lit("way").alias("osm_type"), "tags", F.explode(F.array(geom)).alias("geometry"), "visible", *_metadata(layer, "version", "timestamp"))
 
 
-def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
-    lines = selection.way_points(ways.select("id", "refs"), nodes).select(F.col("id").alias("way_id"), selection.plain_points().alias("points"))
+def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, layer: Layer, anywhere: bool = False) -> DataFrame:
+    lines = selection.way_points(ways.select("id", "refs"), nodes, anywhere).select(F.col("id").alias("way_id"), selection.plain_points().alias("points"))
     # a way listed twice in a relation counts once
     members = selection.way_members(relations).groupBy("relation_id", "way_id").agg(F.min("seq").alias("seq"))
     linear = relations.select(F.col("id").alias("relation_id"), relation_is_linear(F.col("tags")).alias("linear"))
@@ -116,9 +117,9 @@ def features(data: MapData, layer: Layer, box: selection.Box | None = None, comp
     if layer.nodes:
         parts.append(node_features(data, layer, box))
     if layer.ways:
-        parts.append(way_features(own, data.nodes, layer))
+        parts.append(way_features(own, data.nodes, layer, data.anywhere))
     if layer.relations:
-        parts.append(relation_features(relations, members, data.nodes, layer))
+        parts.append(relation_features(relations, members, data.nodes, layer, data.anywhere))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

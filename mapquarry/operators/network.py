@@ -32,17 +32,17 @@ def select_ways(ways: DataFrame, custom, gate: list[str], filter_type: str) -> D
     return ways.where(tag_filter.way_filter(F.col("tags"), custom, gate, filter_type))
 
 
-def way_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+def way_edges(ways: DataFrame, nodes: DataFrame, anywhere: bool = False) -> DataFrame:
     """One row for each way with a line of its pieces and its length: rounded pieces summed, then to whole metres (half to even)."""
-    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2).withColumn("parts", G.pieces(selection.plain_points()))
+    placed = selection.way_points(ways, nodes, anywhere).where(F.size("points") >= 2).withColumn("parts", G.pieces(selection.plain_points()))
     kind = F.when(F.size("parts") == 1, "LineString").otherwise("MultiLineString")
     measured = placed.select("id", "tags", "version", "timestamp", "visible", G.geometry(kind, F.col("parts")).alias("geometry"), G.total_millimetres(F.col("parts")).alias("length_mm"))
     return measured.withColumn("length", F.bround(F.col("length_mm") / 1000, 0))
 
 
-def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+def segments(ways: DataFrame, nodes: DataFrame, anywhere: bool = False) -> DataFrame:
     """One row for each piece of a way: u, v, seq, length in metres to the millimetre."""
-    placed = selection.way_points(ways, nodes).where(F.size("points") >= 2)
+    placed = selection.way_points(ways, nodes, anywhere).where(F.size("points") >= 2)
     n = F.size("points")
     pairs = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     each = placed.select("id", "tags", "version", "timestamp", "visible", F.posexplode(pairs).alias("seq", "p"))
@@ -57,11 +57,11 @@ def end_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, "id", "left_semi")
 
 
-def network(ways: DataFrame, nodes: DataFrame, network_type: str, columns: list[str], box: selection.Box | None = None, with_nodes: bool = False, metadata: bool = True, compact: bool = False) -> Network:
-    """The network of ways already filtered. With a box, edges of whole ways that meet it."""
+def network(ways: DataFrame, nodes: DataFrame, network_type: str, columns: list[str], box: selection.Box | None = None, with_nodes: bool = False, metadata: bool = True, compact: bool = False, anywhere: bool = False) -> Network:
+    """The network of ways already filtered. With a box, edges of whole ways that meet it. anywhere as in MapData."""
     if box:
         ways = selection.ways_touching(ways, nodes.where(selection.in_box(box)))
-    edges = segments(ways, nodes) if with_nodes else way_edges(ways, nodes)
+    edges = segments(ways, nodes, anywhere) if with_nodes else way_edges(ways, nodes, anywhere)
     if box:
         edges = edges.where(selection.intersects_box(F.col("geometry"), box))
     edges = edges.withColumn("osm_type", F.lit("way"))
