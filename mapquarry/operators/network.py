@@ -170,7 +170,7 @@ def _strong_components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
                 found += 1
             if path:
                 low[path[-1][0]] = min(low[path[-1][0]], low[x])
-    return np.array(comp)
+    return np.array(comp, dtype=np.int64)
 
 
 def strong_components(edges: DataFrame, driver_edges: int = 2_000_000, max_rounds: int = 10_000) -> DataFrame:
@@ -240,9 +240,13 @@ def strong_components(edges: DataFrame, driver_edges: int = 2_000_000, max_round
 
 
 def largest_strong_part(edges: DataFrame, nodes: DataFrame, driver_edges: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the largest strongly connected component (the one with the smallest node among equals)."""
+    """Nodes and edges of the largest strongly connected component; among equals the one with the busiest node, that of most edges out (of such nodes the smallest)."""
     comp = strong_components(edges, driver_edges)
-    best = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    sizes = checkpoint(comp.groupBy("component").agg(F.count("*").alias("n")))
+    best = sizes.where(F.col("n") == F.lit(sizes.agg(F.max("n")).first()[0])).select("component")
+    if best.limit(2).count() > 1:
+        busy = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("out"))
+        best = comp.join(best, "component", "left_semi").join(busy, "node", "left").orderBy(F.desc_nulls_last("out"), "node").limit(1).select("component")
     ids = comp.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("id"))  # one row
     kept = edges.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
     return nodes.join(ids, "id", "left_semi"), kept.select(*edges.columns)

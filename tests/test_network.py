@@ -96,3 +96,12 @@ def test_strong_components_raise_when_rounds_run_out(spark):
     e = spark.createDataFrame([(k, (k + 1) % 6) for k in range(6)], "u long, v long")
     with pytest.raises(RuntimeError, match="rounds"):
         network.strong_components(e, driver_edges=0, max_rounds=2).collect()
+
+
+def test_of_equal_parts_the_busiest_stays(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3), (4, 3), (5, 6)], "u long, v long")
+    nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "id long")
+    part, kept = network.largest_strong_part(e, nodes)
+    assert sorted(r.id for r in part.collect()) == [3, 4] and kept.count() == 3
+    none = network.largest_strong_part(e.where("false"), nodes)
+    assert none[0].count() == none[1].count() == 0
